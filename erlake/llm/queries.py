@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substring_dedup
+from . import substring_dedup, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_substring_dedup": substring_dedup.op4_substring_dedup,
+        "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     }
 
 

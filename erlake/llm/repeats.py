@@ -216,7 +216,7 @@ def judged(found: DataFrame) -> DataFrame:
     buckets = c.stored(contents.groupBy("g").agg(F.count("*").alias("n_contents")).where("n_contents > 1"))
     # a bucket may hold a third of all contents: both sides are plain scans, so skewed partitions are split
     mixed = c.stored(contents.select("k1", "k2", "n", "top", "g").join(buckets, "g", "left").select("k1", "k2", "n", "top", F.coalesce("n_contents", F.lit(1)).alias("n_contents")))
-    return found.join(mixed, ["k1", "k2"])
+    return c.stored(found.join(mixed, ["k1", "k2"]))
 
 
 def of_documents(docs: DataFrame, parts: DataFrame) -> DataFrame:
@@ -225,8 +225,12 @@ def of_documents(docs: DataFrame, parts: DataFrame) -> DataFrame:
     return docs.join(parts.groupBy("doc", "th").agg(F.collect_list(F.struct(*cols)).alias("parts")), ["doc", "th"])
 
 
+#: w1, w2 name one window that starts at s; or content holds all windows of a range, the first of which starts at s.
+WINDOW = "g long, doc long, th int, s int, n long, w1 long, w2 long, content binary"
+
+
 def window_rows(docs: DataFrame, parts: DataFrame, w: Windows) -> DataFrame:
-    """(w1, w2, doc, th, s, n) for every window of the ``parts`` (lo, hi, n): a 128-bit name of its tokens, where it is, and its content's count."""
+    """For the ``parts`` (doc, th, lo, hi, n, g, named): a row for each window, or the content in one row where not ``named``."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
@@ -237,22 +241,27 @@ def window_rows(docs: DataFrame, parts: DataFrame, w: Windows) -> DataFrame:
                 part = data[at[i] : at[j]]
                 names, first, _, _ = w.read(part, at[i : j + 1] - at[i])
                 view, size = w.content(part, names)
-                named, docs_, ths, starts, ns = [], [], [], [], []
+                one: list[list] = [[] for _ in range(6)]
+                all_: list[list] = [[] for _ in range(6)]
                 for k in range(i, j):
-                    x = lists[k].values.flatten()
-                    for lo, hi, n in zip(*(y.to_pylist() for y in x)):
-                        base, m = int(first[k - i]), hi - lo + 1
-                        named += [digest(view[(base + s) * size : (base + s + w.length) * size]) for s in range(lo, hi + 1)]
-                        docs_ += [b.column(0)[k].as_py()] * m
-                        ths += [b.column(1)[k].as_py()] * m
-                        starts += range(lo, hi + 1)
-                        ns += [n] * m
-                if named:
-                    w1, w2 = _halves(named)
-                    yield pa.RecordBatch.from_arrays([pa.array(w1), pa.array(w2), pa.array(docs_, pa.int64()), pa.array(ths, pa.int32()), pa.array(starts, pa.int32()), pa.array(ns, pa.int64())], ["w1", "w2", "doc", "th", "s", "n"])
-
-    given = of_documents(docs, parts.select("doc", "th", "lo", "hi", "n")).select("doc", "th", "text", "parts")
-    return c.stored(given.mapInArrow(emit, "w1 long, w2 long, doc long, th int, s int, n long"))
+                    doc, th, base = b.column(0)[k].as_py(), b.column(1)[k].as_py(), int(first[k - i])
+                    for lo, hi, n, g, named in zip(*(y.to_pylist() for y in lists[k].values.flatten())):
+                        if named:
+                            m = hi - lo + 1
+                            more = [g] * m, [doc] * m, [th] * m, range(lo, hi + 1), [n] * m, [digest(view[(base + s) * size : (base + s + w.length) * size]) for s in range(lo, hi + 1)]
+                            for x, y in zip(one, more):
+                                x.extend(y)
+                        else:
+                            for x, y in zip(all_, (g, doc, th, lo, n, bytes(view[(base + lo) * size : (base + hi + w.length) * size]))):
+                                x.append(y)
+                for rows in (one, all_):
+                    if m := len(rows[0]):
+                        w1, w2 = (pa.array(x) for x in _halves(rows[5])) if rows is one else (pa.nulls(m, pa.int64()),) * 2
+                        content = pa.nulls(m, pa.binary()) if rows is one else pa.array(rows[5], pa.binary())
+                        yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()))), w1, w2, content], ["g", "doc", "th", "s", "n", "w1", "w2", "content"])
+
+    given = of_documents(docs, parts.select("doc", "th", "lo", "hi", "n", "g", "named")).select("doc", "th", "text", "parts")
+    return c.stored(given.mapInArrow(emit, WINDOW))
 
 
 def covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:

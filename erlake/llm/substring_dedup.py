@@ -26,9 +26,9 @@ SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_te
 
 def removed_spans(docs: DataFrame, w: r.Windows, bits: int) -> DataFrame:
     """(doc, th, s, e): runs of words to remove, perhaps overlapping."""
-    ranges = c.stored(r.judged(r.candidate_ranges(docs, w, bits)).select("doc", "th", "lo", "hi", "n", "n_contents", (F.col("doc") > F.col("top.doc")).alias("later")))
+    ranges = r.judged(r.candidate_ranges(docs, w, bits)).withColumn("later", F.col("doc") > F.col("top.doc"))
     whole = ranges.where("later").select("doc", "th", F.col("lo").alias("s"), (F.col("hi") + w.length).alias("e"))
-    windows = r.window_rows(docs, ranges.where("NOT later AND n_contents > 1"), w)
+    windows = r.window_rows(docs, ranges.where("NOT later AND n_contents > 1").withColumn("named", F.lit(True)), w)
     least = c.stored(windows.groupBy("w1", "w2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("w1", "w2", "least"))
     single = windows.join(least, ["w1", "w2"]).where("doc > least").select("doc", "th", "s", (F.col("s") + w.length).alias("e"))
     return whole.union(single)
