@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substring_dedup, suffix_dedup
+from . import secrets, substring_dedup, suffix_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_substring_dedup": substring_dedup.op4_substring_dedup,
         "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
+        "op8_secret_scan": secrets.op8_secret_scan,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
