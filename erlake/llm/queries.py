@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import secrets, substring_dedup, suffix_dedup, toxicity
+from . import minhash_dedup, secrets, substring_dedup, suffix_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_minhash_dedup": minhash_dedup.op3_minhash_dedup,
         "op4_substring_dedup": substring_dedup.op4_substring_dedup,
         "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
         "op8_secret_scan": secrets.op8_secret_scan,
