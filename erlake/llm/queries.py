@@ -6,18 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash_dedup, secrets, substring_dedup, suffix_dedup, toxicity
+from . import embedding_dedup, license_scan, minhash_dedup, quotes, secrets, substring_dedup, suffix_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quote_linking": quotes.op1_quote_linking,
         "op3_minhash_dedup": minhash_dedup.op3_minhash_dedup,
         "op4_substring_dedup": substring_dedup.op4_substring_dedup,
+        "op6_license_scan": license_scan.op6_license_scan,
         "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
         "op8_secret_scan": secrets.op8_secret_scan,
+        "op9_embedding_dedup": embedding_dedup.op9_embedding_dedup,
         "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op6_license_scan": license_scan.op6_sql(),
+        "op9_embedding_dedup": embedding_dedup.SQL,
+    }

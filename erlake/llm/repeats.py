@@ -226,11 +226,11 @@ def of_documents(docs: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 #: w1, w2 name one window that starts at s; or content holds all windows of a range, the first of which starts at s.
-WINDOW = "g long, doc long, th int, s int, n long, w1 long, w2 long, content binary"
+WINDOW = "g long, doc long, th int, s int, n long, a int, n_contents long, w1 long, w2 long, content binary"
 
 
 def window_rows(docs: DataFrame, parts: DataFrame, w: Windows) -> DataFrame:
-    """For the ``parts`` (doc, th, lo, hi, n, g, named): a row for each window, or the content in one row where not ``named``."""
+    """For the ``parts`` (doc, th, lo, hi, n, g, a, n_contents, named): a row for each window, or the content in one row where not ``named``."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
@@ -241,29 +241,61 @@ def window_rows(docs: DataFrame, parts: DataFrame, w: Windows) -> DataFrame:
                 part = data[at[i] : at[j]]
                 names, first, _, _ = w.read(part, at[i : j + 1] - at[i])
                 view, size = w.content(part, names)
-                one: list[list] = [[] for _ in range(6)]
-                all_: list[list] = [[] for _ in range(6)]
+                one: list[list] = [[] for _ in range(8)]
+                all_: list[list] = [[] for _ in range(8)]
                 for k in range(i, j):
                     doc, th, base = b.column(0)[k].as_py(), b.column(1)[k].as_py(), int(first[k - i])
-                    for lo, hi, n, g, named in zip(*(y.to_pylist() for y in lists[k].values.flatten())):
+                    for lo, hi, n, g, a, n_contents, named in zip(*(y.to_pylist() for y in lists[k].values.flatten())):
                         if named:
                             m = hi - lo + 1
-                            more = [g] * m, [doc] * m, [th] * m, range(lo, hi + 1), [n] * m, [digest(view[(base + s) * size : (base + s + w.length) * size]) for s in range(lo, hi + 1)]
+                            more = [g] * m, [doc] * m, [th] * m, range(lo, hi + 1), [n] * m, [a] * m, [n_contents] * m, [digest(view[(base + s) * size : (base + s + w.length) * size]) for s in range(lo, hi + 1)]
                             for x, y in zip(one, more):
                                 x.extend(y)
                         else:
-                            for x, y in zip(all_, (g, doc, th, lo, n, bytes(view[(base + lo) * size : (base + hi + w.length) * size]))):
+                            for x, y in zip(all_, (g, doc, th, lo, n, a, n_contents, bytes(view[(base + lo) * size : (base + hi + w.length) * size]))):
                                 x.append(y)
                 for rows in (one, all_):
                     if m := len(rows[0]):
-                        w1, w2 = (pa.array(x) for x in _halves(rows[5])) if rows is one else (pa.nulls(m, pa.int64()),) * 2
-                        content = pa.nulls(m, pa.binary()) if rows is one else pa.array(rows[5], pa.binary())
-                        yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()))), w1, w2, content], ["g", "doc", "th", "s", "n", "w1", "w2", "content"])
+                        w1, w2 = (pa.array(x) for x in _halves(rows[7])) if rows is one else (pa.nulls(m, pa.int64()),) * 2
+                        content = pa.nulls(m, pa.binary()) if rows is one else pa.array(rows[7], pa.binary())
+                        yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64()))), w1, w2, content], ["g", "doc", "th", "s", "n", "a", "n_contents", "w1", "w2", "content"])
 
-    given = of_documents(docs, parts.select("doc", "th", "lo", "hi", "n", "g", "named")).select("doc", "th", "text", "parts")
+    given = of_documents(docs, parts.select("doc", "th", "lo", "hi", "n", "g", "a", "n_contents", "named")).select("doc", "th", "text", "parts")
     return c.stored(given.mapInArrow(emit, WINDOW))
 
 
+SLOT = "core long, doc long, th int, s int, n long, w1 long, w2 long, content binary"
+
+
+def slots(rows: DataFrame, w: Windows, size: int = 8) -> DataFrame:
+    """The content rows (g, doc, th, s, n, a, content) cut into pieces of at most ``size`` windows at fixed distances from the anchor.
+
+    All windows of a piece share the bytes in ``core``, a refinement of their bucket; w1, w2 name the piece's content.
+    """
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_128_digest
+        for b in batches:
+            out: list[list] = [[] for _ in range(7)]
+            for doc, th, s, n, a, content in zip(*(x.to_pylist() for x in b.columns)):
+                i, last = s, s + len(content) - w.length
+                while i <= last:
+                    piece = (a - i) // size
+                    top = a - size * piece  # the last window of the piece; its bytes up to the first window's end are in all of them
+                    j = min(last, top)
+                    part = content[i - s : j - s + w.length]
+                    core = xxhash.xxh3_64_intdigest(content[top - s : top - s - size + 1 + w.length], seed=piece)
+                    for x, y in zip(out, (core - (1 << 63), doc, th, i, n, digest(part, seed=a - i), part)):
+                        x.append(y)
+                    i = j + 1
+            if out[0]:
+                w1, w2 = _halves(out[5])
+                kinds = pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(out[:5], kinds)), pa.array(w1), pa.array(w2), pa.array(out[6], pa.binary())], ["core", "doc", "th", "s", "n", "w1", "w2", "content"])
+
+    return c.stored(rows.select("doc", "th", "s", "n", "a", "content").mapInArrow(emit, SLOT))
+
+
 def covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     """Which of n tokens some [start, end) covers."""
     x = np.zeros(n + 1, np.int64)

@@ -119,12 +119,42 @@ def removed_spans(docs: DataFrame, w: r.Windows, bits: int, hot: int) -> DataFra
     """(doc, th, s, e): runs of bytes to remove, perhaps overlapping."""
     ranges = r.judged(r.candidate_ranges(docs, w, bits))
     whole = ranges.where("n > 1").select("doc", "th", F.col("lo").alias("s"), (F.col("hi") + w.length).alias("e"))
-    first = ranges.where("n_contents > 1 AND top.doc = doc AND top.th = th AND top.lo = lo").withColumn("named", F.col("n_contents") > hot)
+    first = ranges.where("n_contents > 1 AND top.doc = doc AND top.th = th AND top.lo = lo").withColumn("named", F.lit(False))
     rows = r.window_rows(docs, first, w)
-    named = rows.where("w1 IS NOT NULL")
+    end = (F.col("s") + w.length).alias("e")
+    cold = sorted_windows(rows.where(F.col("n_contents") <= hot), w).select("doc", "th", "s", end)
+    return whole.union(cold).union(hot_spans(rows.where(F.col("n_contents") > hot), w))
+
+
+def hot_spans(rows: DataFrame, w: r.Windows) -> DataFrame:
+    """(doc, th, s, e) of the repeated strings of contents that occur once, from buckets too large for a task.
+
+    Two more rounds of refinement over the cluster: by the pieces of ``slots``, then, within pieces whose core several
+    contents share, by single strings. Equal pieces settle all their strings, so only strings at the edges of what
+    the bucket shares reach the last round.
+    """
+    pieces = r.slots(rows, w)
+    contents = c.stored(pieces.groupBy("w1", "w2").agg(F.sum("n").alias("total"), F.min(F.struct("doc", "th", "s")).alias("top"), F.min("core").alias("core")))
+    cores = c.stored(contents.groupBy("core").agg(F.count("*").alias("n_pieces")).where("n_pieces > 1").select("core", F.lit(True).alias("mixed")))
+    contents = c.stored(contents.join(cores, "core", "left").select("w1", "w2", "total", "top", F.coalesce("mixed", F.lit(False)).alias("mixed")))
+    pieces = c.stored(pieces.drop("core").join(contents, ["w1", "w2"]))
+    whole = pieces.where("n = 1 AND total > 1").select("doc", "th", "s", (F.col("s") + F.length("content")).alias("e"))
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for b in batches:
+            doc, th, s, n, content = b.columns
+            size = [len(x) - w.length + 1 for x in content.to_pylist()]
+            at = np.repeat(np.arange(len(size)), size)
+            step = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
+            names = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x[i : i + w.length]) for x, k in zip(content.to_pylist(), size) for i in range(k)), np.int64).reshape(-1, 2)
+            take = pa.array(at)
+            yield pa.RecordBatch.from_arrays([doc.take(take), th.take(take), pa.array((s.to_numpy()[at] + step).astype(np.int32)), n.take(take), pa.array(names[:, 0]), pa.array(names[:, 1])], ["doc", "th", "s", "n", "w1", "w2"])
+
+    named = c.stored(pieces.where("mixed AND top.doc = doc AND top.th = th AND top.s = s").select("doc", "th", "s", F.col("total").alias("n"), "content").mapInArrow(emit, "doc long, th int, s int, n long, w1 long, w2 long"))
     often = c.stored(named.groupBy("w1", "w2").agg(F.sum("n").alias("total")).where("total > 1").select("w1", "w2"))
-    single = named.where("n = 1").join(often, ["w1", "w2"]).select("doc", "th", "s").union(sorted_windows(rows, w))
-    return whole.union(single.select("doc", "th", "s", (F.col("s") + w.length).alias("e")))
+    return whole.union(named.where("n = 1").join(often, ["w1", "w2"]).select("doc", "th", "s", (F.col("s") + w.length).alias("e")))
 
 
 def suffix_dedup(df: DataFrame, length: int = 200, q: int = 64, bits: int = r.SKETCH_BITS, hot: int = HOT) -> DataFrame:
