@@ -134,11 +134,13 @@ def near_duplicates(df: DataFrame, threshold: float = 0.98) -> DataFrame:
     query = places.select("label", "size", F.explode("visits").alias("cell"), "node", "n", "vector")
     parts = lambda x, name: x.groupBy(*cell).agg(F.ceil(F.count("*") / PART).cast("int").alias(name))
     cut = F.broadcast(c.stored(parts(base, "pb").join(parts(query, "pq"), cell)))  # one row per label and grid cell
-    base = base.join(cut, cell).withColumn("b", F.pmod(F.xxhash64("node"), "pb")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("pq") - 1)).cast("long"))
-    query = query.join(cut, cell).withColumn("q", F.pmod(F.xxhash64("node"), "pq")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("pb") - 1)).cast("long"))
+    base = base.join(cut, cell).withColumn("b", F.pmod(F.xxhash64("node"), "pb")).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pq").cast("long") - 1)))
+    query = query.join(cut, cell).withColumn("q", F.pmod(F.xxhash64("node"), "pq")).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pb").cast("long") - 1)))
     key = [*cell, "b", "q"]
     solve = lambda k, a, b: _solve(k, a, b, threshold)
-    found = c.stored(query.select(*key, "node", "vector").groupBy(*key).cogroup(base.select(*key, "node", "n", "vector").groupBy(*key)).applyInPandas(solve, "node long, links long, low long"))
+    # stored apart, as the two sides of a cogroup must not share columns
+    query, base = c.stored(query.select(*key, "node", "vector")), c.stored(base.select(*key, "node", "n", "vector"))
+    found = c.stored(query.groupBy(*key).cogroup(base.groupBy(*key)).applyInPandas(solve, "node long, links long, low long"))
     root = c.components(found.select(F.col("node").alias("a"), F.col("low").alias("b")))
     counted = c.stored(nodes.select("node", "n").join(found.groupBy("node").agg(F.sum("links").alias("links")), "node", "left").join(root.select(F.col("id").alias("node"), "root"), "node", "left").select("node", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "node").alias("root")))
     of_vector = copies.select("h1", "label", "vector", "node").join(counted, "node").select("h1", "label", "vector", "n_links", "root")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, license_scan, minhash_dedup, quotes, secrets, substring_dedup, suffix_dedup, toxicity
+from . import decontamination, embedding_dedup, license_scan, minhash_dedup, quotes, secrets, substring_dedup, suffix_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quote_linking": quotes.op1_quote_linking,
         "op3_minhash_dedup": minhash_dedup.op3_minhash_dedup,
         "op4_substring_dedup": substring_dedup.op4_substring_dedup,
+        "op5_decontamination": decontamination.op5_decontamination,
         "op6_license_scan": license_scan.op6_license_scan,
         "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
         "op8_secret_scan": secrets.op8_secret_scan,

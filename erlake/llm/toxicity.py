@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from . import common as c
 from .common import U
 
-PER_CLASS = 4000
-CHI = 20.0
-TERMS = 2048
+PER_CLASS = 1500
+CHI = 30.0
+TERMS = 1024
 BLOCK = 64
 K = 25
 #: Words are runs of ASCII letters, digits and any byte of other characters.
