@@ -21,7 +21,7 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_truth(truth: DataFrame) -> DataFrame:
     """(s1, candidate): one row per listed id, blanks dropped."""
-    ids = F.filter(F.transform(F.split("matched_entity_ids", ","), F.trim), lambda x: x != "")
+    ids = F.filter(F.transform(F.split("matched_entity_ids", ","), lambda x: F.trim(x)), lambda x: x != "")
     return truth.select(F.col("source1_entity_id").alias("s1"), F.explode(ids).alias("candidate")).distinct()
 
 
