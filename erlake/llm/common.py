@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 U = np.uint64
 #: Bytes of text that one vector step takes; a longer document is a step of its own.
-STEP_BYTES = 2_000_000
+STEP_BYTES = 1_000_000
 _A, _B, _C = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 _R = 0xD1342543DE82EF95
 _R_INV = pow(_R, -1, 1 << 64)
@@ -84,6 +85,14 @@ def steps(at: np.ndarray, most: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
         j = max(i + 1, int(np.searchsorted(at, at[i] + most, "right")) - 1)
         yield i, j
         i = j
+    give_back()
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system: workers live on between tasks, and what they hold counts for the executor."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 class Powers:

@@ -35,7 +35,7 @@ from .common import U
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 K, THETA, SEED = 2, 1.0, 17
 #: Bytes of text whose lattices a task holds at once.
-STEP = 3_000_000
+STEP = 600_000
 _CHUNK = re.compile("\n+|▁*[^▁\n]+|▁+")
 _ESCAPED = "\U0010fffe"  # stands for a ▁ of the text; a noncharacter, itself always in byte pieces
 _BITS = 20

@@ -72,11 +72,11 @@ class Index:
         self.n_blocks = max(1, -(-len(order) // BLOCK))
         term = np.concatenate([vectors[i][0] for i in order] or [np.zeros(0, np.int64)])
         weight = np.concatenate([vectors[i][1] for i in order] or [np.zeros(0)])
-        example = np.repeat(np.arange(len(order)), [len(vectors[i][0]) for i in order])
+        example = np.repeat(np.arange(len(order)), np.array([len(vectors[i][0]) for i in order], np.int64))
         by = np.lexsort((example, term))
         term, self.example, self.weight = term[by], example[by], weight[by]
         key = term * (self.n_blocks + 1) + self.example // BLOCK
-        self.cut = np.searchsorted(key, (np.arange(len(self.terms))[:, None] * (self.n_blocks + 1) + np.arange(self.n_blocks + 1)).ravel()).reshape(len(self.terms), -1)
+        self.cut = np.searchsorted(key, (np.arange(len(self.terms))[:, None] * (self.n_blocks + 1) + np.arange(self.n_blocks + 1)).ravel()).reshape(len(self.terms), self.n_blocks + 1)
         self.top = np.zeros((len(self.terms), self.n_blocks))
         np.maximum.at(self.top, (term, self.example // BLOCK), self.weight)
         # calibration at the population's class rates
