@@ -5,14 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import text as t
 from .operators import blocking as b
+from .operators import analysis as a_
 from .operators import metrics as m
 from .operators import tfidf
 from .plans import sql as s
-from .sources.records import demo_records
+from .functions import kernels
+from .sources.records import demo_records, parse_truth
 
 PER_KEY, CAP = 30, 20
 
@@ -82,6 +85,46 @@ def _source_profile(spark: SparkSession, sf: str) -> DataFrame:
     return r.groupBy("source").agg(F.count("*").alias("n_rows"), F.count_distinct("entity_id").alias("n_ids"), F.count_distinct("business_name").alias("n_names"), blank("business_address").alias("no_address"), blank("business_name").alias("no_name"), F.sum(F.length("business_address") - F.length(F.replace("business_address", F.lit(","), F.lit("")))).alias("commas"), F.count_if(F.col("business_name").rlike("[^\\x00-\\x7f]")).alias("non_ascii"), F.count_if(~F.col("entity_id").rlike("^S[123]-[0-9]+$")).alias("bad_ids"))
 
 
+def _names(spark: SparkSession, sf: str) -> DataFrame:
+    """(s1, candidate, a, b): both raw names of each true link, in ASCII."""
+    r, keys = _records(spark, sf), _keys(spark, sf)
+    side = lambda x, y: r.select(F.col("entity_id").alias(x), _plain(F.col("business_name")).alias(y))
+    return _truth(keys).join(side("s1", "a"), "s1").join(side("candidate", "b"), "candidate")
+
+
+def _jaccards(spark: SparkSession, sf: str) -> DataFrame:
+    f = _set_features(spark, sf)
+    return f.select("s1", "candidate", F.round((F.col("name_jaccard") + F.col("address_jaccard")) / 2, 4).alias("score"), "name_jaccard", "address_jaccard")
+
+
+def _ranked_pin(spark: SparkSession, sf: str) -> DataFrame:
+    rank = F.row_number().over(W.partitionBy("s1").orderBy("candidate"))
+    return _rule_matches(spark, sf)[2].withColumn("rank", rank)
+
+
+def _prf(spark: SparkSession, sf: str) -> DataFrame:
+    c = m.per_anchor(*_rule_matches(spark, sf))
+    alone = F.col("actual") == 0
+    return c.agg(F.sum("tp").alias("tp"), F.sum("pred").alias("pred"), F.sum("actual").alias("actual"), F.count_if(alone).alias("singletons"), F.count_if(alone & (F.col("pred") == 0)).alias("singletons_right"))
+
+
+def _validate(spark: SparkSession, sf: str) -> DataFrame:
+    anchors, truth, predicted = _rule_matches(spark, sf)
+    return a_.validate(anchors, truth, predicted, _records(spark, sf))
+
+
+def _truth_parse(spark: SparkSession, sf: str) -> DataFrame:
+    keys = _keys(spark, sf)
+    lists = _anchors(keys).join(_truth(keys), "s1", "left").groupBy(F.col("s1").alias("source1_entity_id")).agg(F.array_join(F.collect_list("candidate"), " , ").alias("matched_entity_ids"))
+    return parse_truth(lists)
+
+
+def _union_best(spark: SparkSession, sf: str) -> DataFrame:
+    j = _jaccards(spark, sf)
+    one = lambda col, name: j.select("s1", "candidate", F.col(col).alias("score"), F.lit(name).alias("method"))
+    return b.union_best([one("name_jaccard", "name"), one("address_jaccard", "address")])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     col = F.col
     q: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -114,6 +157,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "cap_quota": lambda x, f: b.quota_cap(_scored(x, f), CAP).select("s1", "candidate"),
         "hard_negatives": lambda x, f: b.hard_negatives(_scored(x, f), _truth(_keys(x, f))).select("s1", "candidate"),
     }
+    q |= {
+        "lookup_keys": lambda x, f: _keys(x, f).select("entity_id", t.lookup_keys(col("name_n"), col("addr_n")).alias("k")).select("entity_id", "k.*"),
+        "jaro_winkler": lambda x, f: _names(x, f).select("s1", "candidate", F.round(kernels.jaro_winkler_similarity("a", "b"), 6).alias("sim")),
+        "norm_stages": lambda x, f: a_.normalisation_stages(_names(x, f)),
+        "truth_parse": _truth_parse,
+        "pair_prf": _prf,
+        "topk_eval": lambda x, f: (lambda k: m.top_k(_anchors(k), _truth(k), _ranked_pin(x, f), [1, 2, 5]))(_keys(x, f)),
+        "threshold_sweep": lambda x, f: (lambda k: m.threshold_sweep(_anchors(k), _truth(k), _jaccards(x, f).select("s1", "candidate", col("score").alias("p"))))(_keys(x, f)),
+        "union_best": _union_best,
+        "score_regions": lambda x, f: _jaccards(x, f).groupBy(a_.score_region(col("name_jaccard"), col("address_jaccard")).alias("region")).agg(F.count("*").alias("n")),
+        "top1_gap": lambda x, f: a_.top_gap(_jaccards(x, f)),
+        "describe_features": lambda x, f: a_.describe(_jaccards(x, f), "name_jaccard"),
+        "score_histogram": lambda x, f: a_.histogram(_jaccards(x, f), "score", 0.0, 1.01, 25),
+        "country_profile": lambda x, f: _records(x, f).groupBy("country").agg(F.count("*").alias("n"), F.count_if(col("business_address") == "").alias("no_address"), F.sum(F.length("business_name")).alias("name_chars"), F.round(F.avg(col("business_address").rlike("[0-9]{5}").cast("double")), 6).alias("five_digits")),
+        "dup_prefix": lambda x, f: a_.before_first_repeat(x.read.parquet(f"{f}/documents.parquet").select((col("doc_id") % 151).alias("id"), col("doc_id").alias("pos"))),
+        "submission_validate": _validate,
+    }
     for route in b.ROUTES:
         q[f"route_{route}"] = lambda x, f, route=route: b.route_pairs(_keys(x, f), PER_KEY, (route,)).select("s1", "candidate")
     return q
@@ -165,6 +225,31 @@ def oracle_sql() -> dict[str, str]:
         "name_groups": f"WITH {s.NORMAL} SELECT upper(business_name) AS name, count(*) AS n, count(DISTINCT business_address) AS addresses, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM base WHERE NOT contains(lower(business_name), 'ß') GROUP BY 1 HAVING count(*) > 1 AND NOT contains(name, 'SS')",
         "submission_lists": f"{p}, {pin} SELECT k.entity_id AS s1, coalesce(string_agg(DISTINCT pred.candidate, ',' ORDER BY pred.candidate), '') AS ids FROM keys k LEFT JOIN pred ON pred.s1 = k.entity_id WHERE k.source = 'S1' GROUP BY 1",
     }
+    names = rf"{k}, {s.TRUTH}, nm AS (SELECT s1, candidate, regexp_replace(a.business_name, '[^\x00-\x7f]', '?', 'g') AS a, regexp_replace(b.business_name, '[^\x00-\x7f]', '?', 'g') AS b FROM truth JOIN keys a ON a.entity_id = s1 JOIN keys b ON b.entity_id = candidate)"
+    j = f"WITH jj AS ({out['pair_features_set']}), j AS (SELECT *, round((name_jaccard + address_jaccard) / 2, 4) AS score FROM jj)"
+    steps = ["{x}", "lower({x})", "replace({x}, '&', ' and ')", r"regexp_replace({x}, '[^\p{{L}}\p{{N}}\s]', ' ', 'g')", r"trim(regexp_replace({x}, '\s+', ' ', 'g'))", "array_to_string(list_sort(string_split({x}, ' ')), ' ')"]
+    x, y, stages = "a", "b", []
+    for label, step in zip(("raw", "casefold", "ampersand", "punctuation", "whitespace", "token_sort"), steps):
+        x, y = step.format(x=x), step.format(x=y)
+        stages.append(f"SELECT '{label}' AS stage, {x} = {y} AS equal, {x} <> '' AND {y} <> '' AND (contains({x}, {y}) OR contains({y}, {x})) AS held FROM nm")
+    share = lambda z: f"round(avg(CASE WHEN {z} THEN 1.0 ELSE 0.0 END), 6) AS {z}"
+    out |= {
+        "lookup_keys": f"{k}, w AS (SELECT *, coalesce({s.longest('name_n', f'length(z) >= 3 AND z NOT IN ({s._in(s.NAME_STOP)})', 1)}[1], '') AS lt, coalesce({s.longest('addr_n', f'length(z) >= 4 AND z NOT IN ({s._in(s.ADDRESS_STOP)}) AND NOT {s._DIGITS}', 1)}[1], '') AS at_, coalesce({s.longest('addr_n', s._DIGITS, 1)}[1], '') AS nn FROM keys) SELECT entity_id, substring(replace(name_n, ' ', ''), 1, 6) AS prefix, substring(lt, 1, 10) AS long_token, CASE WHEN nn <> '' AND at_ <> '' THEN nn || ':' || substring(at_, 1, 8) ELSE '' END AS address_key FROM w",
+        "jaro_winkler": f"{names} SELECT s1, candidate, round(jaro_winkler_similarity(a, b), 6) AS sim FROM nm",
+        "norm_stages": f"{names}, st AS ({' UNION ALL '.join(stages)}) SELECT stage, {share('equal')}, {share('held')} FROM st GROUP BY 1",
+        "truth_parse": f"{k}, {s.TRUTH} SELECT s1, candidate FROM truth",
+        "pair_prf": f"{counts} SELECT sum(tp)::BIGINT AS tp, sum(p)::BIGINT AS pred, sum(a)::BIGINT AS actual, count(*) FILTER (a = 0) AS singletons, count(*) FILTER (a = 0 AND p = 0) AS singletons_right FROM n",
+        "topk_eval": f"{pt}, {pin}, r AS (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY candidate) AS rank FROM pred), h AS (SELECT k.k, t.s1, count(*) AS links, count(*) FILTER (r.rank <= k.k) AS hits FROM truth t CROSS JOIN (VALUES (1), (2), (5)) k(k) LEFT JOIN r ON r.s1 = t.s1 AND r.candidate = t.candidate GROUP BY ALL) SELECT k, sum(links)::BIGINT AS links, sum(hits)::BIGINT AS found, round(sum(hits) / sum(links), 6) AS recall, round(count(*) FILTER (hits = links) / count(*), 6) AS full_hit_rate, (sum(links) - sum(hits))::BIGINT AS missed FROM h GROUP BY k",
+        "threshold_sweep": f"{j}, kk AS ({k}, {s.TRUTH} SELECT a.entity_id AS s1, t.candidate FROM keys a LEFT JOIN truth t ON t.s1 = a.entity_id WHERE a.source = 'S1'), st AS (SELECT i * 0.05::DOUBLE AS t FROM range(1, 20) r(i)), act AS (SELECT s1, count(candidate) AS a FROM kk GROUP BY 1), pr AS (SELECT j.s1, st.t, count(*) AS p, count(kk.candidate) AS tp FROM j JOIN st ON j.score >= st.t LEFT JOIN kk ON kk.s1 = j.s1 AND kk.candidate = j.candidate GROUP BY ALL), n AS (SELECT act.s1, st.t, act.a, coalesce(p, 0) AS p, coalesce(tp, 0) AS tp FROM act CROSS JOIN st LEFT JOIN pr ON pr.s1 = act.s1 AND pr.t = st.t) SELECT round(t, 2) AS threshold, round(avg(CASE WHEN a = 0 AND p = 0 THEN 1.0 WHEN tp = 0 THEN 0.0 ELSE 1.25 * (tp / p) * (tp / a) / (0.25 * (tp / p) + tp / a) END), 6) AS score FROM n GROUP BY t",
+        "union_best": f"{j} SELECT s1, candidate, greatest(name_jaccard, address_jaccard) AS score, CASE WHEN name_jaccard >= address_jaccard THEN 'name' ELSE 'address' END AS method FROM j",
+        "score_regions": f"{j} SELECT CASE WHEN name_jaccard >= 0.8 AND address_jaccard >= 0.7 THEN 'both' WHEN name_jaccard >= 0.8 THEN 'name' WHEN address_jaccard >= 0.7 THEN 'address' ELSE 'neither' END AS region, count(*) AS n FROM j GROUP BY 1",
+        "top1_gap": f"{j}, r AS (SELECT s1, candidate, score, row_number() OVER w AS n, lead(score) OVER w AS nx FROM j WINDOW w AS (PARTITION BY s1 ORDER BY score DESC, candidate)) SELECT s1, candidate, score, round(score - coalesce(nx, 0), 6) AS gap FROM r WHERE n = 1",
+        "describe_features": f"{j} SELECT count(name_jaccard) AS n, round(avg(name_jaccard), 6) AS mean, round(stddev_samp(name_jaccard), 6) AS std, min(name_jaccard) AS low, max(name_jaccard) AS high, {', '.join(f'round(quantile_cont(name_jaccard, {v}), 6) AS p{int(100 * v)}' for v in (0.01, 0.1, 0.25, 0.5, 0.75, 0.9))} FROM j",
+        "score_histogram": f"{j} SELECT CAST(floor(score / 1.01 * 25) AS BIGINT) + 1 AS bin, count(*) AS n FROM j GROUP BY 1",
+        "country_profile": f"WITH {s.NORMAL} SELECT country, count(*) AS n, count(*) FILTER (business_address = '') AS no_address, sum(length(business_name))::BIGINT AS name_chars, round(avg(CASE WHEN regexp_matches(business_address, '[0-9]{{5}}') THEN 1.0 ELSE 0.0 END), 6) AS five_digits FROM base GROUP BY 1",
+        "dup_prefix": "WITH r AS (SELECT doc_id % 151 AS id, doc_id AS pos, row_number() OVER (PARTITION BY doc_id % 151 ORDER BY doc_id) AS n FROM documents) SELECT id, pos FROM r WHERE pos < coalesce((SELECT min(pos) FROM r WHERE n > 1), 9223372036854775807)",
+        "submission_validate": f"{pt}, {pin} SELECT 'duplicate_ids' AS rule, 0::BIGINT AS violations UNION ALL SELECT 'match_not_candidate', count(*) FROM truth ANTI JOIN pred USING (s1, candidate) UNION ALL SELECT 'unknown_id', count(*) FROM pred WHERE candidate NOT IN (SELECT entity_id FROM keys) UNION ALL SELECT 'unknown_anchor', count(*) FROM pred WHERE s1 NOT IN (SELECT entity_id FROM keys)",
+    }
     for route in b.ROUTES:
         out[f"route_{route}"] = f"{p} SELECT s1, candidate FROM pairs WHERE route = '{route}'"
     return out

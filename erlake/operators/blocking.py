@@ -141,7 +141,7 @@ def features(both: DataFrame) -> DataFrame:
 
 
 def union_best(frames: list[DataFrame]) -> DataFrame:
-    """Several blockers' candidates, the best score of each pair; ties go to the first method by name."""
+    """Several blockers' candidates, the best score of each pair; ties go to the last method by name."""
     df = frames[0]
     for x in frames[1:]:
         df = df.unionByName(x)
