@@ -35,7 +35,9 @@ from .common import U
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 K, THETA, SEED = 2, 1.0, 17
 #: Bytes of text whose lattices a task holds at once.
-STEP = 600_000
+STEP = 1_500_000
+#: Cells (chunk, position, length) of lattices that are built at once.
+CELLS = 1_000_000
 _CHUNK = re.compile("\n+|▁*[^▁\n]+|▁+")
 _ESCAPED = "\U0010fffe"  # stands for a ▁ of the text; a noncharacter, itself always in byte pieces
 _BITS = 20
@@ -56,10 +58,18 @@ class Pieces:
         ordinary = [i for i in range(n) if not (p.is_byte(i) or p.is_control(i) or p.is_unknown(i))]
         self.longest = max(len(self.texts[i]) for i in ordinary)
         names = np.array([self._name(self.texts[i]) for i in ordinary], np.uint64)
-        order = np.argsort(names)
-        self.names, self.ids = names[order], np.array(ordinary, np.int64)[order]
-        self.bits = np.zeros(1 << _BITS, bool)
-        self.bits[(self.names >> U(64 - _BITS)).astype(np.int64)] = True
+        self.names, self.ids = names, np.array(ordinary, np.int64)
+        # direct addressing by _BITS bits of the name; names whose place is taken go to a table over other bits
+        self.tables, left = [], np.arange(len(names))
+        for shift in (64 - _BITS, 24, 4, 34, 14):
+            table, at = np.full(1 << _BITS, -1, np.int32), self._place(names[left], shift)
+            table[at] = left
+            self.tables.append((shift, table))
+            left = left[table[at] != left]
+            if not len(left):
+                break
+        else:
+            raise ValueError("pieces can't be placed")
         rank = np.full(n, n, float)
         rank[ordinary] = np.arange(1, len(ordinary) + 1)
         self.logp = -theta * (np.log(rank + 1) + math.log(math.log(n) + 0.5772))
@@ -73,15 +83,23 @@ class Pieces:
             h = c.pair(h, x[:, i])
         return int(h[0])
 
+    @staticmethod
+    def _place(h: np.ndarray, shift: int) -> np.ndarray:
+        return ((h >> U(shift)) & U((1 << _BITS) - 1)).astype(np.int64)
+
     def find(self, h: np.ndarray) -> np.ndarray:
         """Ids of the pieces with these names, -1 where there is none."""
-        out = np.full(h.shape, -1, np.int64)
-        at = np.flatnonzero(self.bits[(h >> U(64 - _BITS)).astype(np.int64)].ravel())
-        x = h.ravel()[at]
-        k = np.minimum(np.searchsorted(self.names, x), len(self.names) - 1)
-        ok = self.names[k] == x
-        out.ravel()[at[ok]] = self.ids[k[ok]]
-        return out
+        out = np.full(h.size, -1, np.int64)
+        todo, x = None, h.ravel()
+        for shift, table in self.tables:
+            k = table[self._place(x, shift)]
+            at = np.flatnonzero(k >= 0)
+            k, x = k[at], x[at]
+            todo = at if todo is None else todo[at]
+            ok = self.names[k] == x
+            out[todo[ok]] = self.ids[k[ok]]
+            todo, x = todo[~ok], x[~ok]
+        return out.reshape(h.shape)
 
 
 def _codes(x: np.ndarray) -> np.ndarray:
@@ -93,8 +111,16 @@ def pieces(model: str, theta: float) -> Pieces:
     return Pieces(model, theta)
 
 
+class _Numbers(dict):
+    """New keys get the next number."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 class Lattices:
-    """The chunks' lattices: ``base[chunk] + position`` is a node, ``ptr[node]`` its first edge."""
+    """The chunks' lattices: ``base[chunk] + position`` is a node, its edges are those from ``start[node]`` to ``stop[node]``."""
 
     def __init__(self, chunks: list[str], p: Pieces) -> None:
         size = np.array([len(x) for x in chunks], np.int64)
@@ -104,26 +130,31 @@ class Lattices:
         parts: list[tuple] = []
         for n in np.unique(size).tolist():
             which = np.flatnonzero(size == n)
-            for i in range(0, len(which), max(1, 400_000 // (n * min(n, p.longest)))):
-                parts.append(self._build(which[i : i + max(1, 400_000 // (n * min(n, p.longest)))], n, chunks, p))
+            size_ = max(1, CELLS // (n * min(n, p.longest)))
+            for i in range(0, len(which), size_):
+                parts.append(self._build(which[i : i + size_], n, chunks, p))
+        # a node's edges stand together, as each part lists them by node
         node, self.length, self.id, prob = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 4
-        order = np.argsort(node, kind="stable")
-        node, self.length, self.id, prob = node[order], self.length[order], self.id[order], prob[order]
-        self.ptr = np.searchsorted(node, np.arange(nodes + 1))
-        total = np.concatenate([[0.0], np.cumsum(prob)])
-        self.cum = total[1:] - total[self.ptr[node]]
+        first = np.flatnonzero(np.diff(node, prepend=-1) != 0)
+        self.start, self.stop = np.zeros(nodes, np.int64), np.zeros(nodes, np.int64)
+        self.start[node[first]] = first
+        self.stop[node[first]] = np.append(first[1:], len(node))
+        total = np.cumsum(prob)
+        self.cum = total - np.repeat(total[first] - prob[first], np.diff(np.append(first, len(node))))
+        self.cum[np.append(first[1:], len(node)) - 1] = 2.0
         self.logp = np.log(prob)
-        self.cum[self.ptr[1:] - 1] = 2.0
 
     def _build(self, which: np.ndarray, n: int, chunks: list[str], p: Pieces) -> tuple:
         code = np.frombuffer("".join([chunks[i] for i in which.tolist()]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n)
         x, most = _codes(code), min(n, p.longest)
-        ids = np.full((len(which), n, most), -1, np.int64)
+        ids = np.full((len(which), n, most), -1, np.int32)
         h = x
         for k in range(most):
             if k:
                 h = c.pair(h[:, :-1], x[:, k:])
             ids[:, : n - k, k] = p.find(h)
+        most = 1 + int(np.flatnonzero((ids >= 0).any(axis=(0, 1)))[-1:].max(initial=0))
+        ids = ids[:, :, :most]
         lone = ids[:, :, 0] < 0
         ids[:, :, 0][lone] = len(p.texts) + code[lone]
         score = np.where(ids >= 0, p.logp[np.clip(ids, 0, len(p.texts) - 1)], -np.inf)
@@ -147,7 +178,7 @@ class Lattices:
         while len(live):
             step += 1
             u = (c.mix(noise[live] + U(step * int(c._C) & _MASK)) >> U(11)).astype(float) * 2.0**-53
-            e = self.ptr[node]
+            e = self.start[node]
             todo = np.flatnonzero(self.cum[e] < u)
             while len(todo):
                 e[todo] += 1
@@ -168,7 +199,7 @@ class Lattices:
         path: tuple[int, ...] = ()
         mass, logp = 1.0, 0.0
         while node < end:
-            lo, hi = int(self.ptr[node]), int(self.ptr[node + 1])
+            lo, hi = int(self.start[node]), int(self.stop[node])
             left = np.array([mass * math.exp(self.logp[e]) - sum(q for t, q in taken if t[: len(path) + 1] == (*path, e)) for e in range(lo, hi)])
             left = np.maximum(left, 0)
             if left.sum() <= 0:  # only rounding is left: the first edge that isn't the end of a taken path
@@ -189,12 +220,11 @@ def _gumbel(logmass: np.ndarray, bound: np.ndarray, noise: np.ndarray) -> np.nda
 
 def sample_texts(ids: np.ndarray, texts: list[str], p: Pieces, k: int, seed: int) -> list[list[tuple[np.ndarray, float, float]]]:
     """For each text its samples (piece ids, log-probability, inclusion), the largest perturbed value first."""
-    number: dict[str, int] = {}
+    number = _Numbers()
     flat: list[int] = []
     first = [0]
     for t in texts:
-        for x in _CHUNK.findall("▁" + t.replace("▁", _ESCAPED).replace(" ", "▁")):
-            flat.append(number.setdefault(x, len(number)))
+        flat += map(number.__getitem__, _CHUNK.findall("▁" + t.replace("▁", _ESCAPED).replace(" ", "▁")))
         first.append(len(flat))
     chunk, cut = np.array(flat, np.int64), np.array(first)
     lat = Lattices(list(number), p)
