@@ -81,6 +81,10 @@ def unit(vectors: pd.Series) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(vectors), np.float64).reshape(len(vectors), -1)
+
+
 def _places(near: DataFrame, books, limit: float) -> DataFrame:
     def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -90,9 +94,9 @@ def _places(near: DataFrame, books, limit: float) -> DataFrame:
                 ha, ba = bounds(x[:, : size // 2], one)
                 hb, bb = bounds(x[:, size // 2 :], two)
                 visits = [[i * len(two) + j for i, j in multi_sequence(a, b, limit)] for a, b in zip(ba, bb)]
-                yield pd.DataFrame({"node": part["node"].to_numpy(), "label": part["label"].to_numpy(), "size": size, "n": part["n"].to_numpy(), "vector": part["vector"].to_numpy(), "home": ha * len(two) + hb, "visits": visits})
+                yield pd.DataFrame({"node": part["node"].to_numpy(), "label": part["label"].to_numpy(), "size": size, "n": part["n"].to_numpy(), "vector": [v.tobytes() for v in x], "home": ha * len(two) + hb, "visits": visits})
 
-    return near.mapInPandas(emit, "node long, label string, size int, n long, vector array<double>, home int, visits array<int>")
+    return near.mapInPandas(emit, "node long, label string, size int, n long, vector binary, home int, visits array<int>")
 
 
 def _solve(key: tuple, left: pd.DataFrame, right: pd.DataFrame, threshold: float) -> pd.DataFrame:
@@ -100,7 +104,7 @@ def _solve(key: tuple, left: pd.DataFrame, right: pd.DataFrame, threshold: float
     out = {"node": [], "links": [], "low": []}
     if len(left) and len(right):
         q, v = left["node"].to_numpy(), right["node"].to_numpy()
-        rows, cols = np.nonzero((unit(left["vector"]) @ unit(right["vector"]).T >= threshold) & (q[:, None] != v[None, :]))
+        rows, cols = np.nonzero((_matrix(left["vector"]) @ _matrix(right["vector"]).T >= threshold) & (q[:, None] != v[None, :]))
         links = np.bincount(rows, weights=right["n"].to_numpy()[cols], minlength=len(q)).astype(np.int64)
         lq, lv = q.copy(), v.copy()
         while len(rows):
