@@ -36,6 +36,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 K, THETA, SEED = 2, 1.0, 17
 #: Bytes of text whose lattices a task holds at once.
 STEP = 1_500_000
+#: Characters up to which all substrings are looked up.
+SHORT = 4
 #: Cells (chunk, position, length) of lattices that are built at once.
 CELLS = 1_000_000
 _CHUNK = re.compile("\n+|▁*[^▁\n]+|▁+")
@@ -57,7 +59,18 @@ class Pieces:
         self.byte_of = {i: b for b, i in self.byte.items()}
         ordinary = [i for i in range(n) if not (p.is_byte(i) or p.is_control(i) or p.is_unknown(i))]
         self.longest = max(len(self.texts[i]) for i in ordinary)
-        names = np.array([self._name(self.texts[i]) for i in ordinary], np.uint64)
+        names = np.zeros(len(ordinary), np.uint64)
+        self.begins = np.zeros(1 << _BITS, bool)  # names of beginnings of pieces, from SHORT characters on
+        size = np.array([len(self.texts[i]) for i in ordinary])
+        for n_ in np.unique(size).tolist():
+            at = np.flatnonzero(size == n_)
+            x = _codes(np.array([[ord(y) for y in self.texts[ordinary[i]]] for i in at.tolist()], np.uint32))
+            h = x[:, 0].copy()
+            for k in range(1, n_):
+                h = c.pair(h, x[:, k])
+                if k + 1 >= SHORT:
+                    self.begins[self._place(h, 64 - _BITS)] = True
+            names[at] = h
         self.names, self.ids = names, np.array(ordinary, np.int64)
         # direct addressing by _BITS bits of the name; names whose place is taken go to a table over other bits
         self.tables, left = [], np.arange(len(names))
@@ -75,14 +88,6 @@ class Pieces:
         self.logp = -theta * (np.log(rank + 1) + math.log(math.log(n) + 0.5772))
         self.byte_logp = float(self.logp.min())
 
-    @staticmethod
-    def _name(text: str) -> int:
-        x = _codes(np.array([[ord(y) for y in text]], np.uint32))
-        h = x[:, 0]
-        for i in range(1, x.shape[1]):
-            h = c.pair(h, x[:, i])
-        return int(h[0])
-
     @staticmethod
     def _place(h: np.ndarray, shift: int) -> np.ndarray:
         return ((h >> U(shift)) & U((1 << _BITS) - 1)).astype(np.int64)
@@ -149,10 +154,22 @@ class Lattices:
         x, most = _codes(code), min(n, p.longest)
         ids = np.full((len(which), n, most), -1, np.int32)
         h = x
-        for k in range(most):
+        for k in range(min(most, SHORT)):
             if k:
                 h = c.pair(h[:, :-1], x[:, k:])
             ids[:, : n - k, k] = p.find(h)
+        # longer pieces only where one begins so
+        w, i = np.nonzero(p.begins[p._place(h, 64 - _BITS)]) if most > SHORT else (np.zeros(0, np.int64),) * 2
+        h = h[w, i]
+        for k in range(SHORT, most):
+            go = i + k < n
+            w, i = w[go], i[go]
+            h = c.pair(h[go], x[w, i + k])
+            go = p.begins[p._place(h, 64 - _BITS)]
+            w, i, h = w[go], i[go], h[go]
+            if not len(w):
+                break
+            ids[w, i, k] = p.find(h)
         most = 1 + int(np.flatnonzero((ids >= 0).any(axis=(0, 1)))[-1:].max(initial=0))
         ids = ids[:, :, :most]
         lone = ids[:, :, 0] < 0
@@ -261,7 +278,8 @@ def sample_texts(ids: np.ndarray, texts: list[str], p: Pieces, k: int, seed: int
                 e, cuts, lp = np.concatenate([h[0], e]), np.concatenate([h[1][:-1], len(h[0]) + cuts]), np.concatenate([h[2], lp])
             done[w].append((e, cuts, lp, v))
             own = value[a:b]
-            best = np.argpartition(-own, k)[: k + 1] if len(own) > k + 1 else np.arange(len(own))
+            need = k - turn  # nodes that may still be popped, and the one that sets the inclusion threshold
+            best = np.array([own.argmax()]) if need == 1 and len(own) else np.argpartition(-own, need)[:need] if len(own) > need else np.arange(len(own))
             for i in best.tolist():
                 if own[i] > -np.inf:
                     j = s + i
