@@ -5,8 +5,12 @@ frequency of its hash cell, ``log((1 + N) / (1 + df)) + 1`` over ``2**DF_BITS``
 gets ``BANDS * ROWS`` samples; two texts agree in one with the probability of their weighted Jaccard similarity, so a pair at
 0.8 meets in some band with probability 0.997 (8 bands of 3). In every band's bucket all members are compared with a
 leader, chosen by hash and so another in each band; a second round compares members that aren't yet in their leader's
-class with another leader of the bucket. Buckets of any size so cost a pair a member; no pair within a group is emitted
-twice, none is dropped by a cap. Only pairs whose exact weighted Jaccard is ``threshold`` or more link.
+class with another leader of the bucket. Buckets of any size so cost a pair a member. What is left are buckets with
+several classes: there each member outside the bucket's largest class meets the members of other classes, unless their
+weights, their distances to the bucket's leader (one minus weighted Jaccard is a metric) or their rarest shingles rule a
+link out: in one order of all shingles, two texts that link share one before the point where less than ``threshold`` of a
+text's weight is left. So all pairs that meet in a band are compared, or in one class already, or proven to be below
+``threshold``; none is dropped by a cap. Only pairs whose exact weighted Jaccard is ``threshold`` or more link.
 
 Defined cases: identical texts are one class (if they have a word); null and empty texts and null ids link with nothing
 (a null id has a null class and is kept); rows that share a doc_id are one document; an empty table gives an empty
@@ -21,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as c
@@ -29,6 +33,8 @@ from .common import U
 from .toxicity import WORD
 
 WORDS, DF_BITS, BANDS, ROWS = 5, 21, 8, 3
+#: Room for rounding where a pair is ruled out without a comparison.
+SLACK = 1e-6
 _BLOCK_BITS = 15
 _LOG = -np.log((np.arange(65536, dtype=np.float32) + np.float32(0.5)) / np.float32(65536))
 _SEEDS = c.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * c._A)[:, None]
@@ -124,25 +130,27 @@ def samples(names: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, idf) -> DataFrame:
-    """doc, h1, h2 (of the text) and its bands' keys, for texts with a word."""
+    """doc, h1, h2 (of the text), its bands' keys and its weight, for texts with a word."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = idf.value
         for b in batches:
-            rows, keys = [], []
+            rows, keys, weight = [], [], []
             for k, (names, n) in enumerate(shingles(b.column(3))):
                 if len(names):
-                    x = samples(names, n * table[_cell(names)]).reshape(BANDS, ROWS)
+                    w = n * table[_cell(names)]
+                    weight.append(float(w.sum(dtype=float)))
+                    x = samples(names, w).reshape(BANDS, ROWS)
                     key = c.pair(c.pair(x[:, 0].copy(), x[:, 1]), x[:, 2]) + np.arange(BANDS, dtype=np.uint64)
                     rows.append(k)
                     keys.append(c.signed(key))
             if rows:
                 take = pa.array(rows, pa.int64())
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(rows) + 1, BANDS), pa.int32()), pa.array(np.concatenate(keys)))
-                yield pa.RecordBatch.from_arrays([*(b.column(i).take(take) for i in range(3)), bands], ["doc", "h1", "h2", "bands"])
+                yield pa.RecordBatch.from_arrays([*(b.column(i).take(take) for i in range(3)), bands, pa.array(weight, pa.float64())], ["doc", "h1", "h2", "bands", "weight"])
 
     given = docs.select("doc", F.xxhash64("text").alias("h1"), F.hash("text").cast("long").alias("h2"), "text")
-    return given.mapInArrow(emit, "doc long, h1 long, h2 long, bands array<long>")
+    return given.mapInArrow(emit, "doc long, h1 long, h2 long, bands array<long>, weight double")
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], idf: np.ndarray) -> float:
@@ -156,23 +164,66 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return both / total if total > 0 else 0.0
 
 
-def verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose weighted Jaccard is ``threshold`` or more; ``texts``: stored (doc, text)."""
+def compared(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
+    """The pairs (a, b) with their weighted Jaccard ``sim``; ``texts``: stored (doc, text)."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, last, left = idf.value, None, None
         for b in batches:
-            keep = []
+            sim = []
             x = b.column(0).to_pylist()
             for k, right in enumerate(shingles(b.column(3))):
                 if x[k] != last:
                     last, left = x[k], next(iter(shingles(b.column(2).slice(k, 1))))
-                keep.append(weighted_jaccard(left, right, table) >= threshold)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                sim.append(weighted_jaccard(left, right, table))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sim, pa.float64())], ["a", "b", "sim"])
 
     with_b = pairs.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b")
     with_a = with_b.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a")
-    return with_a.select("a", "b", "ta", "tb").mapInArrow(emit, "a long, b long")
+    return with_a.select("a", "b", "ta", "tb").mapInArrow(emit, "a long, b long, sim double")
+
+
+def _ordered(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def rarest(texts: DataFrame, idf, threshold: float) -> DataFrame:
+    """doc and its shingles, rarest first, up to where less than ``threshold`` of the text's weight is left."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = idf.value
+        for b in batches:
+            found = []
+            for names, n in shingles(b.column(1)):
+                scale = table[_cell(names)]
+                order = np.lexsort((names, -scale))
+                left = np.cumsum((n * scale.astype(float))[order][::-1])[::-1]  # from this one on
+                found.append(names[order[left >= (threshold - SLACK) * left[0]]] if len(names) else names)
+            cut = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(cut), pa.array(c.signed(np.concatenate(found))))], ["doc", "names"])
+
+    return texts.select("doc", "text").mapInArrow(emit, "doc long, names array<long>")
+
+
+def left_over(members: DataFrame, texts: DataFrame, root: DataFrame, tried: DataFrame, idf, threshold: float) -> DataFrame:
+    """Pairs (a, b) that meet in a bucket, aren't in one class and could still link.
+
+    ``members``: band, key, node, weight and its leader; ``tried``: compared pairs with ``sim``.
+    """
+    every = members.join(root.select(F.col("id").alias("node"), "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sizes = every.groupBy("band", "key", "root").agg(F.count("*").alias("n"))
+    several = sizes.groupBy("band", "key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("n")).where("n > 1").drop("n")
+    every = every.join(several, ["band", "key"]).select("*", *_ordered("node", "leader")).join(tried, ["a", "b"], "left")
+    every = c.stored(every.select("band", "key", "node", "root", "main", "weight", F.when(F.col("node") == F.col("leader"), 0.0).otherwise(1 - F.col("sim")).alias("dist")))
+    names = rarest(texts.join(every.select(F.col("node").alias("doc")).distinct(), "doc", "left_semi"), idf, threshold)
+    spread = every.join(names.withColumnRenamed("doc", "node"), "node").withColumn("name", F.explode("names"))
+    spread = c.stored(spread.select(F.xxhash64("band", "key", "name").alias("at"), "node", "root", (F.col("root") != F.col("main")).alias("odd"), "weight", "dist"))
+    wanted = spread.groupBy("at").agg(F.count("*").alias("n"), F.max("odd").alias("some")).where("n > 1 AND some").select("at")
+    spread = c.stored(spread.join(wanted, "at"))
+    odd = spread.where("odd").select("at", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("weight").alias("wx"), F.col("dist").alias("dx"))
+    near = (F.abs(F.col("dx") - F.col("dist")) <= 1 - threshold + SLACK) & (F.least("wx", "weight") >= (threshold - SLACK) * F.greatest("wx", "weight"))
+    met = odd.join(spread, "at").where((F.col("rx") != F.col("root")) & near)
+    return met.select(*_ordered("x", "node")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
 
 
 def classes(df: DataFrame, threshold: float = 0.8, rounds: int = 2) -> DataFrame:
@@ -182,24 +233,27 @@ def classes(df: DataFrame, threshold: float = 0.8, rounds: int = 2) -> DataFrame
     idf = spark.sparkContext.broadcast(idf_cells(docs))
     found = c.stored(sketches(docs, idf))
     # one node for each distinct text: its smallest id
-    nodes = c.stored(found.groupBy("h1", "h2").agg(F.min("doc").alias("node"), F.min_by("bands", "doc").alias("bands")))
+    nodes = c.stored(found.groupBy("h1", "h2").agg(F.min("doc").alias("node"), F.min_by(F.struct("bands", "weight"), "doc").alias("of")).select("h1", "h2", "node", "of.*"))
     copies = found.select("doc", "h1", "h2").join(nodes.select("h1", "h2", "node"), ["h1", "h2"]).select(F.col("doc").alias("a"), F.col("node").alias("b")).where("a <> b")
-    members = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    shared = c.stored(members.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key"))
+    members = nodes.select("node", "weight", F.posexplode("bands").alias("band", "key"))
+    shared = c.stored(members.groupBy("band", "key").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", "band", F.lit(0))).alias("leader")).where("n > 1").drop("n"))
     members = c.stored(members.join(shared, ["band", "key"]))
     wanted = c.stored(members.select(F.col("node").alias("doc")).distinct())
     texts = c.stored(docs.join(wanted, "doc").dropDuplicates(["doc"]))
     links, root, tried = copies, None, None
-    for r in range(rounds):
-        order = F.xxhash64("node", "band", F.lit(r))
-        leaders = c.stored(members.groupBy("band", "key").agg(F.min_by("node", order).alias("leader")))
-        pairs = members.join(leaders, ["band", "key"]).where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
-        if root is not None:
+    for r in range(rounds + 1):
+        if r == 0:
+            pairs = members.where("node <> leader").select(*_ordered("node", "leader")).distinct()
+        elif r < rounds:
+            leaders = c.stored(members.groupBy("band", "key").agg(F.min_by("node", F.xxhash64("node", "band", F.lit(r))).alias("other")))
+            pairs = members.join(leaders, ["band", "key"]).where("node <> other").select(*_ordered("node", "other")).distinct()
             of = lambda x: root.select(F.col("id").alias(x), F.col("root").alias(f"r{x}"))
-            pairs = pairs.distinct().join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b").join(tried, ["a", "b"], "left_anti")
-        pairs = c.stored(pairs.distinct())
-        tried = pairs
-        links = c.stored(links.union(verified(pairs, texts, idf, threshold)))
+            pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b").join(tried, ["a", "b"], "left_anti")
+        else:
+            pairs = left_over(members, texts, root, tried, idf, threshold)
+        now = c.stored(compared(c.stored(pairs), texts, idf))
+        tried = now if tried is None else tried.union(now)
+        links = c.stored(links.union(now.where(F.col("sim") >= threshold).select("a", "b")))
         root = c.stored(c.components(links))
     all_ = c.documents(df).select("doc_id").join(root.select(F.col("id").alias("doc_id"), "root"), "doc_id", "left")
     return all_.select("doc_id", F.coalesce("root", "doc_id").alias("class_id"), F.coalesce(F.col("root") == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -57,6 +57,41 @@ def test_minhash_dedup(spark, rows):
     assert kept.columns == frame(spark, rows).columns and {r.doc_id for r in kept.collect()} == {None, *want.values()}
 
 
+def test_minhash_dedup_compares_what_leaders_leave(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(400)]
+    texts = []
+    for d in range(90):
+        words = list(base)
+        for i in rng.integers(0, 400, rng.integers(1, 6)):
+            words[i] = f"x{rng.integers(0, 40)}"
+        texts.append((d, " ".join(words)))
+    want = minhash_dedup.brute_force(texts)
+    seen = []
+    real = minhash_dedup.left_over
+
+    def watched(*args):
+        pairs = real(*args)
+        seen.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(minhash_dedup, "left_over", watched)
+    got = {r.doc_id: r.class_id for r in minhash_dedup.classes(frame(spark, texts)).collect()}
+    assert got == want and 1 < len(set(want.values())) < 90 and seen[0] > 0
+
+
+def test_rarest_shingles_meet_wherever_a_pair_links(spark):
+    rng = np.random.default_rng(4)
+    texts = [(d, " ".join(f"v{min(i, 30 + i % 7) if rng.random() < 0.97 else rng.integers(0, 99)}" for i in range(50))) for d in range(40)] + [(50, "one two"), (51, "one")]
+    docs = spark.createDataFrame(texts, "doc long, text string")
+    idf = minhash_dedup.idf_cells(docs)
+    held = spark.sparkContext.broadcast(idf)
+    sets = dict(zip([d for d, _ in texts], minhash_dedup.shingles(pa.array([t for _, t in texts]))))
+    names = {r.doc: set(r.names) for r in minhash_dedup.rarest(docs, held, 0.8).collect()}
+    links = [(a, b) for a in sets for b in sets if a < b and minhash_dedup.weighted_jaccard(sets[a], sets[b], idf) >= 0.8]
+    assert links and all(names[a] & names[b] for a, b in links)
+
+
 def test_consistent_samples_agree_as_often_as_the_similarity():
     rng = np.random.default_rng(5)
     same = sim = 0.0
