@@ -188,27 +188,32 @@ def _ordered(x: str, y: str) -> list[Column]:
 
 
 def rarest(texts: DataFrame, idf, threshold: float) -> DataFrame:
-    """doc and its shingles, rarest first, up to where less than ``threshold`` of the text's weight is left."""
+    """doc and its shingles, rarest first, up to where less than ``threshold`` of the text's weight is left; that weight for each."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = idf.value
         for b in batches:
-            found = []
+            found, lefts = [], []
             for names, n in shingles(b.column(1)):
                 scale = table[_cell(names)]
                 order = np.lexsort((names, -scale))
                 left = np.cumsum((n * scale.astype(float))[order][::-1])[::-1]  # from this one on
-                found.append(names[order[left >= (threshold - SLACK) * left[0]]] if len(names) else names)
+                some = left >= (threshold - SLACK) * left[:1].sum()
+                found.append(names[order[some]])
+                lefts.append(left[some])
             cut = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(cut), pa.array(c.signed(np.concatenate(found))))], ["doc", "names"])
+            if found:
+                lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(x)) for x in (c.signed(np.concatenate(found)), np.concatenate(lefts))]
+                yield pa.RecordBatch.from_arrays([b.column(0), *lists], ["doc", "names", "lefts"])
 
-    return texts.select("doc", "text").mapInArrow(emit, "doc long, names array<long>")
+    return texts.select("doc", "text").mapInArrow(emit, "doc long, names array<long>, lefts array<double>")
 
 
 def left_over(members: DataFrame, texts: DataFrame, root: DataFrame, tried: DataFrame, idf, threshold: float) -> DataFrame:
     """Pairs (a, b) that meet in a bucket, aren't in one class and could still link.
 
-    ``members``: band, key, node, weight and its leader; ``tried``: compared pairs with ``sim``.
+    ``members``: band, key, node, weight and its leader; ``tried``: compared pairs with ``sim``. At the first shingle that a pair has
+    in common, what both share is at most what is left of either from there on, so a pair that links passes there.
     """
     every = members.join(root.select(F.col("id").alias("node"), "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     sizes = every.groupBy("band", "key", "root").agg(F.count("*").alias("n"))
@@ -216,12 +221,13 @@ def left_over(members: DataFrame, texts: DataFrame, root: DataFrame, tried: Data
     every = every.join(several, ["band", "key"]).select("*", *_ordered("node", "leader")).join(tried, ["a", "b"], "left")
     every = c.stored(every.select("band", "key", "node", "root", "main", "weight", F.when(F.col("node") == F.col("leader"), 0.0).otherwise(1 - F.col("sim")).alias("dist")))
     names = rarest(texts.join(every.select(F.col("node").alias("doc")).distinct(), "doc", "left_semi"), idf, threshold)
-    spread = every.join(names.withColumnRenamed("doc", "node"), "node").withColumn("name", F.explode("names"))
-    spread = c.stored(spread.select(F.xxhash64("band", "key", "name").alias("at"), "node", "root", (F.col("root") != F.col("main")).alias("odd"), "weight", "dist"))
+    spread = every.join(names.withColumnRenamed("doc", "node"), "node").withColumn("one", F.explode(F.arrays_zip("names", "lefts")))
+    spread = c.stored(spread.select(F.xxhash64("band", "key", "one.names").alias("at"), F.col("one.lefts").alias("left"), "node", "root", (F.col("root") != F.col("main")).alias("odd"), "weight", "dist"))
     wanted = spread.groupBy("at").agg(F.count("*").alias("n"), F.max("odd").alias("some")).where("n > 1 AND some").select("at")
     spread = c.stored(spread.join(wanted, "at"))
-    odd = spread.where("odd").select("at", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("weight").alias("wx"), F.col("dist").alias("dx"))
-    near = (F.abs(F.col("dx") - F.col("dist")) <= 1 - threshold + SLACK) & (F.least("wx", "weight") >= (threshold - SLACK) * F.greatest("wx", "weight"))
+    odd = spread.where("odd").select("at", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("weight").alias("wx"), F.col("dist").alias("dx"), F.col("left").alias("lx"))
+    enough = F.least("lx", "left") >= (threshold / (1 + threshold) - SLACK) * (F.col("wx") + F.col("weight"))
+    near = enough & (F.abs(F.col("dx") - F.col("dist")) <= 1 - threshold + SLACK) & (F.least("wx", "weight") >= (threshold - SLACK) * F.greatest("wx", "weight"))
     met = odd.join(spread, "at").where((F.col("rx") != F.col("root")) & near)
     return met.select(*_ordered("x", "node")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
 
