@@ -1,13 +1,12 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, distance-weighted votes.
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over an inverted index, distance-weighted votes.
 
 ``fit`` takes at most ``per_class`` labelled examples of each class (those with the smallest hash of their id; the one
-bounded sample here), keeps the words whose presence differs between the classes by a chi-squared of ``CHI`` at least, and
-builds posting lists over blocks of ``BLOCK`` examples with the largest weight of each word in each block. A search takes
-blocks by falling bound (the sum of query weight times block maximum) and ends when the next bound can't beat the k-th
-best, so its neighbours are exact. The neighbours' vote is calibrated on the examples themselves, each without itself,
-at the class rates of all labelled rows.
+bounded sample here) and keeps every word that any of them holds; document frequencies are counted over all documents. A search
+adds up all posting lists of a text's words (long lists as rows of a matrix, many texts at a time), so its neighbours are exact.
+The neighbours' vote and the text's TF-IDF vector times each word's signed chi-squared (all words take part) are calibrated
+on the examples themselves, each without itself, at the class rates of all labelled rows. Words that no example holds have no place in the vectors, nor in their lengths.
 
-Defined cases: null and empty texts and texts without any kept word get the rate of toxic examples among such texts; ties
+Defined cases: null and empty texts and texts without any word of the examples get the rate of toxic examples among such texts; ties
 in cosine go to the example that stands first in the index; a null label or id is no example, and of several labels of a
 document the largest holds; without examples of both classes the score is the rate of the class there is (0 for
 no labels); an empty table gives an empty result; other columns are ignored, whatever their names.
@@ -15,7 +14,8 @@ no labels); an empty table gives an empty result; other columns are ignored, wha
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import batched, tee
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +26,10 @@ from pyspark.sql import functions as F
 from . import common as c
 from .common import U
 
-PER_CLASS = 1500
-CHI = 30.0
-TERMS = 1024
-BLOCK = 64
+PER_CLASS = 4000
 K = 25
+#: Words that more than this share of the examples hold are rows of a matrix; so many texts are multiplied with it at once.
+DENSE, BATCH = 0.125, 64
 #: Words are runs of ASCII letters, digits and any byte of other characters.
 WORD = np.zeros(256, bool)
 WORD[128:] = WORD[48:58] = WORD[65:91] = WORD[97:123] = True
@@ -50,49 +49,47 @@ def term_counts(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 class Index:
     """The examples' posting lists, and the calibration of their votes."""
 
-    def __init__(self, docs: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, ids: np.ndarray, rate: float) -> None:
+    def __init__(self, docs: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, ids: np.ndarray, rate: float, terms: np.ndarray, df: np.ndarray, total: int) -> None:
         n, pos = len(docs), max(1, int(label.sum()))
         neg = max(1, n - pos)
-        words = np.concatenate([x for x, _ in docs] or [np.zeros(0, np.uint64)])
-        y = np.repeat(label, [len(x) for x, _ in docs]) if n else np.zeros(0, int)
-        every, inv = np.unique(words, return_inverse=True)
-        a = np.bincount(inv[y == 1], minlength=len(every)).astype(float)
-        b = np.bincount(inv[y == 0], minlength=len(every)).astype(float)
-        df, total = a + b, pos + neg
-        chi = total * (a * (neg - b) - b * (pos - a)) ** 2 / np.maximum(df * (total - df) * pos * neg, 1e-9)
-        best = np.lexsort((every, -chi))[:TERMS]
-        best = np.sort(best[(chi[best] >= CHI) & (df[best] >= 5)])
-        self.terms, self.idf = every[best], np.log((1 + total) / (1 + df[best])) + 1
+        self.terms, self.idf = terms, np.log((1 + total) / (1 + df)) + 1
         self.rate = rate
         vectors = [self.vector(*x) for x in docs]
-        # like examples share blocks, which makes the bounds tight: by class, then by the heaviest word
-        order = sorted(range(n), key=lambda i: (label[i], int(vectors[i][0][np.argmax(vectors[i][1])]) if len(vectors[i][0]) else -1, i))
-        order = [i for i in order if len(vectors[i][0])]
+        order = [i for i in range(n) if len(vectors[i][0])]
         self.label, self.ids = label[order].astype(float), ids[order]
-        self.n_blocks = max(1, -(-len(order) // BLOCK))
         term = np.concatenate([vectors[i][0] for i in order] or [np.zeros(0, np.int64)])
         weight = np.concatenate([vectors[i][1] for i in order] or [np.zeros(0)])
-        example = np.repeat(np.arange(len(order)), np.array([len(vectors[i][0]) for i in order], np.int64))
+        example = np.repeat(np.arange(len(order), dtype=np.int32), np.array([len(vectors[i][0]) for i in order], np.int64))
         by = np.lexsort((example, term))
         term, self.example, self.weight = term[by], example[by], weight[by]
-        key = term * (self.n_blocks + 1) + self.example // BLOCK
-        self.cut = np.searchsorted(key, (np.arange(len(self.terms))[:, None] * (self.n_blocks + 1) + np.arange(self.n_blocks + 1)).ravel()).reshape(len(self.terms), self.n_blocks + 1)
-        self.top = np.zeros((len(self.terms), self.n_blocks))
-        np.maximum.at(self.top, (term, self.example // BLOCK), self.weight)
+        self.cut = np.searchsorted(term, np.arange(len(terms))[:, None] + np.arange(2))
+        # long lists as rows of a matrix
+        held = self.cut[:, 1] - self.cut[:, 0]
+        heavy = np.flatnonzero(held > DENSE * len(order))
+        self.row = np.full(len(terms), -1, np.int64)
+        self.row[heavy] = np.arange(len(heavy))
+        self.dense = np.zeros((len(heavy), len(order)))
+        at = self.row[term] >= 0
+        self.dense[self.row[term[at]], self.example[at]] = self.weight[at]
         # calibration at the population's class rates
         share = np.where(label == 1, rate / pos, (1 - rate) / neg)
         bare = np.array([len(v[0]) == 0 for v in vectors], bool)
         prior = 1e-3
         self.bare = float((share[bare & (label == 1)].sum() + prior * rate) / (share[bare].sum() + prior)) if n else rate
-        votes, ys, ws = [], [], []
-        for place, i in enumerate(order):
-            votes.append(self.vote(*self.search(*vectors[i], skip=place)))
-            ys.append(label[i])
-            ws.append(share[i])
-        self.slope, self.shift = _logistic(np.array(votes), np.array(ys, float), np.array(ws)) if len(votes) > 1 else (0.0, _logit(rate))
+        # without itself an example's own words would not be known
+        others = [(t[held[t] > 1], w[held[t] > 1]) for t, w in (vectors[i] for i in order)]
+        near = self.cosines((t, w / max(float(np.sqrt((w * w).sum())), 1e-12)) for t, w in others)
+        y = label[order]
+        a = np.bincount(term[y[self.example] == 1], minlength=len(terms))
+        self.chi, votes = _signed_chi(a, held - a, y.sum(), (1 - y).sum()), []
+        for place, (i, x) in enumerate(zip(order, near)):
+            t, w = vectors[i]
+            chi = _signed_chi(a[t] - y[place], (held - a)[t] - (1 - y[place]), y.sum() - y[place], (1 - y).sum() - (1 - y[place]))
+            votes.append((self.vote(*self.nearest(x, place)), np.arcsinh(w @ chi)))
+        self.slope, self.shift = _logistic(np.array(votes), label[order].astype(float), share[order]) if len(votes) > 1 else (np.zeros(2), _logit(rate))
 
     def vector(self, names: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Kept words' numbers and their TF-IDF weights, of length 1."""
+        """Numbers and TF-IDF weights, of length 1, of the words that any example holds."""
         if not len(self.terms) or not len(names):
             return np.zeros(0, np.int64), np.zeros(0)
         at = np.searchsorted(self.terms, names)
@@ -101,38 +98,47 @@ class Index:
         at, w = at[ok], (1 + np.log(counts[ok])) * self.idf[at[ok]]
         return at, w / max(float(np.sqrt((w * w).sum())), 1e-12)
 
+    def cosines(self, vectors: Iterable[tuple[np.ndarray, np.ndarray]]) -> Iterator[np.ndarray]:
+        """For each vector its cosine with every example."""
+        for part in batched(vectors, BATCH):
+            rows = [self.row[t] for t, _ in part]
+            heavy = np.zeros((len(part), len(self.dense)))
+            for i, (r, (_, w)) in enumerate(zip(rows, part)):
+                heavy[i, r[r >= 0]] = w[r >= 0]
+            out = heavy @ self.dense
+            for r, (t, w), total in zip(rows, part, out):
+                cut, w = self.cut[t[r < 0]], w[r < 0]
+                size = cut[:, 1] - cut[:, 0]
+                at = np.repeat(cut[:, 0] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+                total += np.bincount(self.example[at], weights=self.weight[at] * np.repeat(w, size), minlength=len(total))
+                yield np.round(total, 12)
+
+    def nearest(self, cosines: np.ndarray, skip: int = -1, k: int = K) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest examples with a cosine above 0: (places, cosines) by falling cosine."""
+        if skip >= 0:
+            cosines[skip] = 0
+        least = np.partition(cosines, -k)[-k] if len(cosines) > k else 0
+        places = np.flatnonzero((cosines >= least) & (cosines > 0))
+        best = places[np.lexsort((places, -cosines[places]))[:k]]
+        return best, cosines[best]
+
     def search(self, terms: np.ndarray, weights: np.ndarray, skip: int = -1, k: int = K) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest examples with a cosine above 0, exactly: (places, cosines) by falling cosine."""
-        if not len(terms):
-            return np.zeros(0, np.int64), np.zeros(0)
-        bound = weights @ self.top[terms]
-        order = np.argsort(-bound, kind="stable")
-        places, cosines, done, group = np.zeros(0, np.int64), np.zeros(0), 0, 4
-        while done < len(order) and bound[order[done]] > 0 and (len(cosines) < k or bound[order[done]] >= cosines[k - 1] - 1e-12):
-            blocks = order[done : done + group]
-            done, group = done + group, group * 2
-            start = self.cut[terms[:, None], blocks].ravel()
-            size = (self.cut[terms[:, None], blocks + 1].ravel()) - start
-            at = np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-            got, inv = np.unique(self.example[at], return_inverse=True)
-            score = np.bincount(inv, weights=self.weight[at] * np.repeat(np.repeat(weights, len(blocks)), size), minlength=len(got))
-            got, score = got[got != skip], score[got != skip]
-            places, cosines = np.concatenate([places, got]), np.concatenate([cosines, score])
-            best = np.lexsort((places, -cosines))[:k]
-            places, cosines = places[best], cosines[best]
-        return places, cosines
+        return self.nearest(next(self.cosines([(terms, weights)])), skip, k)
 
     def vote(self, places: np.ndarray, cosines: np.ndarray) -> float:
         """Mean label by closeness, as log odds; each neighbour weighs its cosine squared."""
         w = cosines**2
         return _logit((float((w * self.label[places]).sum()) + 0.02) / (float(w.sum()) + 0.04))
 
-    def score(self, names: np.ndarray, counts: np.ndarray) -> tuple[float, list[tuple[int, float, int]]]:
-        places, cosines = self.search(*self.vector(names, counts))
-        if not len(places):
-            return self.bare, []
-        z = self.slope * self.vote(places, cosines) + self.shift
-        return float(1 / (1 + np.exp(-z))), [(int(self.ids[p]), round(float(x), 6), int(self.label[p])) for p, x in zip(places[:3], cosines)]
+    def scores(self, docs: Iterable[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[float, list[tuple[int, float, int]]]]:
+        mine, again = tee(self.vector(*d) for d in docs)
+        for (t, w), x in zip(again, self.cosines(mine)):
+            places, cosines = self.nearest(x)
+            if not len(places):
+                yield self.bare, []
+                continue
+            z = float(self.slope @ np.array([self.vote(places, cosines), np.arcsinh(w @ self.chi[t])])) + self.shift
+            yield float(1 / (1 + np.exp(-z))), [(int(self.ids[p]), round(float(x), 6), int(self.label[p])) for p, x in zip(places[:3], cosines)]
 
 
 def _logit(p: float) -> float:
@@ -140,20 +146,27 @@ def _logit(p: float) -> float:
     return float(np.log(p / (1 - p)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
-    """Slope and shift by Newton's method on the weighted likelihood, with a weak prior."""
+def _signed_chi(a: np.ndarray, b: np.ndarray, pos: int, neg: int) -> np.ndarray:
+    """Chi-squared of words that a toxic and b other examples hold; below 0 for words of the others."""
+    a, b, n = a.astype(float), b.astype(float), pos + neg
+    lean = a * neg - b * pos
+    return np.where(a + b > 0, n * lean * np.abs(lean) / np.maximum((a + b) * (n - a - b) * pos * neg, 1e-9), 0) if pos and neg else np.zeros(len(a))
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, float]:
+    """Slopes and shift by Newton's method on the weighted likelihood, with a weak prior."""
     w = w / w.sum() * len(x)
-    a, b = 1.0, 0.0
+    x = np.column_stack([x, np.ones(len(x))])
+    prior = np.array([1.0, *[0.0] * (x.shape[1] - 1)])
+    a = prior.copy()
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        g = np.array([(w * (p - y) * x).sum() + 0.1 * (a - 1), (w * (p - y)).sum() + 0.1 * b])
+        p = 1 / (1 + np.exp(-np.clip(x @ a, -30, 30)))
         v = w * p * (1 - p)
-        h = np.array([[(v * x * x).sum() + 0.1, (v * x).sum()], [(v * x).sum(), v.sum() + 0.1]])
-        step = np.linalg.solve(h, g)
-        a, b = a - step[0], b - step[1]
+        step = np.linalg.solve((x * v[:, None]).T @ x + 0.1 * np.eye(x.shape[1]), x.T @ (w * (p - y)) + 0.1 * (a - prior))
+        a = a - step
         if np.abs(step).max() < 1e-8:
             break
-    return float(a), float(b)
+    return a[:-1], float(a[-1])
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -172,17 +185,51 @@ def fit(df: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Index:
     rows = rows.sort_by([("doc_id", "ascending")])
     total = max(1, sum(counts.values()))
     texts = rows.column("text").combine_chunks() if rows.num_rows else pa.array([], pa.string())
-    return Index(list(term_counts(texts)), rows.column("y").to_numpy().astype(int), rows.column("doc_id").to_numpy(), counts.get(1, 0) / total)
+    found = list(term_counts(texts))
+    terms = np.unique(np.concatenate([x for x, _ in found] or [np.zeros(0, np.uint64)]))
+    df_, n = document_frequencies(c.documents(df).select("text"), terms)
+    return Index(found, rows.column("y").to_numpy().astype(int), rows.column("doc_id").to_numpy(), counts.get(1, 0) / total, terms, df_, n)
+
+
+def document_frequencies(texts: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
+    """How many of the texts hold each of ``terms`` (sorted names), and the number of texts."""
+    if not len(terms):
+        return np.zeros(0, np.int64), 0
+    held = texts.sparkSession.sparkContext.broadcast(terms)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = held.value
+        count, n = np.zeros(len(terms) + 1, np.int64), len(terms)
+        for b in batches:
+            count[n] += b.num_rows
+            data, at = c.byte_parts(pc.utf8_lower(b.column(0)))
+            for i, j in c.steps(at):
+                part = data[at[i] : at[j]]
+                s, e, first = c.word_bounds(part, at[i : j + 1] - at[i], WORD)
+                doc = np.repeat(np.arange(j - i), np.diff(first))
+                names, word = np.unique(c.word_names(part, s, e), return_inverse=True)
+                place = np.searchsorted(terms, names)
+                place[place == n] = 0
+                place = np.where(terms[place] == names, place, -1)[word]
+                seen = np.unique(doc[place >= 0] * n + place[place >= 0]) % n
+                count[:n] += np.bincount(seen, minlength=n)
+        some = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(count[some])], ["place", "n"])
+
+    got = texts.mapInArrow(emit, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(terms) + 1, np.int64)
+    out[got.column("place").to_numpy()] = got.column("n").to_numpy()
+    return out[:-1], int(out[-1])
 
 
 def score_toxicity(df: DataFrame, index: Index) -> DataFrame:
     """doc_id, score and evidence (id, cosine, label of the three nearest examples) of every row."""
-    held = df.sparkSession.sparkContext.broadcast(index)  # bounded by PER_CLASS examples and TERMS words
+    held = df.sparkSession.sparkContext.broadcast(index)  # bounded by PER_CLASS examples and their words
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = held.value
         for b in batches:
-            got = [index.score(*x) for x in term_counts(b.column(1))]
+            got = list(index.scores(term_counts(b.column(1))))
             evidence = pa.array([[{"doc_id": i, "cosine": x, "label": y} for i, x, y in e] for _, e in got], pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())])))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in got], pa.float64()), evidence], ["doc_id", "score", "evidence"])
 
@@ -196,7 +243,7 @@ def drop_toxic(df: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Data
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = [index.value.score(*x)[0] < threshold for x in term_counts(b.column(col))]
+            keep = [x < threshold for x, _ in index.value.scores(term_counts(b.column(col)))]
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return df.mapInArrow(emit, schema)

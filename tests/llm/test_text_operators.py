@@ -155,6 +155,21 @@ def test_toxicity_search_is_exact_and_scores(spark):
     assert toxicity.drop_toxic(frame(spark, docs), labels).columns == frame(spark, docs).columns
 
 
+def test_toxicity_keeps_every_word_of_the_examples(spark):
+    rng = random.Random(8)
+    # each toxic word stands in four examples alone, under any cut by frequency or chi-squared
+    docs = [(i, prose(rng, 12) + (f" slur{i // 8}" * 6 if i % 2 else "")) for i in range(320)] + [(1000 + i, prose(rng, 12) + f" slur{i}" * 6) for i in range(40)]
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(320)], "doc_id long, quality int, toxic int")
+    index = toxicity.fit(frame(spark, docs), labels)
+    words = {i: dict(zip(*(x.tolist() for x in d))) for (i, _), d in zip(docs, toxicity.term_counts(pa.array([t for _, t in docs])))}
+    assert set(index.terms.tolist()) == {w for i in index.ids for w in words[int(i)]}
+    df = {w: sum(w in x for x in words.values()) for x in words.values() for w in x}
+    assert index.idf == pytest.approx([np.log((1 + len(docs)) / (1 + df[w])) + 1 for w in index.terms.tolist()])
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(frame(spark, docs), index).collect()}
+    known = {int(i) // 8 for i, y in zip(index.ids, index.label) if y}
+    assert sum(got[1000 + i] >= 0.5 for i in known) > 0.9 * len(known)
+
+
 def test_license_scan(spark):
     mit = dict(license_scan.KNOWN[:1])["MIT"]
     docs = [(1, "Copyright (c) 2020 Someone\n" + mit.upper().replace(",", " ,")), (2, "MIT"), (3, None), (4, "Released under the MIT Licence.")]
