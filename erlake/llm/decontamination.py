@@ -1,14 +1,13 @@
 """Benchmark decontamination by template windows.
 
 Words are canonicalised: a number becomes NUMBER, a capitalised word inside a sentence NAME, a unit after a number UNIT;
-any other word stays, in lower case. Windows of ``WINDOW`` canonical words (all of them, in a shorter item) are hashed. A bitmap
+any other word stays, in lower case. Windows of ``WINDOW`` canonical words are hashed as templates if at least ``LITERAL`` of the words
+aren't placeholders; all other windows (and the whole of a shorter item) are hashed with their very words, and match only those. A bitmap
 of the benchmark's windows, whose size is fixed, keeps other document windows from the join; the hash join on the 128-bit
 keys is exact. Matches of one item on one diagonal (document position less item position) form an alignment. It counts if its
 slots are consistent: each value that a placeholder has in the item stands for one value in the document, and the other
 way round. So a question with other numbers or names matches, and a table that merely looks alike doesn't. A document is
-contaminated by an item if consistent alignments cover ``COVERED`` of the item's windows.
-
-Windows need at least ``LITERAL`` words that aren't placeholders (all words, in a shorter item).
+contaminated by an item if consistent alignments cover ``COVERED`` of the item's windows, or of its templates.
 
 Defined cases: null and empty texts and items match nothing; null ids match nothing; repeated items and rows that
 share a doc_id count once; an empty table on either side gives an empty result; other columns are ignored.
@@ -29,9 +28,11 @@ from .common import U
 from .toxicity import WORD
 
 WINDOW, LITERAL, COVERED, BITS = 8, 4, 0.4, 23
+#: Bytes of text a step; each window takes several arrays.
+STEP = 250_000
 #: Unit words, abbreviated and in full (fixed values).
 UNITS = "mm cm m km in ft yd mi mg g kg t lb oz ml l s sec min h hr d w v hz khz mhz ghz pa bar kb mb gb tb percent pct usd eur gbp dollars dollar euros euro pounds pound cents cent meters meter metres metre kilometers kilometer kilometres miles mile feet foot inches inch grams gram kilograms kilogram liters liter litres litre seconds second minutes minute hours hour days day weeks week months month years year".split()
-_NUMBER, _NAME, _UNIT = (c.mix(np.array([x], np.uint64))[0] for x in (11, 22, 33))
+_NUMBER, _NAME, _UNIT, _EXACT = (c.mix(np.array([x], np.uint64))[0] for x in (11, 22, 33, 44))
 _DIGIT, _LETTER, _STOP = np.zeros(256, np.int64), np.zeros(256, np.int64), np.zeros(256, np.int64)
 _DIGIT[48:58] = 1
 _LETTER[65:91] = 1
@@ -95,13 +96,14 @@ def _windows(names: np.ndarray, slot: np.ndarray, size: int) -> tuple[np.ndarray
     return k1, k2 + U(size), held[size:] - held[:-size]
 
 
-MATCH = "id long, pos int, n int, k1 long, k2 long, offsets array<int>, vals array<long>"
+MATCH = "id long, pos int, n int, n_templates int, size int, template boolean, k1 long, k2 long, offsets array<int>, vals array<long>"
 
 
-def windows(rows: DataFrame, sizes, bitmap=None) -> DataFrame:
-    """(id, pos, n, k1, k2, offsets, vals): every window with its placeholders' places and values; n: the text's windows.
+def windows(rows: DataFrame, kinds, bitmap=None) -> DataFrame:
+    """(id, pos, n, n_templates, size, template, k1, k2, offsets, vals): every window, templates with their placeholders' places and
+    values; n, n_templates: the text's windows, and how many of them are templates.
 
-    ``sizes``: None for a benchmark (one size for each item), else the sizes to look for; ``bitmap`` filters.
+    ``kinds``: None for a benchmark (one size for each item), else the (size, template) to look for; ``bitmap`` filters.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,34 +111,40 @@ def windows(rows: DataFrame, sizes, bitmap=None) -> DataFrame:
         for b in batches:
             ids = b.column(0).to_numpy()
             data, low, at = _same_length(b.column(1))
-            for i, j in c.steps(at):
+            for i, j in c.steps(at, STEP):
                 own = at[i : j + 1] - at[i]
                 names, value, slot, first = canonical(data[at[i] : at[j]], low[at[i] : at[j]], own)
                 words = np.diff(first)
                 doc = np.repeat(np.arange(j - i), words)
-                for size in sizes or sorted({int(min(x, WINDOW)) for x in words if x}):
+                for size in sorted({int(min(x, WINDOW)) for x in words if x} if kinds is None else {x for x, _ in kinds}):
                     if len(names) < size:
                         continue
-                    k1, k2, literal = _windows(names, slot, size)
-                    start = np.arange(len(k1))
-                    d = doc[: len(k1)]
-                    ok = start + size <= first[d + 1]
+                    start = np.arange(len(names) - size + 1)
+                    inside = start + size <= first[doc[start] + 1]
                     if bits is None:
-                        ok &= np.minimum(words[d], WINDOW) == size
-                    else:
-                        cell = (k1 >> U(64 - BITS)).astype(np.int64)
-                        ok &= bits[cell]
-                    ok &= literal >= (LITERAL if size == WINDOW else size)
-                    start = start[ok]
-                    if not len(start):
-                        continue
-                    d = d[start]
-                    cells = start[:, None] + np.arange(size)
-                    mask = slot[cells]
-                    off = np.concatenate([[0], np.cumsum(mask.sum(1))]).astype(np.int32)
-                    offsets = pa.ListArray.from_arrays(pa.array(off), pa.array((np.broadcast_to(np.arange(size), mask.shape)[mask]).astype(np.int32)))
-                    vals = pa.ListArray.from_arrays(pa.array(off), pa.array(c.signed(value[cells[mask]])))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][d]), pa.array((start - first[d]).astype(np.int32)), pa.array((words[d] - size + 1).astype(np.int32)), pa.array(c.signed(k1[start])), pa.array(c.signed(k2[start])), offsets, vals], ["id", "pos", "n", "k1", "k2", "offsets", "vals"])
+                        inside &= np.minimum(words[doc[start]], WINDOW) == size
+                    for template in (True, False):
+                        if template and size < WINDOW or kinds is not None and (size, template) not in kinds:
+                            continue
+                        k1, k2, literal = _windows(names if template else value, slot, size)
+                        strong = inside & (literal >= LITERAL) if size == WINDOW else np.zeros(len(inside), bool)
+                        n_templates = np.bincount(doc[start[strong]], minlength=j - i)
+                        if not template:
+                            k1, k2 = c.pair(k1, np.full(len(k1), _EXACT)), k2 ^ _EXACT
+                        ok = strong if template else inside & ~strong if bits is None else inside
+                        if bits is not None:
+                            ok = ok & bits[(k1 >> U(64 - BITS)).astype(np.int64)]
+                        at_ = np.flatnonzero(ok)
+                        if not len(at_):
+                            continue
+                        d = doc[at_]
+                        cells = at_[:, None] + np.arange(size)
+                        mask = slot[cells] & template
+                        off = np.concatenate([[0], np.cumsum(mask.sum(1))]).astype(np.int32)
+                        offsets = pa.ListArray.from_arrays(pa.array(off), pa.array((np.broadcast_to(np.arange(size), mask.shape)[mask]).astype(np.int32)))
+                        vals = pa.ListArray.from_arrays(pa.array(off), pa.array(c.signed(value[cells[mask]])))
+                        columns = [ids[i:j][d], (at_ - first[d]).astype(np.int32), (words[d] - size + 1).astype(np.int32), n_templates[d].astype(np.int32), np.full(len(at_), size, np.int32), np.full(len(at_), template), c.signed(k1[at_]), c.signed(k2[at_])]
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), offsets, vals], ["id", "pos", "n", "n_templates", "size", "template", "k1", "k2", "offsets", "vals"])
 
     return rows.mapInArrow(emit, MATCH)
 
@@ -163,15 +171,19 @@ def contaminated(df: DataFrame, benchmark: DataFrame, covered: float = COVERED)
     known = c.stored(windows(items, None).withColumnsRenamed({"id": "item_id", "pos": "at", "n": "n_windows", "offsets": "slots", "vals": "item_vals"}))
     bits = spark.sparkContext.broadcast(_bitmap(known))
     docs = c.documents(df).where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text")
-    seen = c.stored(windows(docs, list(range(1, WINDOW + 1)), bits))
-    hits = c.stored(seen.drop("n").withColumnRenamed("id", "doc_id").join(known, ["k1", "k2"]).select("doc_id", "item_id", "n_windows", "at", (F.col("pos") - F.col("at")).alias("diagonal"), "slots", "item_vals", "vals").distinct())
+    kinds = {(x.size, x.template) for x in known.select("size", "template").distinct().collect()}
+    seen = c.stored(windows(docs, kinds, bits))
+    hits = c.stored(seen.drop("n", "n_templates", "size", "template").withColumnRenamed("id", "doc_id").join(known, ["k1", "k2"]).select("doc_id", "item_id", "n_windows", "n_templates", "template", "at", (F.col("pos") - F.col("at")).alias("diagonal"), "slots", "item_vals", "vals").distinct())
     line = ["doc_id", "item_id", "diagonal"]
     slots = hits.where("size(vals) > 0").select(*line, F.explode(F.arrays_zip("item_vals", "vals")).alias("x")).select(*line, F.col("x.item_vals").alias("i"), F.col("x.vals").alias("d")).distinct()
     torn = slots.groupBy(*line, "i").count().where("count > 1").select(*line).union(slots.groupBy(*line, "d").count().where("count > 1").select(*line)).distinct()
     changed = slots.groupBy(*line).agg(F.count("*").alias("n_slots"), F.max(F.col("i") != F.col("d")).alias("changed"))
     good = hits.join(torn, line, "left_anti").join(changed, line, "left")
-    out = good.groupBy("doc_id", "item_id").agg(F.max("n_windows").cast("long").alias("n_windows"), F.count_distinct("at").alias("n_matched"), F.coalesce(F.max("n_slots"), F.lit(0)).alias("n_slots"), F.coalesce(F.max("changed"), F.lit(False)).alias("reparameterised"))
-    return out.where(F.col("n_matched") >= covered * F.col("n_windows"))
+    out = good.groupBy("doc_id", "item_id").agg(F.max("n_windows").cast("long").alias("n_windows"), F.count_distinct("at").alias("n_matched"), F.max("n_templates").cast("long").alias("n_templates"), F.count_distinct(F.when(F.col("template"), F.col("at"))).alias("n_filled"), F.coalesce(F.max("n_slots"), F.lit(0)).alias("n_slots"), F.coalesce(F.max("changed"), F.lit(False)).alias("reparameterised"))
+    # numbers and names that are changed all over leave only the templates to match
+    whole = F.col("n_matched") >= covered * F.col("n_windows")
+    out = out.where(whole | ((F.col("n_templates") > 0) & (F.col("n_filled") >= covered * F.col("n_templates"))))
+    return out.select("doc_id", "item_id", F.when(whole, F.col("n_windows")).otherwise(F.col("n_templates")).alias("n_windows"), F.when(whole, F.col("n_matched")).otherwise(F.col("n_filled")).alias("n_matched"), "n_slots", "reparameterised")
 
 
 def drop_contaminated(df: DataFrame, benchmark: DataFrame) -> DataFrame:

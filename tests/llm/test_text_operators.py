@@ -114,6 +114,15 @@ def test_decontamination(spark):
     assert sorted(str(r.doc_id) for r in decontamination.drop_contaminated(frame(spark, docs), bench).collect()) == ["3", "4", "5", "6", "7", "None"]
 
 
+def test_decontamination_finds_short_and_number_heavy_items(spark):
+    heavy = "Add the numbers of this list: 12 7 93 55 4 81 23 64 19 38 72 41 6 90 27 33"
+    items = [(1, "What is 17 plus 25?"), (2, "What is the capital of France?"), (3, heavy), (4, "Tom pays 30 kg")]
+    docs = [(1, "Question: What is 17 plus 25? Say it."), (2, "He asked: What is the capital of France? Paris"), (3, "so " + heavy), (4, "What is 18 plus 25?"), (5, "what is the capital of Spain?"), (6, "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17"), (7, "and what is the capital of france")]
+    docs += [(8, "so Add the numbers of this list: " + " ".join(str(100 + i) for i in range(16)))]
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(1, 1), (2, 2), (3, 3), (7, 2), (8, 3)}
+
+
 def test_automaton_is_minimal_and_right():
     a = Automaton([Rule("(ab|cb)+d?")], search=False)
     assert a.longest(a.of[np.frombuffer(b"abcbdx", np.uint8)].tobytes(), 0, 6) == 5
