@@ -5,8 +5,9 @@ any other word stays, in lower case. Windows of ``WINDOW`` canonical words are h
 aren't placeholders; all other windows (and the whole of a shorter item) are hashed with their very words, and match only those. A bitmap
 of the benchmark's windows, whose size is fixed, keeps other document windows from the join; the hash join on the 128-bit
 keys is exact. Matches of one item on one diagonal (document position less item position) form an alignment. It counts if its
-slots are consistent: each value that a placeholder has in the item stands for one value in the document, and the other
-way round. So a question with other numbers or names matches, and a table that merely looks alike doesn't. A document is
+slots are consistent: a value that a placeholder has in the item stands for one value in the document. Where it stands for several,
+the windows that hold it don't count, nor those with different values of the item that became one; windows with the item's
+own values always count. So a question with other numbers or names matches, and a table that merely looks alike doesn't. A document is
 contaminated by an item if consistent alignments cover ``COVERED`` of the item's windows, or of its templates.
 
 Defined cases: null and empty texts and items match nothing; null ids match nothing; repeated items and rows that
@@ -176,10 +177,18 @@ def contaminated(df: DataFrame, benchmark: DataFrame, covered: float = COVERED)
     hits = c.stored(seen.drop("n", "n_templates", "size", "template").withColumnRenamed("id", "doc_id").join(known, ["k1", "k2"]).select("doc_id", "item_id", "n_windows", "n_templates", "template", "at", (F.col("pos") - F.col("at")).alias("diagonal"), "slots", "item_vals", "vals").distinct())
     line = ["doc_id", "item_id", "diagonal"]
     slots = hits.where("size(vals) > 0").select(*line, F.explode(F.arrays_zip("item_vals", "vals")).alias("x")).select(*line, F.col("x.item_vals").alias("i"), F.col("x.vals").alias("d")).distinct()
-    torn = slots.groupBy(*line, "i").count().where("count > 1").select(*line).union(slots.groupBy(*line, "d").count().where("count > 1").select(*line)).distinct()
-    changed = slots.groupBy(*line).agg(F.count("*").alias("n_slots"), F.max(F.col("i") != F.col("d")).alias("changed"))
-    good = hits.join(torn, line, "left_anti").join(changed, line, "left")
-    out = good.groupBy("doc_id", "item_id").agg(F.max("n_windows").cast("long").alias("n_windows"), F.count_distinct("at").alias("n_matched"), F.max("n_templates").cast("long").alias("n_templates"), F.count_distinct(F.when(F.col("template"), F.col("at"))).alias("n_filled"), F.coalesce(F.max("n_slots"), F.lit(0)).alias("n_slots"), F.coalesce(F.max("changed"), F.lit(False)).alias("reparameterised"))
+    several = lambda x, name: slots.groupBy(*line, x).count().where("count > 1").select(*line, x, F.lit(True).alias(name))
+    torn = c.stored(several("i", "torn"))
+    # values that become one are no conflict unless another slot of the alignment is torn
+    merged = several("d", "merged").join(torn.select(*line).distinct(), line, "left_semi")
+    same = ~F.col("template") | (F.col("item_vals") == F.col("vals"))
+    loose = hits.where(~same).select(*line, "at", F.explode(F.arrays_zip("item_vals", "vals")).alias("x")).select(*line, "at", F.col("x.item_vals").alias("i"), F.col("x.vals").alias("d"))
+    bad = loose.join(torn, [*line, "i"], "left").join(merged, [*line, "d"], "left").where("torn OR merged").select(*line, "at", F.lit(False).alias("same")).distinct()
+    good = hits.withColumn("same", same).join(bad, [*line, "at", "same"], "left_anti")
+    held = good.where("size(vals) > 0").select(*line, F.explode(F.arrays_zip("item_vals", "vals")).alias("x")).distinct().groupBy(*line).count().groupBy("doc_id", "item_id").agg(F.max("count").alias("n_slots"))
+    placed = good.groupBy("doc_id", "item_id", "at").agg(F.max("n_windows").alias("n_windows"), F.max("n_templates").alias("n_templates"), F.max("template").alias("template"), F.max(~F.col("same")).alias("changed"))
+    out = placed.groupBy("doc_id", "item_id").agg(F.max("n_windows").cast("long").alias("n_windows"), F.count("*").alias("n_matched"), F.max("n_templates").cast("long").alias("n_templates"), F.count_if("template").alias("n_filled"), F.max("changed").alias("reparameterised"))
+    out = out.join(held, ["doc_id", "item_id"], "left").withColumn("n_slots", F.coalesce("n_slots", F.lit(0)))
     # numbers and names that are changed all over leave only the templates to match
     whole = F.col("n_matched") >= covered * F.col("n_windows")
     out = out.where(whole | ((F.col("n_templates") > 0) & (F.col("n_filled") >= covered * F.col("n_templates"))))

@@ -123,6 +123,13 @@ def test_decontamination_finds_short_and_number_heavy_items(spark):
     assert got == {(1, 1), (2, 2), (3, 3), (7, 2), (8, 3)}
 
 
+def test_decontamination_drops_only_windows_with_the_conflict(spark):
+    item = "In May Tom has 12 apples and buys 30 kg more from Anna. How many apples does Tom have now in total?"
+    docs = [(1, item.replace("does Tom", "does Bob")), (2, item.replace("12", "7").replace("30", "7")), (3, item.replace("Tom has 12", "Kim has 7").replace("buys 30", "buys 7").replace("Tom have", "Bob have"))]
+    got = {r.doc_id: (r.n_windows, r.n_matched) for r in decontamination.contaminated(frame(spark, docs), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got == {1: (15, 10), 2: (15, 15)}
+
+
 def test_automaton_is_minimal_and_right():
     a = Automaton([Rule("(ab|cb)+d?")], search=False)
     assert a.longest(a.of[np.frombuffer(b"abcbdx", np.uint8)].tobytes(), 0, 6) == 5
