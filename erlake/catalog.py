@@ -55,7 +55,7 @@ def _minimum_slice(spark: SparkSession, sf: str) -> DataFrame:
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
     keys = _keys(spark, sf)
-    pairs = b.route_pairs(keys, PER_KEY, ("country_pin_name", "country_state_name")).select("s1", "candidate").distinct()
+    pairs = b.route_pairs(keys, PER_KEY).select("s1", "candidate").distinct()
     return b.ranked(b.paired(pairs, keys))
 
 

@@ -62,3 +62,10 @@ def test_anchor_stream_resumes(spark, keys, tmp_path):
     want = match(anchors)
     got = spark.read.parquet(out).select("s1", "candidate")
     assert got.count() == want.count() > 0 and got.exceptAll(want).isEmpty()
+
+
+def test_ranking_takes_the_union_of_all_routes(spark, keys):
+    want = b.route_pairs(keys, catalog.PER_KEY).select("s1", "candidate").distinct()
+    got = catalog.queries()["candidate_rank"](spark, SF).select("s1", "candidate")
+    assert got.count() == want.count() > b.route_pairs(keys, catalog.PER_KEY, ("country_pin_name", "country_state_name")).select("s1", "candidate").distinct().count()
+    assert got.exceptAll(want).isEmpty()
