@@ -6,14 +6,14 @@ gets ``BANDS * ROWS`` samples; two texts agree in one with the probability of th
 0.8 meets in some band with probability 0.997 (8 bands of 3). In every band's bucket all members are compared with a
 leader, chosen by hash and so another in each band; a second round compares members that aren't yet in their leader's
 class with another leader of the bucket. Buckets of any size so cost a pair a member. What is left are buckets with
-several classes: there each member outside the bucket's largest class meets the members of other classes, unless their
-weights, their distances to the bucket's leader (one minus weighted Jaccard is a metric) or their rarest shingles rule a
-link out: in one order of all shingles, two texts that link share one before the point where less than ``threshold`` of a
-text's weight is left. So all pairs that meet in a band are compared, or in one class already, or proven to be below
-``threshold``; none is dropped by a cap. Only pairs whose exact weighted Jaccard is ``threshold`` or more link.
+several classes. Their members are described by what sets them apart from the leader, and only those pairs of different
+classes are compared whose differences can cancel out far enough (``left_over``); all other pairs are proven to be below
+``threshold``. So each pair that meets in a band is compared, in one class already, or ruled out exactly; no cap drops any.
+Only pairs whose exact weighted Jaccard is ``threshold`` or more link.
 
 Defined cases: identical texts are one class (if they have a word); null and empty texts and null ids link with nothing
-(a null id has a null class and is kept); rows that share a doc_id are one document; an empty table gives an empty
+(a null id has a null class and is kept); rows that share a doc_id are one document, with
+the text whose digest is the smallest; an empty table gives an empty
 result; other columns are ignored, whatever their names.
 """
 
@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common as c
@@ -130,16 +131,15 @@ def samples(names: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, idf) -> DataFrame:
-    """doc, h1, h2 (of the text), its bands' keys and its weight, for texts with a word."""
+    """doc, h1, h2 (of the text) and its bands' keys, for texts with a word."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = idf.value
         for b in batches:
-            rows, keys, weight = [], [], []
+            rows, keys = [], []
             for k, (names, n) in enumerate(shingles(b.column(3))):
                 if len(names):
                     w = n * table[_cell(names)]
-                    weight.append(float(w.sum(dtype=float)))
                     x = samples(names, w).reshape(BANDS, ROWS)
                     key = c.pair(c.pair(x[:, 0].copy(), x[:, 1]), x[:, 2]) + np.arange(BANDS, dtype=np.uint64)
                     rows.append(k)
@@ -147,10 +147,10 @@ def sketches(docs: DataFrame, idf) -> DataFrame:
             if rows:
                 take = pa.array(rows, pa.int64())
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(rows) + 1, BANDS), pa.int32()), pa.array(np.concatenate(keys)))
-                yield pa.RecordBatch.from_arrays([*(b.column(i).take(take) for i in range(3)), bands, pa.array(weight, pa.float64())], ["doc", "h1", "h2", "bands", "weight"])
+                yield pa.RecordBatch.from_arrays([*(b.column(i).take(take) for i in range(3)), bands], ["doc", "h1", "h2", "bands"])
 
     given = docs.select("doc", F.xxhash64("text").alias("h1"), F.hash("text").cast("long").alias("h2"), "text")
-    return given.mapInArrow(emit, "doc long, h1 long, h2 long, bands array<long>, weight double")
+    return given.mapInArrow(emit, "doc long, h1 long, h2 long, bands array<long>")
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], idf: np.ndarray) -> float:
@@ -187,49 +187,91 @@ def _ordered(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def rarest(texts: DataFrame, idf, threshold: float) -> DataFrame:
-    """doc and its shingles, rarest first, up to where less than ``threshold`` of the text's weight is left; that weight for each."""
+def _elements(names: np.ndarray, n: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A weighted set as a plain one: the second occurrence of a shingle is an element of its own. Names and weights, by name."""
+    nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    every = np.repeat(names, n)
+    weight = idf[_cell(every)].astype(float)
+    more = nth > 0
+    every[more] = c.pair(every[more], nth[more].astype(np.uint64))
+    order = np.argsort(every)
+    return every[order], weight[order]
+
+
+def differences(members: DataFrame, texts: DataFrame, idf) -> DataFrame:
+    """at, node, root, main, w (the node's weight) and its elements that only one of node and leader holds, of ``members`` (at, node, root, main, leader)."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = idf.value
+        table, last, left = idf.value, None, None
         for b in batches:
-            found, lefts = [], []
-            for names, n in shingles(b.column(1)):
-                scale = table[_cell(names)]
-                order = np.lexsort((names, -scale))
-                left = np.cumsum((n * scale.astype(float))[order][::-1])[::-1]  # from this one on
-                some = left >= (threshold - SLACK) * left[:1].sum()
-                found.append(names[order[some]])
-                lefts.append(left[some])
-            cut = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-            if found:
-                lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(x)) for x in (c.signed(np.concatenate(found)), np.concatenate(lefts))]
-                yield pa.RecordBatch.from_arrays([b.column(0), *lists], ["doc", "names", "lefts"])
-
-    return texts.select("doc", "text").mapInArrow(emit, "doc long, names array<long>, lefts array<double>")
+            size, names, weights, own = [0], [], [], []
+            leader = b.column(4).to_pylist()
+            for k, (right, n) in enumerate(shingles(b.column(6))):
+                if leader[k] != last:
+                    last, left = leader[k], _elements(*next(iter(shingles(b.column(5).slice(k, 1)))), table)
+                x, wx = _elements(right, n, table)
+                only_x, only_l = ~np.isin(x, left[0], assume_unique=True), ~np.isin(left[0], x, assume_unique=True)
+                names += [x[only_x], left[0][only_l]]
+                weights += [wx[only_x], left[1][only_l]]
+                size.append(int(only_x.sum() + only_l.sum()))
+                own.append(float(wx.sum()))
+            cut = pa.array(np.cumsum(size).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(cut, pa.array(x)) for x in (c.signed(np.concatenate(names)), np.concatenate(weights))] if names else [pa.array([], pa.list_(pa.int64())), pa.array([], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(own, pa.float64()), *lists], ["at", "node", "root", "main", "w", "names", "weights"])
+
+    with_leader = members.join(texts.select(F.col("doc").alias("leader"), F.col("text").alias("tl")), "leader")
+    both = with_leader.join(texts.select(F.col("doc").alias("node"), F.col("text").alias("tn")), "node")
+    return both.select("at", "node", "root", "main", "leader", "tl", "tn").mapInArrow(emit, "at long, node long, root long, main long, w double, names array<long>, weights array<double>")
 
 
 def left_over(members: DataFrame, texts: DataFrame, root: DataFrame, tried: DataFrame, idf, threshold: float) -> DataFrame:
     """Pairs (a, b) that meet in a bucket, aren't in one class and could still link.
 
-    ``members``: band, key, node, weight and its leader; ``tried``: compared pairs with ``sim``. At the first shingle that a pair has
-    in common, what both share is at most what is left of either from there on, so a pair that links passes there.
+    ``members``: band, key, node and its leader; ``tried``: compared pairs. All is counted from the leader: D(x) are the elements that
+    x and the leader don't share. x and y link if what D(x) and D(y) don't share weighs at most q (w(x) + w(y)), with q = (1 - t) / (1 + t).
+    Only elements that several classes of the bucket have in their D can be shared between classes: S(x) is their weight, u(x)
+    that of the others. So a link needs u(x) + u(y) + abs(S(x) - S(y)) <= q (w(x) + w(y)), or h <= g of the other for the one with the larger S,
+    where h = S + u - q w and g = S - u + q w; nodes that meet no other class's extreme leave at once. Two nodes that share nothing
+    of their D link only if both link with the leader, and then they are in one class. Any others share elements of weight
+    (h(x) + h(y)) / 2 or more, so they meet at one before the point, in one order of all elements, where less than that is left of either.
     """
-    every = members.join(root.select(F.col("id").alias("node"), "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    sizes = every.groupBy("band", "key", "root").agg(F.count("*").alias("n"))
-    several = sizes.groupBy("band", "key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("n")).where("n > 1").drop("n")
-    every = every.join(several, ["band", "key"]).select("*", *_ordered("node", "leader")).join(tried, ["a", "b"], "left")
-    every = c.stored(every.select("band", "key", "node", "root", "main", "weight", F.when(F.col("node") == F.col("leader"), 0.0).otherwise(1 - F.col("sim")).alias("dist")))
-    names = rarest(texts.join(every.select(F.col("node").alias("doc")).distinct(), "doc", "left_semi"), idf, threshold)
-    spread = every.join(names.withColumnRenamed("doc", "node"), "node").withColumn("one", F.explode(F.arrays_zip("names", "lefts")))
-    spread = c.stored(spread.select(F.xxhash64("band", "key", "one.names").alias("at"), F.col("one.lefts").alias("left"), "node", "root", (F.col("root") != F.col("main")).alias("odd"), "weight", "dist"))
-    wanted = spread.groupBy("at").agg(F.count("*").alias("n"), F.max("odd").alias("some")).where("n > 1 AND some").select("at")
-    spread = c.stored(spread.join(wanted, "at"))
-    odd = spread.where("odd").select("at", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("weight").alias("wx"), F.col("dist").alias("dx"), F.col("left").alias("lx"))
-    enough = F.least("lx", "left") >= (threshold / (1 + threshold) - SLACK) * (F.col("wx") + F.col("weight"))
-    near = enough & (F.abs(F.col("dx") - F.col("dist")) <= 1 - threshold + SLACK) & (F.least("wx", "weight") >= (threshold - SLACK) * F.greatest("wx", "weight"))
-    met = odd.join(spread, "at").where((F.col("rx") != F.col("root")) & near)
-    return met.select(*_ordered("x", "node")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    q = (1 - threshold) / (1 + threshold)
+    every = members.join(root.select(F.col("id").alias("node"), "root"), "node", "left").select(F.xxhash64("band", "key").alias("at"), "node", "leader", F.coalesce("root", "node").alias("root"))
+    every = c.stored(every)
+    sizes = every.groupBy("at", "root").agg(F.count("*").alias("n"))
+    several = c.stored(sizes.groupBy("at").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("n")).where("n > 1").select("at", F.col("top.root").alias("main")))
+    apart = c.stored(differences(c.stored(every.join(several, "at")), texts, idf))
+    spread = apart.select("at", "node", "root", F.explode(F.arrays_zip("names", "weights")).alias("e")).select("at", "node", "root", F.col("e.names").alias("name"), F.col("e.weights").alias("weight"))
+    shared = c.stored(spread.groupBy("at", "name").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high").select("at", "name", "n"))
+    spread = c.stored(spread.join(shared, ["at", "name"]).select("at", "node", "name", "n", "weight"))
+    total = spread.groupBy("at", "node").agg(F.sum("weight").alias("s"))
+    state = apart.select("at", "node", "root", "main", "w", F.aggregate("weights", F.lit(0.0), lambda x, y: x + y).alias("d")).join(total, ["at", "node"], "left").withColumn("s", F.coalesce("s", F.lit(0.0)))
+    state = c.stored(state.select("*", (F.col("d") - q * F.col("w")).alias("h"), (2 * F.col("s") - F.col("d") + q * F.col("w")).alias("g")))
+    active = _within_reach(state)
+    met = _meeting(active, spread)
+    return met.select(*_ordered("x", "y")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
+
+
+def _within_reach(state: DataFrame) -> DataFrame:
+    """Those that could link with the extremes of the bucket's other classes; ``low_h``: the least h of the others."""
+    of_root = c.stored(state.groupBy("at", "root").agg(F.max("g").alias("g"), F.min("h").alias("h")))
+    first = of_root.groupBy("at").agg(F.max(F.struct("g", "root")).alias("top"), F.min(F.struct("h", "root")).alias("low"))
+    second = c.stored(of_root.join(first, "at").groupBy("at").agg(F.first("top").alias("top"), F.first("low").alias("low"), F.max(F.when(F.col("root") != F.col("top.root"), F.col("g"))).alias("g2"), F.min(F.when(F.col("root") != F.col("low.root"), F.col("h"))).alias("h2")))
+    other = state.join(second, "at").withColumns({"high_g": F.when(F.col("root") != F.col("top.root"), F.col("top.g")).otherwise(F.col("g2")), "low_h": F.when(F.col("root") != F.col("low.root"), F.col("low.h")).otherwise(F.col("h2"))})
+    slack = SLACK * F.col("w")
+    return c.stored(other.where((F.col("h") <= F.col("high_g") + slack) | (F.col("g") >= F.col("low_h") - slack)).select(*state.columns, "low_h"))
+
+
+def _meeting(active: DataFrame, spread: DataFrame) -> DataFrame:
+    """(x, y) of different classes that share an element early enough to link."""
+    before = W.partitionBy("at", "node").orderBy(F.desc("n"), F.desc("name")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    held = spread.join(active, ["at", "node"]).withColumn("left", F.sum("weight").over(before))
+    slack = SLACK * F.col("w")
+    held = c.stored(held.where((F.col("left") >= (F.col("h") + F.col("low_h")) / 2 - slack)).select(F.xxhash64("at", "name").alias("at"), "node", "root", "main", "w", "s", "h", "g", "left"))
+    odd = held.where("root <> main").select("at", *[F.col(k).alias(f"{k}_") for k in ("node", "root", "w", "s", "h", "g", "left")])
+    enough = F.least("left", "left_") >= (F.col("h") + F.col("h_")) / 2 - SLACK * F.col("w")
+    reach = F.when(F.col("s") >= F.col("s_"), F.col("g_") - F.col("h")).otherwise(F.col("g") - F.col("h_")) >= -SLACK * F.col("w")
+    return odd.join(held, "at").where((F.col("root") != F.col("root_")) & enough & reach).select(F.col("node_").alias("x"), F.col("node").alias("y"))
 
 
 def classes(df: DataFrame, threshold: float = 0.8, rounds: int = 2) -> DataFrame:
@@ -237,21 +279,21 @@ def classes(df: DataFrame, threshold: float = 0.8, rounds: int = 2) -> DataFrame
     spark = df.sparkSession
     docs = c.documents(df).where("doc_id IS NOT NULL").select(F.col("doc_id").alias("doc"), "text")
     idf = spark.sparkContext.broadcast(idf_cells(docs))
-    found = c.stored(sketches(docs, idf))
+    found = c.stored(sketches(docs, idf).groupBy("doc").agg(F.min(F.struct("h1", "h2", "bands")).alias("of")).select("doc", "of.*"))
     # one node for each distinct text: its smallest id
-    nodes = c.stored(found.groupBy("h1", "h2").agg(F.min("doc").alias("node"), F.min_by(F.struct("bands", "weight"), "doc").alias("of")).select("h1", "h2", "node", "of.*"))
+    nodes = c.stored(found.groupBy("h1", "h2").agg(F.min(F.struct("doc", "bands")).alias("of")).select("h1", "h2", F.col("of.doc").alias("node"), "of.bands"))
     copies = found.select("doc", "h1", "h2").join(nodes.select("h1", "h2", "node"), ["h1", "h2"]).select(F.col("doc").alias("a"), F.col("node").alias("b")).where("a <> b")
-    members = nodes.select("node", "weight", F.posexplode("bands").alias("band", "key"))
-    shared = c.stored(members.groupBy("band", "key").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", "band", F.lit(0))).alias("leader")).where("n > 1").drop("n"))
+    members = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    shared = c.stored(members.groupBy("band", "key").agg(F.count("*").alias("n"), F.min(_draw(0)).alias("drawn")).where("n > 1").select("band", "key", F.col("drawn.node").alias("leader")))
     members = c.stored(members.join(shared, ["band", "key"]))
-    wanted = c.stored(members.select(F.col("node").alias("doc")).distinct())
-    texts = c.stored(docs.join(wanted, "doc").dropDuplicates(["doc"]))
+    wanted = c.stored(members.select("node").distinct().join(nodes.select("node", "h1", "h2"), "node"))
+    texts = c.stored(docs.join(wanted.select(F.col("node").alias("doc"), "h1", "h2"), "doc").where((F.xxhash64("text") == F.col("h1")) & (F.hash("text") == F.col("h2"))).select("doc", "text").dropDuplicates(["doc"]))
     links, root, tried = copies, None, None
     for r in range(rounds + 1):
         if r == 0:
             pairs = members.where("node <> leader").select(*_ordered("node", "leader")).distinct()
         elif r < rounds:
-            leaders = c.stored(members.groupBy("band", "key").agg(F.min_by("node", F.xxhash64("node", "band", F.lit(r))).alias("other")))
+            leaders = c.stored(members.groupBy("band", "key").agg(F.min(_draw(r)).alias("drawn")).select("band", "key", F.col("drawn.node").alias("other")))
             pairs = members.join(leaders, ["band", "key"]).where("node <> other").select(*_ordered("node", "other")).distinct()
             of = lambda x: root.select(F.col("id").alias(x), F.col("root").alias(f"r{x}"))
             pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b").join(tried, ["a", "b"], "left_anti")
@@ -265,6 +307,11 @@ def classes(df: DataFrame, threshold: float = 0.8, rounds: int = 2) -> DataFrame
     return all_.select("doc_id", F.coalesce("root", "doc_id").alias("class_id"), F.coalesce(F.col("root") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def _draw(r: int) -> Column:
+    """The leader of a bucket is the node with the smallest of these."""
+    return F.struct(F.xxhash64("node", "band", F.lit(r)).alias("draw"), "node")
+
+
 def one_of_each(df: DataFrame, threshold: float = 0.8) -> DataFrame:
     """The rows of ``df`` that are kept, with the columns of ``df``."""
     gone = classes(df, threshold).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from erlake.llm import decontamination, license_scan, minhash_dedup, sampled_pieces, secrets, substring_dedup, suffix_dedup, toxicity
 from erlake.llm.automaton import Automaton, Rule
@@ -76,20 +77,33 @@ def test_minhash_dedup_compares_what_leaders_leave(spark, monkeypatch):
         return pairs
 
     monkeypatch.setattr(minhash_dedup, "left_over", watched)
-    got = {r.doc_id: r.class_id for r in minhash_dedup.classes(frame(spark, texts)).collect()}
-    assert got == want and 1 < len(set(want.values())) < 90 and seen[0] > 0
+    for rounds in (1, 2):
+        got = {r.doc_id: r.class_id for r in minhash_dedup.classes(frame(spark, texts), rounds=rounds).collect()}
+        assert got == want and 1 < len(set(want.values())) < 90
+    assert seen[0] > 0
 
 
-def test_rarest_shingles_meet_wherever_a_pair_links(spark):
+def test_minhash_left_over_keeps_every_pair_that_links(spark):
     rng = np.random.default_rng(4)
-    texts = [(d, " ".join(f"v{min(i, 30 + i % 7) if rng.random() < 0.97 else rng.integers(0, 99)}" for i in range(50))) for d in range(40)] + [(50, "one two"), (51, "one")]
+    base = [f"v{i}" for i in range(60)]
+    texts = []
+    for d in range(70):
+        words = list(base[: rng.integers(45, 61)])
+        for i in rng.integers(0, len(words), rng.integers(0, 5)):
+            words[i] = f"y{rng.integers(0, 6)}" if rng.random() < 0.7 else words[i] + " " + words[i]
+        texts.append((d, " ".join(words)))
     docs = spark.createDataFrame(texts, "doc long, text string")
     idf = minhash_dedup.idf_cells(docs)
-    held = spark.sparkContext.broadcast(idf)
-    sets = dict(zip([d for d, _ in texts], minhash_dedup.shingles(pa.array([t for _, t in texts]))))
-    names = {r.doc: set(r.names) for r in minhash_dedup.rarest(docs, held, 0.8).collect()}
-    links = [(a, b) for a in sets for b in sets if a < b and minhash_dedup.weighted_jaccard(sets[a], sets[b], idf) >= 0.8]
-    assert links and all(names[a] & names[b] for a, b in links)
+    sets = list(minhash_dedup.shingles(pa.array([t for _, t in texts])))
+    sim = {(a, b): minhash_dedup.weighted_jaccard(sets[a], sets[b], idf) for a in range(70) for b in range(a + 1, 70)}
+    for leader in (0, 7):  # one bucket of all, each a class of its own but for those that link with the leader
+        members = docs.select(F.lit(0).alias("band"), F.lit(1).cast("long").alias("key"), F.col("doc").alias("node"), F.lit(leader).cast("long").alias("leader"))
+        close = [(d, min([leader, *(x for x in range(70) if sim.get((min(x, leader), max(x, leader)), 0) >= 0.8)])) for d in range(70) if d == leader or sim[min(d, leader), max(d, leader)] >= 0.8]
+        root = dict(close)
+        none = spark.createDataFrame([], "a long, b long, sim double")
+        got = {tuple(r) for r in minhash_dedup.left_over(members, docs, spark.createDataFrame(close, "id long, root long"), none, spark.sparkContext.broadcast(idf), 0.8).collect()}
+        links = {(a, b) for (a, b), x in sim.items() if x >= 0.8 and root.get(a, a) != root.get(b, b)}
+        assert links and links <= got and len(got) < len(sim) / 2
 
 
 def test_consistent_samples_agree_as_often_as_the_similarity():
