@@ -4,7 +4,7 @@ A shingle is five consecutive words (all words, where there are fewer); its weig
 frequency of its hash cell, ``log((1 + N) / (1 + df)) + 1`` over ``2**DF_BITS`` cells, counted over all documents. Each text
 gets ``BANDS * ROWS`` samples; two texts agree in one with the probability of their weighted Jaccard similarity, so a pair at
 0.8 meets in some band with probability 0.997 (8 bands of 3). In every band's bucket all members are compared with a
-leader, chosen by hash and so another in each band; a second round compares members that aren't yet in their leader's
+leader, chosen by hash; a second round compares members that aren't yet in their leader's
 class with another leader of the bucket. Buckets of any size so cost a pair a member. What is left are buckets with
 several classes. Their members are described by what sets them apart from the leader, and only those pairs of different
 classes are compared whose differences can cancel out far enough (``left_over``); all other pairs are proven to be below
@@ -198,80 +198,90 @@ def _elements(names: np.ndarray, n: np.ndarray, idf: np.ndarray) -> tuple[np.nda
     return every[order], weight[order]
 
 
+APART = "at long, node long, root long, main long, w double, d double, extra array<struct<name:long,weight:double>>, missing array<struct<name:long,weight:double>>"
+
+
 def differences(members: DataFrame, texts: DataFrame, idf) -> DataFrame:
-    """at, node, root, main, w (the node's weight) and its elements that only one of node and leader holds, of ``members`` (at, node, root, main, leader)."""
+    """``members`` (at: the leader, node, root, main) with the node's weight w, the elements that it has besides the leader's and those it lacks, and their weight d."""
+
+    def lists(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
+        cut = np.cumsum([0, *(len(x) for x, _ in parts)]).astype(np.int32)
+        both = [np.concatenate([np.zeros(0, t), *x]) for x, t in zip(zip(*parts), (np.uint64, float))]
+        return pa.ListArray.from_arrays(pa.array(cut), pa.StructArray.from_arrays([pa.array(c.signed(both[0])), pa.array(both[1])], ["name", "weight"]))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, last, left = idf.value, None, None
         for b in batches:
-            size, names, weights, own = [0], [], [], []
-            leader = b.column(4).to_pylist()
-            for k, (right, n) in enumerate(shingles(b.column(6))):
-                if leader[k] != last:
-                    last, left = leader[k], _elements(*next(iter(shingles(b.column(5).slice(k, 1)))), table)
+            extra, missing, own, apart = [], [], [], []
+            for k, (leader, (right, n)) in enumerate(zip(b.column(0).to_pylist(), shingles(b.column(5)))):
+                if leader != last:
+                    last, left = leader, _elements(*next(iter(shingles(b.column(4).slice(k, 1)))), table)
                 x, wx = _elements(right, n, table)
-                only_x, only_l = ~np.isin(x, left[0], assume_unique=True), ~np.isin(left[0], x, assume_unique=True)
-                names += [x[only_x], left[0][only_l]]
-                weights += [wx[only_x], left[1][only_l]]
-                size.append(int(only_x.sum() + only_l.sum()))
+                new, gone = ~np.isin(x, left[0], assume_unique=True), ~np.isin(left[0], x, assume_unique=True)
+                extra.append((x[new], wx[new]))
+                missing.append((left[0][gone], left[1][gone]))
                 own.append(float(wx.sum()))
-            cut = pa.array(np.cumsum(size).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(cut, pa.array(x)) for x in (c.signed(np.concatenate(names)), np.concatenate(weights))] if names else [pa.array([], pa.list_(pa.int64())), pa.array([], pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(own, pa.float64()), *lists], ["at", "node", "root", "main", "w", "names", "weights"])
+                apart.append(float(wx[new].sum() + left[1][gone].sum()))
+            if own:
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(own), pa.array(apart), lists(extra), lists(missing)], ["at", "node", "root", "main", "w", "d", "extra", "missing"])
 
-    with_leader = members.join(texts.select(F.col("doc").alias("leader"), F.col("text").alias("tl")), "leader")
-    both = with_leader.join(texts.select(F.col("doc").alias("node"), F.col("text").alias("tn")), "node")
-    return both.select("at", "node", "root", "main", "leader", "tl", "tn").mapInArrow(emit, "at long, node long, root long, main long, w double, names array<long>, weights array<double>")
+    with_node = members.join(texts.select(F.col("doc").alias("node"), F.col("text").alias("tn")), "node")
+    both = with_node.join(texts.select(F.col("doc").alias("at"), F.col("text").alias("tl")), "at")
+    return both.select("at", "node", "root", "main", "tl", "tn").mapInArrow(emit, APART)
 
 
 def left_over(members: DataFrame, texts: DataFrame, root: DataFrame, tried: DataFrame, idf, threshold: float) -> DataFrame:
-    """Pairs (a, b) that meet in a bucket, aren't in one class and could still link.
+    """Pairs (a, b) that meet under one leader, aren't in one class and could still link.
 
     ``members``: band, key, node and its leader; ``tried``: compared pairs. All is counted from the leader: D(x) are the elements that
     x and the leader don't share. x and y link if what D(x) and D(y) don't share weighs at most q (w(x) + w(y)), with q = (1 - t) / (1 + t).
-    Only elements that several classes of the bucket have in their D can be shared between classes: S(x) is their weight, u(x)
-    that of the others. So a link needs u(x) + u(y) + abs(S(x) - S(y)) <= q (w(x) + w(y)), or h <= g of the other for the one with the larger S,
+    Let u(x) be the weight of elements that x alone has besides the leader's, and S(x) that of the rest of D(x). Only the rest can be
+    shared, so a link needs u(x) + u(y) + abs(S(x) - S(y)) <= q (w(x) + w(y)), or h <= g of the other for the one with the larger S,
     where h = S + u - q w and g = S - u + q w; nodes that meet no other class's extreme leave at once. Two nodes that share nothing
     of their D link only if both link with the leader, and then they are in one class. Any others share elements of weight
     (h(x) + h(y)) / 2 or more, so they meet at one before the point, in one order of all elements, where less than that is left of either.
     """
     q = (1 - threshold) / (1 + threshold)
-    every = members.join(root.select(F.col("id").alias("node"), "root"), "node", "left").select(F.xxhash64("band", "key").alias("at"), "node", "leader", F.coalesce("root", "node").alias("root"))
-    every = c.stored(every)
+    every = c.stored(members.select(F.col("leader").alias("at"), "node").distinct().join(root.select(F.col("id").alias("node"), "root"), "node", "left").select("at", "node", F.coalesce("root", "node").alias("root")))
     sizes = every.groupBy("at", "root").agg(F.count("*").alias("n"))
     several = c.stored(sizes.groupBy("at").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("n")).where("n > 1").select("at", F.col("top.root").alias("main")))
-    apart = c.stored(differences(c.stored(every.join(several, "at")), texts, idf))
-    spread = apart.select("at", "node", "root", F.explode(F.arrays_zip("names", "weights")).alias("e")).select("at", "node", "root", F.col("e.names").alias("name"), F.col("e.weights").alias("weight"))
-    shared = c.stored(spread.groupBy("at", "name").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high").select("at", "name", "n"))
-    spread = c.stored(spread.join(shared, ["at", "name"]).select("at", "node", "name", "n", "weight"))
-    total = spread.groupBy("at", "node").agg(F.sum("weight").alias("s"))
-    state = apart.select("at", "node", "root", "main", "w", F.aggregate("weights", F.lit(0.0), lambda x, y: x + y).alias("d")).join(total, ["at", "node"], "left").withColumn("s", F.coalesce("s", F.lit(0.0)))
-    state = c.stored(state.select("*", (F.col("d") - q * F.col("w")).alias("h"), (2 * F.col("s") - F.col("d") + q * F.col("w")).alias("g")))
-    active = _within_reach(state)
-    met = _meeting(active, spread)
+    apart = c.stored(differences(c.stored(every.join(several, "at").select("at", "node", "root", "main")), texts, idf).withColumn("who", F.monotonically_increasing_id()))
+    counts = c.stored(_spread(apart).groupBy("key").agg(F.count("*").alias("n"), F.min("who").alias("who"), F.min("weight").alias("weight")).select("n", F.when(F.col("n") > 1, F.col("key")).alias("key"), F.when(F.col("n") == 1, F.col("who")).alias("who"), F.when(F.col("n") == 1, F.col("weight")).alias("weight")))
+    alone = counts.where("n = 1").groupBy("who").agg(F.sum("weight").alias("u"))
+    state = apart.select("who", "at", "node", "root", "main", "w", "d").join(alone, "who", "left").withColumn("s", F.col("d") - F.coalesce("u", F.lit(0.0)))
+    state = c.stored(state.select("who", "at", "node", "root", "main", "w", "s", (F.col("d") - q * F.col("w")).alias("h"), (2 * F.col("s") - F.col("d") + q * F.col("w")).alias("g")))
+    met = _meeting(_within_reach(state), apart, counts.where("n > 1").select("key", "n"))
     return met.select(*_ordered("x", "y")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
 
 
+def _spread(apart: DataFrame) -> DataFrame:
+    """who, weight and key of every element that sets a node apart from its leader; a key names an element under one leader."""
+    return apart.select("who", "at", F.explode(F.concat("extra", "missing")).alias("e")).select("who", "e.weight", F.xxhash64("at", "e.name").alias("key"))
+
+
 def _within_reach(state: DataFrame) -> DataFrame:
-    """Those that could link with the extremes of the bucket's other classes; ``low_h``: the least h of the others."""
+    """Those that could link with the extremes of the other classes under their leader; ``low_h``: the least h of the others."""
     of_root = c.stored(state.groupBy("at", "root").agg(F.max("g").alias("g"), F.min("h").alias("h")))
-    first = of_root.groupBy("at").agg(F.max(F.struct("g", "root")).alias("top"), F.min(F.struct("h", "root")).alias("low"))
-    second = c.stored(of_root.join(first, "at").groupBy("at").agg(F.first("top").alias("top"), F.first("low").alias("low"), F.max(F.when(F.col("root") != F.col("top.root"), F.col("g"))).alias("g2"), F.min(F.when(F.col("root") != F.col("low.root"), F.col("h"))).alias("h2")))
-    other = state.join(second, "at").withColumns({"high_g": F.when(F.col("root") != F.col("top.root"), F.col("top.g")).otherwise(F.col("g2")), "low_h": F.when(F.col("root") != F.col("low.root"), F.col("low.h")).otherwise(F.col("h2"))})
+    first = c.stored(of_root.groupBy("at").agg(F.max(F.struct("g", "root")).alias("top"), F.min(F.struct("h", "root")).alias("low")))
+    others = of_root.join(first, "at")
+    second = others.groupBy("at").agg(F.max(F.when(F.col("root") != F.col("top.root"), F.col("g"))).alias("g2"), F.min(F.when(F.col("root") != F.col("low.root"), F.col("h"))).alias("h2"))
+    both = c.stored(first.join(second, "at"))
+    other = state.join(both, "at").withColumns({"high_g": F.when(F.col("root") != F.col("top.root"), F.col("top.g")).otherwise(F.col("g2")), "low_h": F.when(F.col("root") != F.col("low.root"), F.col("low.h")).otherwise(F.col("h2"))})
     slack = SLACK * F.col("w")
     return c.stored(other.where((F.col("h") <= F.col("high_g") + slack) | (F.col("g") >= F.col("low_h") - slack)).select(*state.columns, "low_h"))
 
 
-def _meeting(active: DataFrame, spread: DataFrame) -> DataFrame:
-    """(x, y) of different classes that share an element early enough to link."""
-    before = W.partitionBy("at", "node").orderBy(F.desc("n"), F.desc("name")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    held = spread.join(active, ["at", "node"]).withColumn("left", F.sum("weight").over(before))
+def _meeting(active: DataFrame, apart: DataFrame, shared: DataFrame) -> DataFrame:
+    """(x, y) of different classes that share an element early enough to link; ``shared``: keys and how many hold them."""
+    before = W.partitionBy("who").orderBy(F.desc("n"), F.desc("key")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    spread = _spread(apart.join(active.select("who"), "who", "left_semi"))
+    held = spread.join(shared, "key").withColumn("left", F.sum("weight").over(before)).select("who", "key", "left").join(active, "who")
     slack = SLACK * F.col("w")
-    held = c.stored(held.where((F.col("left") >= (F.col("h") + F.col("low_h")) / 2 - slack)).select(F.xxhash64("at", "name").alias("at"), "node", "root", "main", "w", "s", "h", "g", "left"))
-    odd = held.where("root <> main").select("at", *[F.col(k).alias(f"{k}_") for k in ("node", "root", "w", "s", "h", "g", "left")])
-    enough = F.least("left", "left_") >= (F.col("h") + F.col("h_")) / 2 - SLACK * F.col("w")
-    reach = F.when(F.col("s") >= F.col("s_"), F.col("g_") - F.col("h")).otherwise(F.col("g") - F.col("h_")) >= -SLACK * F.col("w")
-    return odd.join(held, "at").where((F.col("root") != F.col("root_")) & enough & reach).select(F.col("node_").alias("x"), F.col("node").alias("y"))
+    held = c.stored(held.where((F.col("left") >= (F.col("h") + F.col("low_h")) / 2 - slack)).select("key", "node", "root", "main", "w", "s", "h", "g", "left"))
+    odd = held.where("root <> main").select("key", *[F.col(k).alias(f"{k}_") for k in ("node", "root", "w", "s", "h", "g", "left")])
+    enough = F.least("left", "left_") >= (F.col("h") + F.col("h_")) / 2 - slack
+    reach = F.when(F.col("s") >= F.col("s_"), F.col("g_") - F.col("h")).otherwise(F.col("g") - F.col("h_")) >= -slack
+    return odd.join(held, "key").where((F.col("root") != F.col("root_")) & enough & reach).select(F.col("node_").alias("x"), F.col("node").alias("y"))
 
 
 def classes(df: DataFrame, threshold: float = 0.8, rounds: int = 2) -> DataFrame:
@@ -308,8 +318,8 @@ def classes(df: DataFrame, threshold: float = 0.8, rounds: int = 2) -> DataFrame
 
 
 def _draw(r: int) -> Column:
-    """The leader of a bucket is the node with the smallest of these."""
-    return F.struct(F.xxhash64("node", "band", F.lit(r)).alias("draw"), "node")
+    """The leader of a bucket is the node with the smallest of these; the same in all bands, so that a group's buckets share leaders."""
+    return F.struct(F.xxhash64("node", F.lit(r)).alias("draw"), "node")
 
 
 def one_of_each(df: DataFrame, threshold: float = 0.8) -> DataFrame:
