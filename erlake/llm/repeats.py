@@ -170,11 +170,11 @@ def estimated_repeated(names: np.ndarray, packed: np.ndarray, bits: int) -> np.n
 
 
 def keyed(df: DataFrame) -> DataFrame:
-    """doc (null ids come last), th (tells rows of one doc_id apart) and text."""
-    return c.documents(df).select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("doc"), F.hash("text").alias("th"), "text")
+    """doc_id, doc (null ids come last), th (64 bits that tell texts of one doc_id apart; rows alike in both fare alike) and text."""
+    return c.documents(df).select("doc_id", F.coalesce("doc_id", F.lit(_NULL_ID)).alias("doc"), F.xxhash64("text").alias("th"), "text")
 
 
-RANGE = "doc long, th int, lo int, hi int, a int, g long, k1 long, k2 long"
+RANGE = "doc long, th long, lo int, hi int, a int, g long, k1 long, k2 long"
 
 
 def _halves(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -207,7 +207,7 @@ def candidate_ranges(docs: DataFrame, w: Windows, bits: int = SKETCH_BITS) -> Da
                 base = first[d]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (docs_[i:j][d], ths[i:j][d], (lo - base).astype(np.int32), (hi - base).astype(np.int32), (a - base).astype(np.int32), c.signed(g), k1, k2)], ["doc", "th", "lo", "hi", "a", "g", "k1", "k2"])
 
-    return c.stored(docs.mapInArrow(emit, RANGE))
+    return c.stored(docs.select("doc", "th", "text").mapInArrow(emit, RANGE))
 
 
 def judged(found: DataFrame) -> DataFrame:
@@ -226,7 +226,7 @@ def of_documents(docs: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 #: w1, w2 name one window that starts at s; or content holds all windows of a range, the first of which starts at s.
-WINDOW = "g long, doc long, th int, s int, n long, a int, n_contents long, w1 long, w2 long, content binary"
+WINDOW = "g long, doc long, th long, s int, n long, a int, n_contents long, w1 long, w2 long, content binary"
 
 
 def window_rows(docs: DataFrame, parts: DataFrame, w: Windows) -> DataFrame:
@@ -258,13 +258,13 @@ def window_rows(docs: DataFrame, parts: DataFrame, w: Windows) -> DataFrame:
                     if m := len(rows[0]):
                         w1, w2 = (pa.array(x) for x in _halves(rows[7])) if rows is one else (pa.nulls(m, pa.int64()),) * 2
                         content = pa.nulls(m, pa.binary()) if rows is one else pa.array(rows[7], pa.binary())
-                        yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64()))), w1, w2, content], ["g", "doc", "th", "s", "n", "a", "n_contents", "w1", "w2", "content"])
+                        yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()))), w1, w2, content], ["g", "doc", "th", "s", "n", "a", "n_contents", "w1", "w2", "content"])
 
     given = of_documents(docs, parts.select("doc", "th", "lo", "hi", "n", "g", "a", "n_contents", "named")).select("doc", "th", "text", "parts")
     return c.stored(given.mapInArrow(emit, WINDOW))
 
 
-SLOT = "core long, doc long, th int, s int, n long, w1 long, w2 long, content binary"
+SLOT = "core long, doc long, th long, s int, n long, w1 long, w2 long, content binary"
 
 
 def slots(rows: DataFrame, w: Windows, size: int = 8) -> DataFrame:
@@ -290,7 +290,7 @@ def slots(rows: DataFrame, w: Windows, size: int = 8) -> DataFrame:
                     i = j + 1
             if out[0]:
                 w1, w2 = _halves(out[5])
-                kinds = pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()
+                kinds = pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()
                 yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(out[:5], kinds)), pa.array(w1), pa.array(w2), pa.array(out[6], pa.binary())], ["core", "doc", "th", "s", "n", "w1", "w2", "content"])
 
     return c.stored(rows.select("doc", "th", "s", "n", "a", "content").mapInArrow(emit, SLOT))
@@ -307,4 +307,4 @@ def covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
 def removal(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """All documents, with ``spans`` (doc, th, s, e) as two lists, null where there are none."""
     lists = spans.groupBy("doc", "th").agg(F.collect_list("s").alias("ss"), F.collect_list("e").alias("ee"))
-    return docs.join(lists, ["doc", "th"], "left").select(F.when(F.col("doc") != _NULL_ID, F.col("doc")).alias("doc_id"), "text", "ss", "ee")
+    return docs.join(lists, ["doc", "th"], "left").select("doc_id", "text", "ss", "ee")

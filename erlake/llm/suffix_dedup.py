@@ -95,7 +95,7 @@ def sorted_windows(rows: DataFrame, w: r.Windows) -> DataFrame:
         n = np.array(ns)
         k, s = repeated(np.frombuffer(b"".join(contents), np.uint8), at, n, w.length, w.q)
         k, s = k[n[k] == 1], s[n[k] == 1]
-        return pa.RecordBatch.from_arrays([pa.array(np.array(docs, np.int64)[k]), pa.array(np.array(ths, np.int32)[k]), pa.array((np.array(starts, np.int64)[k] + s).astype(np.int32))], ["doc", "th", "s"])
+        return pa.RecordBatch.from_arrays([pa.array(np.array(docs, np.int64)[k]), pa.array(np.array(ths, np.int64)[k]), pa.array((np.array(starts, np.int64)[k] + s).astype(np.int32))], ["doc", "th", "s"])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -112,7 +112,7 @@ def sorted_windows(rows: DataFrame, w: r.Windows) -> DataFrame:
             yield solve(held)
 
     given = rows.where("content IS NOT NULL").select("g", "doc", "th", "s", "n", "content")
-    return given.repartition("g").sortWithinPartitions("g").mapInArrow(emit, "doc long, th int, s int")
+    return given.repartition("g").sortWithinPartitions("g").mapInArrow(emit, "doc long, th long, s int")
 
 
 def removed_spans(docs: DataFrame, w: r.Windows, bits: int, hot: int) -> DataFrame:
@@ -152,7 +152,7 @@ def hot_spans(rows: DataFrame, w: r.Windows) -> DataFrame:
             take = pa.array(at)
             yield pa.RecordBatch.from_arrays([doc.take(take), th.take(take), pa.array((s.to_numpy()[at] + step).astype(np.int32)), n.take(take), pa.array(names[:, 0]), pa.array(names[:, 1])], ["doc", "th", "s", "n", "w1", "w2"])
 
-    named = c.stored(pieces.where("mixed AND top.doc = doc AND top.th = th AND top.s = s").select("doc", "th", "s", F.col("total").alias("n"), "content").mapInArrow(emit, "doc long, th int, s int, n long, w1 long, w2 long"))
+    named = c.stored(pieces.where("mixed AND top.doc = doc AND top.th = th AND top.s = s").select("doc", "th", "s", F.col("total").alias("n"), "content").mapInArrow(emit, "doc long, th long, s int, n long, w1 long, w2 long"))
     often = c.stored(named.groupBy("w1", "w2").agg(F.sum("n").alias("total")).where("total > 1").select("w1", "w2"))
     return whole.union(named.where("n = 1").join(often, ["w1", "w2"]).select("doc", "th", "s", (F.col("s") + w.length).alias("e")))
 

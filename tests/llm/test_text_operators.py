@@ -39,6 +39,24 @@ def test_substring_dedup(spark, rows):
     assert substring_dedup.substring_dedup(frame(spark, [])).count() == 0
 
 
+def test_rows_that_share_an_id_or_a_hash_are_told_apart(spark):
+    import itertools
+
+    # two long texts with one 32-bit hash
+    words = [f"w{i}" for i in range(70)]
+    texts = spark.range(400_000).select(F.concat(F.lit(" ".join(words) + " "), F.col("id")).alias("t")).withColumn("h", F.hash("t"))
+    pair = texts.groupBy("h").agg(F.collect_list("t").alias("t")).where("size(t) > 1").first().t
+    a, b = pair[0], pair[1]
+    other = " ".join(f"z{i}" for i in range(120))
+    key = lambda x: tuple(str(y) for y in x)
+    given = [(1, a), (7, a), (7, b), (None, a), (None, b), (3, other), (None, other), ((1 << 63) - 2, other)]
+    for rows in (given, list(itertools.islice(reversed(given), 6))):
+        got = sorted((tuple(r)[:4] for r in substring_dedup.substring_dedup(frame(spark, rows), bits=16).collect()), key=key)
+        assert got == sorted(substring_dedup.brute_force(rows), key=key)
+        got = sorted((tuple(r)[:5] for r in suffix_dedup.suffix_dedup(frame(spark, rows), bits=16).collect()), key=key)
+        assert got == sorted(suffix_dedup.brute_force(rows), key=key)
+
+
 @pytest.mark.parametrize("hot", [0, 256])
 def test_suffix_dedup(spark, rows, hot):
     key = lambda x: tuple(str(y) for y in x)
