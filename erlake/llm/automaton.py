@@ -202,6 +202,7 @@ class Automaton:
         self.resets = (self.next[:, self.of] == self.start).all(axis=0)
         self._rows = self.next.tolist()
         self._ok = (self.accepts > 0).tolist()
+        self._bits = self.accepts.tolist()
 
     def longest(self, classes: bytes, at: int, stop: int) -> int:
         """End of the longest match that starts at ``at``; -1 if none does. ``classes``: the text as byte classes."""
@@ -216,6 +217,20 @@ class Automaton:
                 end = i + 1
         return end
 
+    def walk(self, classes: bytes, state: int) -> int:
+        """The bits of all rules that accept somewhere on the way from ``state`` along ``classes``."""
+        rows, seen = self._rows, 0
+        accepts = self._bits
+        for k in classes:
+            state = rows[state][k]
+            if accepts[state]:
+                seen |= accepts[state]
+        return seen
+
+
+#: Lanes that are left for single steps.
+FEW = 24
+
 
 def lanes(data: np.ndarray, at: np.ndarray, resets: np.ndarray, size: int = 1024) -> tuple[np.ndarray, np.ndarray]:
     """Pieces of about ``size`` bytes that no match crosses: cut at document ends and after resetting bytes."""
@@ -231,7 +246,8 @@ def lanes(data: np.ndarray, at: np.ndarray, resets: np.ndarray, size: int = 1024
 def scan(auto: Automaton, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """For each lane, the bits of the rules that some prefix of it ends a match of: one transition for each byte.
 
-    All lanes step together, the longest first, so each step is one indexed read over the lanes still running.
+    All lanes step together, the longest first, so each step is one indexed read over the lanes still running. The last
+    ``FEW`` lanes, which may be much longer, are walked one by one.
     """
     order = np.argsort(starts - ends, kind="stable")
     s, n = starts[order], (ends - starts)[order]
@@ -249,6 +265,10 @@ def scan(auto: Automaton, data: np.ndarray, starts: np.ndarray, ends: np.ndarray
     for i, k in enumerate(running.tolist()):
         if k < len(state):
             state = state[:k]
+        if k <= FEW:
+            for j in range(k):
+                hit[j] |= auto.walk(classes[s[j] + i : s[j] + n[j]].tobytes(), int(state[j]) // width)
+            break
         state = flat[state + classes[s[:k] + i]]
         if some:
             hit[:k] |= accepts[state]

@@ -1,7 +1,8 @@
 """Benchmark decontamination by template windows.
 
 Words are canonicalised: a number becomes NUMBER, a capitalised word inside a sentence NAME, a unit after a number UNIT;
-any other word stays, in lower case. Windows of ``WINDOW`` canonical words are hashed as templates if at least ``LITERAL`` of the words
+any other word stays, in lower case. A capitalised word that opens a sentence may be a name or not, so windows that hold one are
+read both ways. Windows of ``WINDOW`` canonical words are hashed as templates if at least ``LITERAL`` of the words
 aren't placeholders; all other windows (and the whole of a shorter item) are hashed with their very words, and match only those. A bitmap
 of the benchmark's windows, whose size is fixed, keeps other document windows from the join; the hash join on the 128-bit
 keys is exact. Matches of one item on one diagonal (document position less item position) form an alignment. It counts if its
@@ -45,12 +46,13 @@ def _unit_names() -> np.ndarray:
     return np.sort(c.word_names(data, at[:-1], at[1:]))
 
 
-def canonical(part: np.ndarray, lower: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Canonical names, values (of the words themselves), whether each is a placeholder, and each document's first word."""
+def canonical(part: np.ndarray, lower: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Canonical names, values (of the words themselves), whether each is a placeholder, each document's first word, and
+    whether a word opens a sentence with a capital, and so may be a name or not."""
     s, e, first = c.word_bounds(lower, at, WORD)
     value = c.word_names(lower, s, e)
     if not len(s):
-        return value, value, np.zeros(0, bool), first
+        return value, value, np.zeros(0, bool), first, np.zeros(0, bool)
     total = lambda kind: np.concatenate([[0], np.cumsum(kind[part])])
     digits, stops = total(_DIGIT), total(_STOP)
     number = digits[e] - digits[s] == e - s
@@ -69,7 +71,7 @@ def canonical(part: np.ndarray, lower: np.ndarray, at: np.ndarray) -> tuple[np.n
         unit &= names[k] == value
     out = value.copy()
     out[number], out[name & ~unit], out[unit] = _NUMBER, _NAME, _UNIT
-    return out, value, number | name | unit, first
+    return out, value, number | name | unit, first, capital & start & (e - s > 1)
 
 
 def _same_length(b: pa.Array) -> tuple[pa.Array, pa.Array]:
@@ -114,7 +116,8 @@ def windows(rows: DataFrame, kinds, bitmap=None) -> DataFrame:
             data, low, at = _same_length(b.column(1))
             for i, j in c.steps(at, STEP):
                 own = at[i : j + 1] - at[i]
-                names, value, slot, first = canonical(data[at[i] : at[j]], low[at[i] : at[j]], own)
+                names, value, slot, first, opens = canonical(data[at[i] : at[j]], low[at[i] : at[j]], own)
+                named = np.where(opens, _NAME, names), slot | opens
                 words = np.diff(first)
                 doc = np.repeat(np.arange(j - i), words)
                 for size in sorted({int(min(x, WINDOW)) for x in words if x} if kinds is None else {x for x, _ in kinds}):
@@ -124,15 +127,22 @@ def windows(rows: DataFrame, kinds, bitmap=None) -> DataFrame:
                     inside = start + size <= first[doc[start] + 1]
                     if bits is None:
                         inside &= np.minimum(words[doc[start]], WINDOW) == size
-                    for template in (True, False):
+                    strong, of_kind = np.zeros(len(inside), bool), []
+                    for template, kind, held in ((True, names, slot), (True, *named), (False, value, slot)):
                         if template and size < WINDOW or kinds is not None and (size, template) not in kinds:
                             continue
-                        k1, k2, literal = _windows(names if template else value, slot, size)
-                        strong = inside & (literal >= LITERAL) if size == WINDOW else np.zeros(len(inside), bool)
-                        n_templates = np.bincount(doc[start[strong]], minlength=j - i)
-                        if not template:
+                        k1, k2, literal = _windows(kind, held, size)
+                        if template:
+                            ok = inside & (literal >= LITERAL)
+                            if kind is not names:  # only where it differs from the first reading
+                                ok &= np.convolve(opens, np.ones(size, np.int64), "valid") > 0
+                            strong |= ok
+                        else:
                             k1, k2 = c.pair(k1, np.full(len(k1), _EXACT)), k2 ^ _EXACT
-                        ok = strong if template else inside & ~strong if bits is None else inside
+                            ok = inside & ~strong if bits is None else inside
+                        of_kind.append((template, held, k1, k2, ok))
+                    n_templates = np.bincount(doc[start[strong]], minlength=j - i)
+                    for template, held, k1, k2, ok in of_kind:
                         if bits is not None:
                             ok = ok & bits[(k1 >> U(64 - BITS)).astype(np.int64)]
                         at_ = np.flatnonzero(ok)
@@ -140,7 +150,7 @@ def windows(rows: DataFrame, kinds, bitmap=None) -> DataFrame:
                             continue
                         d = doc[at_]
                         cells = at_[:, None] + np.arange(size)
-                        mask = slot[cells] & template
+                        mask = held[cells] & template
                         off = np.concatenate([[0], np.cumsum(mask.sum(1))]).astype(np.int32)
                         offsets = pa.ListArray.from_arrays(pa.array(off), pa.array((np.broadcast_to(np.arange(size), mask.shape)[mask]).astype(np.int32)))
                         vals = pa.ListArray.from_arrays(pa.array(off), pa.array(c.signed(value[cells[mask]])))

@@ -77,12 +77,13 @@ def spans_of(part: np.ndarray, at: np.ndarray, rules: tuple[Secret, ...]) -> dic
                 continue
             auto, head = own[r], heads[r]
             classes = auto.of[part[s:e]].tobytes()
+            head_classes = head.of[part[s:e]].tobytes() if head else b""
             done = 0
             for i in np.flatnonzero(begins[r][part[s:e]]).tolist():
                 if i < done or (end := auto.longest(classes, i, e - s)) < 0:
                     continue
                 done = end
-                if rule.least and end - head.longest(head.of[part[s:e]].tobytes(), i, e - s) < rule.least:
+                if rule.least and end - head.longest(head_classes, i, end) < rule.least:
                     continue
                 out.setdefault(doc, []).append((s + i, r, s + end))
     for x in out.values():

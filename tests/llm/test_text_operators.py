@@ -155,6 +155,14 @@ def test_decontamination_finds_short_and_number_heavy_items(spark):
     assert got == {(1, 1), (2, 2), (3, 3), (7, 2), (8, 3)}
 
 
+def test_decontamination_knows_names_that_open_sentences(spark):
+    item = "Tom has 12 apples. Anna has 30 more apples. Tom gives Anna 5 apples. How many apples does Tom have now?"
+    other = item.replace("Tom", "Kim").replace("Anna", "Lee").replace("12", "7").replace("30", "99").replace("5", "3")
+    docs = [(1, "x " + item), (2, other), (3, other.replace("How", "So how")), (4, "The sea is wide. We saw it from the shore and had 12 apples.")]
+    got = {r.doc_id: r.reparameterised for r in decontamination.contaminated(frame(spark, docs), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got == {1: False, 2: True, 3: True}
+
+
 def test_decontamination_drops_only_windows_with_the_conflict(spark):
     item = "In May Tom has 12 apples and buys 30 kg more from Anna. How many apples does Tom have now in total?"
     docs = [(1, item.replace("does Tom", "does Bob")), (2, item.replace("12", "7").replace("30", "7")), (3, item.replace("Tom has 12", "Kim has 7").replace("buys 30", "buys 7").replace("Tom have", "Bob have"))]
@@ -179,6 +187,10 @@ def test_secrets(spark, rows):
     digest = lambda x: hashlib.sha256(",".join(f"{s.kind}:{s.start}:{s.end}" for s in x if s.kind in secrets.BASE).encode()).hexdigest()
     got = [(r.doc_id, digest(r.spans)) for r in secrets.find_secrets(frame(spark, texts)).collect()]
     assert sorted(map(str, got)) == sorted(str((x[0], x[4])) for x in secrets.brute_force(texts))
+    long = [(1, "token=abcdef1 " * 80_000), (2, "a" * 1_200_000)]  # more than a step, without any byte that ends all matches
+    got = [(r.doc_id, digest(r.spans)) for r in secrets.find_secrets(frame(spark, long)).collect()]
+    assert sorted(got) == sorted((x[0], x[4]) for x in secrets.brute_force(long))
+    assert secrets.find_secrets(frame(spark, [])).count() == 0 == secrets.redact(frame(spark, [])).count()
     out = secrets.redact(frame(spark, [(1, 'é token = "abcdef123" x'), (2, None)]))
     assert [r.text for r in out.orderBy("doc_id").collect()] == ['é <assign>" x', None]
 
