@@ -4,7 +4,8 @@
 bounded sample here) and keeps every word that any of them holds; document frequencies are counted over all documents. A search
 adds up all posting lists of a text's words (long lists as rows of a matrix, many texts at a time), so its neighbours are exact.
 The neighbours' vote and the text's TF-IDF vector times each word's signed chi-squared (all words take part) are calibrated
-on the examples themselves, each without itself, at the class rates of all labelled rows. Words that no example holds have no place in the vectors, nor in their lengths.
+on the examples themselves, each without itself, at the class rates of all labelled rows; a document that is an example is
+scored in the same way, by the others alone, so that no score sees its own label. Words that no example holds have no place in the vectors, nor in their lengths.
 
 Defined cases: null and empty texts and texts without any word of the examples get the rate of toxic examples among such texts; ties
 in cosine go to the example that stands first in the index; a null label or id is no example, and of several labels of a
@@ -76,16 +77,13 @@ class Index:
         bare = np.array([len(v[0]) == 0 for v in vectors], bool)
         prior = 1e-3
         self.bare = float((share[bare & (label == 1)].sum() + prior * rate) / (share[bare].sum() + prior)) if n else rate
-        # without itself an example's own words would not be known
-        others = [(t[held[t] > 1], w[held[t] > 1]) for t, w in (vectors[i] for i in order)]
-        near = self.cosines((t, w / max(float(np.sqrt((w * w).sum())), 1e-12)) for t, w in others)
         y = label[order]
-        a = np.bincount(term[y[self.example] == 1], minlength=len(terms))
-        self.chi, votes = _signed_chi(a, held - a, y.sum(), (1 - y).sum()), []
+        self.held, self.toxic, self.pos, self.neg = held, np.bincount(term[y[self.example] == 1], minlength=len(terms)), int(y.sum()), int((1 - y).sum())
+        self.chi, votes = _signed_chi(self.toxic, held - self.toxic, self.pos, self.neg), []
+        near = self.cosines(self.without_itself(*vectors[i]) for i in order)
         for place, (i, x) in enumerate(zip(order, near)):
-            t, w = vectors[i]
-            chi = _signed_chi(a[t] - y[place], (held - a)[t] - (1 - y[place]), y.sum() - y[place], (1 - y).sum() - (1 - y[place]))
-            votes.append((self.vote(*self.nearest(x, place)), np.arcsinh(w @ chi)))
+            votes.append((self.vote(*self.nearest(x, place)), self.lean(*vectors[i], place)))
+        self.places = {int(x): k for k, x in enumerate(self.ids)}
         self.slope, self.shift = _logistic(np.array(votes), label[order].astype(float), share[order]) if len(votes) > 1 else (np.zeros(2), _logit(rate))
 
     def vector(self, names: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,6 +96,21 @@ class Index:
         at, w = at[ok], (1 + np.log(counts[ok])) * self.idf[at[ok]]
         return at, w / max(float(np.sqrt((w * w).sum())), 1e-12)
 
+    def without_itself(self, t: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """An example's vector as it would be were it no example: its own words would not be known."""
+        more = self.held[t] > 1
+        t, w = t[more], w[more]
+        return t, w / max(float(np.sqrt((w * w).sum())), 1e-12)
+
+    def lean(self, t: np.ndarray, w: np.ndarray, place: int = -1) -> float:
+        """The vector times signed chi-squared; that of the other examples for the example at ``place``."""
+        chi = self.chi[t]
+        if place >= 0:
+            y = int(self.label[place])
+            a, b = self.toxic[t] - y, (self.held - self.toxic)[t] - (1 - y)
+            chi = _signed_chi(np.maximum(a, 0), np.maximum(b, 0), self.pos - y, self.neg - (1 - y))
+        return float(np.arcsinh(w @ chi))
+
     def cosines(self, vectors: Iterable[tuple[np.ndarray, np.ndarray]]) -> Iterator[np.ndarray]:
         """For each vector its cosine with every example."""
         for part in batched(vectors, BATCH):
@@ -130,14 +143,15 @@ class Index:
         w = cosines**2
         return _logit((float((w * self.label[places]).sum()) + 0.02) / (float(w.sum()) + 0.04))
 
-    def scores(self, docs: Iterable[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[float, list[tuple[int, float, int]]]]:
-        mine, again = tee(self.vector(*d) for d in docs)
-        for (t, w), x in zip(again, self.cosines(mine)):
-            places, cosines = self.nearest(x)
+    def scores(self, ids: Iterable[int | None], docs: Iterable[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[float, list[tuple[int, float, int]]]]:
+        """Score and evidence of each document; a document that is an example itself is scored by the other examples alone."""
+        mine, again = tee((self.places.get(i, -1), *self.vector(*d)) for i, d in zip(ids, docs))
+        for (place, t, w), x in zip(again, self.cosines(self.without_itself(t, w) if place >= 0 else (t, w) for place, t, w in mine)):
+            places, cosines = self.nearest(x, place)
             if not len(places):
                 yield self.bare, []
                 continue
-            z = float(self.slope @ np.array([self.vote(places, cosines), np.arcsinh(w @ self.chi[t])])) + self.shift
+            z = float(self.slope @ np.array([self.vote(places, cosines), self.lean(t, w, place)])) + self.shift
             yield float(1 / (1 + np.exp(-z))), [(int(self.ids[p]), round(float(x), 6), int(self.label[p])) for p, x in zip(places[:3], cosines)]
 
 
@@ -229,7 +243,7 @@ def score_toxicity(df: DataFrame, index: Index) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = held.value
         for b in batches:
-            got = list(index.scores(term_counts(b.column(1))))
+            got = list(index.scores(b.column(0).to_pylist(), term_counts(b.column(1))))
             evidence = pa.array([[{"doc_id": i, "cosine": x, "label": y} for i, x, y in e] for _, e in got], pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())])))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in got], pa.float64()), evidence], ["doc_id", "score", "evidence"])
 
@@ -239,11 +253,11 @@ def score_toxicity(df: DataFrame, index: Index) -> DataFrame:
 def drop_toxic(df: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of ``df`` that score below ``threshold``, with the columns of ``df``."""
     index = df.sparkSession.sparkContext.broadcast(fit(df, labels))
-    col, schema = df.columns.index("text"), df.schema
+    col, own, schema = df.columns.index("text"), df.columns.index("doc_id"), df.schema
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = [x < threshold for x, _ in index.value.scores(term_counts(b.column(col)))]
+            keep = [x < threshold for x, _ in index.value.scores(b.column(own).to_pylist(), term_counts(b.column(col)))]
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return df.mapInArrow(emit, schema)

@@ -1,6 +1,7 @@
 """Operators on documents: defined cases and brute force."""
 
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -215,6 +216,22 @@ def test_toxicity_search_is_exact_and_scores(spark):
     assert toxicity.drop_toxic(frame(spark, docs), labels).columns == frame(spark, docs).columns
 
 
+def test_toxicity_scores_no_document_by_its_own_label(spark):
+    rng = random.Random(9)
+    docs = [(i, prose(rng, 25) + (" idiot moron" if i % 3 == 0 else "")) for i in range(300)]
+    right = [(i, int(i % 3 == 0)) for i in range(300)]
+    flipped = next(i for i in range(300) if zlib.crc32(str(i).encode()) % 5)
+    scores = []
+    for y in (0, 1):
+        labels = spark.createDataFrame([(i, 0, y if i == flipped else t) for i, t in right], "doc_id long, quality int, toxic int")
+        rows = toxicity.score_toxicity(frame(spark, docs), toxicity.fit(frame(spark, docs), labels)).collect()
+        assert all(e.doc_id != r.doc_id for r in rows for e in r.evidence)
+        scores.append({r.doc_id: r.score for r in rows})
+    # the others' calibration moves a little with one label, the document's own side of the threshold doesn't
+    assert (scores[0][flipped] >= 0.5) == (scores[1][flipped] >= 0.5) == (flipped % 3 == 0)
+    assert toxicity.score_toxicity(frame(spark, []), toxicity.fit(frame(spark, docs), labels)).count() == 0
+
+
 def test_toxicity_keeps_every_word_of_the_examples(spark):
     rng = random.Random(8)
     # each toxic word stands in four examples alone, under any cut by frequency or chi-squared
