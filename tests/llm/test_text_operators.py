@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -248,10 +249,27 @@ def test_toxicity_keeps_every_word_of_the_examples(spark):
 
 
 def test_license_scan(spark):
-    mit = dict(license_scan.KNOWN[:1])["MIT"]
-    docs = [(1, "Copyright (c) 2020 Someone\n" + mit.upper().replace(",", " ,")), (2, "MIT"), (3, None), (4, "Released under the MIT Licence.")]
-    got = {r.doc_id: r.license for r in license_scan.license_scan(frame(spark, docs)).collect()}
-    assert got == {1: "MIT", 2: None, 3: None, 4: "MIT"}
+    mit, bsd = dict(license_scan.KNOWN[:1])["MIT"], next(t for k, t in license_scan.KNOWN if k == "BSD-3-Clause")
+    curly = mit.replace('"Software"', "\u201cSoftware\u201d").replace("free of charge", "free\u00a0of charge")
+    marked = "\n".join("# " + x for x in ("Copyright 2020 Someone\n(c) 2021 Another\n" + mit).split("\n"))
+    docs = [(1, "Copyright (c) 2020 Someone\n" + mit.upper().replace(",", " ,")), (2, "MIT"), (3, None), (4, "Released under the MIT Licence."), (5, curly), (6, marked), (7, bsd), (8, ""), (None, mit), (None, mit)]
+    docs += [(9, "(c) You must keep the notices."), (10, "(c) You may drop all notices.")]
+    rows = license_scan.license_scan(frame(spark, docs)).collect()
+    got = {r.doc_id: r.license for r in rows}
+    assert got == {1: "MIT", 2: None, 3: None, 4: "MIT", 5: "MIT", 6: "MIT", 7: "BSD-3-Clause", 8: None, 9: None, 10: None, None: "MIT"} and len(rows) == len(docs)
+    digest = {r.doc_id: r.digest for r in rows}
+    assert digest[9] != digest[10] and digest[3] == digest[8]
+    assert license_scan.license_scan(frame(spark, [])).count() == 0
+    own = spark.createDataFrame([("own", "My own licence text"), ("own", None), (None, "x")], "license string, text string")
+    got = {r.doc_id: r.license for r in license_scan.license_scan(frame(spark, [(1, "MY OWN license text!"), (2, "x")]), own).collect()}
+    assert got == {1: "own", 2: None}
+
+
+@pytest.mark.skipif(not Path("/usr/share/common-licenses/GPL-3").exists(), reason="needs the published texts")
+def test_license_scan_knows_the_published_texts(spark):
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    docs = [(k, Path(f"/usr/share/common-licenses/{f}").read_text()) for k, f in enumerate(names)]
+    assert {r.doc_id: r.license for r in license_scan.license_scan(frame(spark, docs)).collect()} == dict(enumerate(names.values()))
 
 
 def test_sampled_pieces(spark, rows):
