@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -15,6 +15,7 @@ from .operators import metrics as m
 from .operators import tfidf
 from .plans import sql as s
 from .functions import kernels
+from .sources import index
 from .sources.records import demo_records, parse_truth
 
 PER_KEY, CAP = 30, 20
@@ -24,8 +25,14 @@ def _records(spark: SparkSession, sf: str) -> DataFrame:
     return demo_records(spark, sf)
 
 
+#: The code that the index depends on.
+_INDEX_CODE = ("functions/text.py", "operators/blocking.py", "sources/records.py")
+
+
 def _keys(spark: SparkSession, sf: str) -> DataFrame:
-    return b.with_keys(_records(spark, sf))
+    """The block index: all records with their normal forms, geography, tokens and grams, stored once for an input."""
+    inputs = spark.read.parquet(f"{sf}/documents.parquet").inputFiles()
+    return index.resumed(spark, "index", index.manifest(spark, inputs, _INDEX_CODE), lambda: b.with_keys(_records(spark, sf)))
 
 
 def _truth(keys: DataFrame) -> DataFrame:
@@ -42,11 +49,6 @@ def _pairs(spark: SparkSession, sf: str) -> DataFrame:
     return b.route_pairs(_keys(spark, sf), PER_KEY)
 
 
-def _plain(x: Column) -> Column:
-    """ASCII only, other characters as ``?``: DuckDB measures edit distance in bytes."""
-    return F.regexp_replace(x, r"[^\x00-\x7f]", "?")
-
-
 def _minimum_slice(spark: SparkSession, sf: str) -> DataFrame:
     keys = _keys(spark, sf)
     pairs = b.route_pairs(keys, PER_KEY, ("country_pin_name",)).select("s1", "candidate")
@@ -73,9 +75,17 @@ def _set_features(spark: SparkSession, sf: str) -> DataFrame:
     return f.select("s1", "candidate", *[F.round(F.col(x).cast("double"), 4).alias(x) for x in f.columns[2:]])
 
 
+def _all_features(spark: SparkSession, sf: str) -> DataFrame:
+    """All 28; five of them are ratios that SQL lacks."""
+    keys = _keys(spark, sf)
+    return b.features(b.paired(b.route_pairs(keys, PER_KEY, ("country_pin_name",)).select("s1", "candidate"), keys))
+
+
 def _tfidf(spark: SparkSession, sf: str) -> DataFrame:
     keys = _keys(spark, sf)
-    q = keys.where("source = 'S1'").where(t.hash_sample(F.col("entity_id"), 10)).select(F.col("entity_id").alias("id"), F.col("name_n").alias("text"))
+    # a search's queries are the anchors whose number is divisible by 20; they meet all other records
+    number = F.split_part("entity_id", F.lit("-"), F.lit(2)).cast("long")
+    q = keys.where("source = 'S1'").where(number % 20 == 0).select(F.col("entity_id").alias("id"), F.col("name_n").alias("text"))
     return tfidf.top_k(q, keys.where("source <> 'S1'").select(F.col("entity_id").alias("id"), F.col("name_n").alias("text")), 5)
 
 
@@ -86,9 +96,9 @@ def _source_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _names(spark: SparkSession, sf: str) -> DataFrame:
-    """(s1, candidate, a, b): both raw names of each true link, in ASCII."""
-    r, keys = _records(spark, sf), _keys(spark, sf)
-    side = lambda x, y: r.select(F.col("entity_id").alias(x), _plain(F.col("business_name")).alias(y))
+    """(s1, candidate, a, b): both raw names of each true link."""
+    keys = _keys(spark, sf)
+    side = lambda x, y: keys.select(F.col("entity_id").alias(x), F.col("business_name").alias(y))
     return _truth(keys).join(side("s1", "a"), "s1").join(side("candidate", "b"), "candidate")
 
 
@@ -110,7 +120,7 @@ def _prf(spark: SparkSession, sf: str) -> DataFrame:
 
 def _validate(spark: SparkSession, sf: str) -> DataFrame:
     anchors, truth, predicted = _rule_matches(spark, sf)
-    return a_.validate(anchors, truth, predicted, _records(spark, sf))
+    return a_.validate(anchors, truth, predicted, _records(spark, sf), truth.select("s1").distinct())
 
 
 def _truth_parse(spark: SparkSession, sf: str) -> DataFrame:
@@ -146,12 +156,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "macro_f05": lambda x, f: m.macro_f(m.per_anchor(*_rule_matches(x, f)), 0.25),
         "macro_f1": lambda x, f: m.macro_f(m.per_anchor(*_rule_matches(x, f)), 1.0),
         "pair_features_set": _set_features,
-        "levenshtein_sim": lambda x, f: (lambda k: _truth(k).join(k.select(col("entity_id").alias("s1"), col("name_n").alias("a")), "s1").join(k.select(col("entity_id").alias("candidate"), col("name_n").alias("b")), "candidate").select("s1", "candidate", F.round(t.levenshtein_similarity(_plain(col("a")), _plain(col("b"))), 6).alias("sim")))(_keys(x, f)),
+        "levenshtein_sim": lambda x, f: (lambda k: _truth(k).join(k.select(col("entity_id").alias("s1"), col("name_n").alias("a")), "s1").join(k.select(col("entity_id").alias("candidate"), col("name_n").alias("b")), "candidate").select("s1", "candidate", F.round(t.levenshtein_similarity(col("a"), col("b")), 6).alias("sim")))(_keys(x, f)),
         "char_tfidf_topk": _tfidf,
         "source_profile": _source_profile,
         "country_pivot": lambda x, f: _records(x, f).withColumn("source", F.split_part("entity_id", F.lit("-"), F.lit(1))).groupBy("country").pivot("source", ["S1", "S2", "S3"]).count().na.fill(0),
         "truth_profile": lambda x, f: (lambda k: _anchors(k).join(_truth(k).groupBy("s1").agg(F.count("*").alias("n")), "s1", "left").na.fill(0).groupBy(F.least("n", F.lit(4)).alias("matches")).agg(F.count("*").alias("anchors"), F.sum("n").alias("links")))(_keys(x, f)),
-        "name_groups": lambda x, f: _records(x, f).groupBy(F.upper("business_name").alias("name")).agg(F.count("*").alias("n"), F.count_distinct("business_address").alias("addresses"), F.array_join(F.array_sort(F.collect_set(F.split_part("entity_id", F.lit("-"), F.lit(1)))), ",").alias("sources")).where("n > 1 AND NOT contains(name, 'ß') AND NOT contains(name, 'SS')"),
+        "name_groups": lambda x, f: _records(x, f).groupBy(F.upper("business_name").alias("name")).agg(F.count("*").alias("n"), F.count_distinct("business_address").alias("addresses"), F.array_join(F.array_sort(F.collect_set(F.split_part("entity_id", F.lit("-"), F.lit(1)))), ",").alias("sources")).where("n > 1"),
         "submission_lists": lambda x, f: (lambda a, _, p: a.join(p, "s1", "left").groupBy("s1").agg(F.array_join(F.array_sort(F.collect_set("candidate")), ",").alias("ids")))(*_rule_matches(x, f)),
         "candidate_rank": lambda x, f: _scored(x, f).select("s1", "candidate", F.round("score", 6).alias("score"), F.round("second", 6).alias("second")),
         "cap_quota": lambda x, f: b.quota_cap(_scored(x, f), CAP).select("s1", "candidate"),
@@ -174,17 +184,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "dup_prefix": lambda x, f: a_.before_first_repeat(x.read.parquet(f"{f}/documents.parquet").select((col("doc_id") % 151).alias("id"), col("doc_id").alias("pos"))),
         "submission_validate": _validate,
     }
+    q["pair_features"] = _all_features
     for route in b.ROUTES:
         q[f"route_{route}"] = lambda x, f, route=route: b.route_pairs(_keys(x, f), PER_KEY, (route,)).select("s1", "candidate")
-    return q
+    from . import reports
+
+    return q | reports.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    k, p = f"WITH {s.KEYS}", f"WITH {s.pairs(PER_KEY)}"
+    k, p = f"WITH {s.KEYS}", f"WITH {s.pairs(PER_KEY, b.ROUTES)}"
     pt = f"{p}, {s.TRUTH}"
+    one = f"WITH {s.pairs(PER_KEY, ('country_pin_name',))}"
+    one_t = f"{one}, {s.TRUTH}"
     pin = "pred AS (SELECT s1, candidate FROM pairs WHERE route = 'country_pin_name')"
     volume = "SELECT count(*) AS anchors, sum(n)::BIGINT AS candidates, round(avg(n), 6) AS mean, round(quantile_cont(n, 0.95), 6) AS p95, round(quantile_cont(n, 0.99), 6) AS p99, count(*) FILTER (n = 0) AS zero, count(*) FILTER (n > 100) AS over_100, round(1 - sum(n) / (count(*) * (SELECT count(*) FROM keys WHERE source <> 'S1')), 6) AS reduction FROM (SELECT k.entity_id, count(p.candidate) AS n FROM keys k LEFT JOIN {x} p ON p.s1 = k.entity_id WHERE k.source = 'S1' GROUP BY 1)"
-    counts = f"{pt}, {pin}, n AS (SELECT k.entity_id AS s1, (SELECT count(*) FROM truth t WHERE t.s1 = k.entity_id) AS a, (SELECT count(*) FROM pred p WHERE p.s1 = k.entity_id) AS p, (SELECT count(*) FROM pred p JOIN truth t ON p.s1 = t.s1 AND p.candidate = t.candidate WHERE p.s1 = k.entity_id) AS tp FROM keys k WHERE source = 'S1')"
+    counts = f"{one_t}, {pin}, n AS (SELECT k.entity_id AS s1, (SELECT count(*) FROM truth t WHERE t.s1 = k.entity_id) AS a, (SELECT count(*) FROM pred p WHERE p.s1 = k.entity_id) AS p, (SELECT count(*) FROM pred p JOIN truth t ON p.s1 = t.s1 AND p.candidate = t.candidate WHERE p.s1 = k.entity_id) AS tp FROM keys k WHERE source = 'S1')"
     f = "SELECT round(avg(CASE WHEN a = 0 AND p = 0 THEN 1.0 WHEN tp = 0 THEN 0.0 ELSE {b1} * (tp / p) * (tp / a) / ({b} * (tp / p) + tp / a) END), 6) AS score FROM n"
     jac = lambda x, y: f"CASE WHEN len({x}) > 0 AND len({y}) > 0 THEN len(list_intersect({x}, {y})) / len(list_distinct(list_concat({x}, {y}))) ELSE 0.0 END"
     fl = lambda x: f"CASE WHEN {x} THEN 1.0 ELSE 0.0 END"
@@ -197,7 +212,7 @@ def oracle_sql() -> dict[str, str]:
     feature = {"name_jaccard": jac("ta", "tb"), "address_jaccard": jac("da", "db"), "number_jaccard": jac("na", "nb"), "number_agreement": fl("len(list_intersect(na, nb)) > 0"), "number_conflict": fl("len(na) > 0 AND len(nb) > 0 AND len(list_intersect(na, nb)) = 0"), "name_length_ratio": ratio("name_n"), "address_length_ratio": ratio("addr_n"), "name_exact": agree("name_n"), "address_exact": agree("addr_n"), "country_agreement": fl("a_country <> '' AND a_country_key = b_country_key"), "candidate_is_s3": fl("candidate LIKE 'S3-%'"), "name_missing": fl("a_name_n = '' OR b_name_n = ''"), "address_missing": fl("a_addr_n = '' OR b_addr_n = ''"), "shared_postal_like": fl("len(list_filter(list_intersect(na, nb), lambda z: length(z) BETWEEN 5 AND 6)) > 0"), "state_agreement": agree("state"), "postal_agreement": agree("postal"), "city_agreement": agree("city"), "name_token_overlap": jac("ta", "tb"), "address_token_overlap": jac("da", "db"), "country_conflict": fl("a_country <> '' AND b_country <> '' AND a_country_key <> b_country_key"), "state_conflict": clash("state"), "postal_conflict": clash("postal"), "city_conflict": clash("city")}
     wide = ", ".join(f"a.{x} AS a_{x}, b.{x} AS b_{x}" for x in cols)
     out = {
-        "minimum_slice": f"{p}, {pin} " + volume.replace("{x}", "pred"),
+        "minimum_slice": f"{one}, {pin} " + volume.replace("{x}", "pred"),
         "norm_name": f"WITH {s.NORMAL} SELECT entity_id, name_n, addr_n FROM base",
         "norm_experiment": rf"WITH {s.NORMAL} SELECT entity_id, trim(regexp_replace(regexp_replace(replace(lower(business_name), 'ß', 'ss'), '[^\p{{L}}\p{{N}}\s]', ' ', 'g'), '\s+', ' ', 'g')) AS norm FROM base",
         "country_key": f"{k} SELECT entity_id, country_key FROM keys",
@@ -214,32 +229,34 @@ def oracle_sql() -> dict[str, str]:
         "missed_links": f"{pt} SELECT s1, candidate FROM truth ANTI JOIN pairs USING (s1, candidate)",
         "macro_f05": f"{counts} {f.replace('{b1}', '1.25').replace('{b}', '0.25')}",
         "macro_f1": f"{counts} {f.replace('{b1}', '2').replace('{b}', '1')}",
-        "pair_features_set": f"{p}, {pin}, j AS (SELECT p.s1, p.candidate, {wide} FROM pred p JOIN keys a ON a.entity_id = p.s1 JOIN keys b ON b.entity_id = p.candidate), l AS (SELECT *, {tok('a_name_n')} AS ta, {tok('b_name_n')} AS tb, {tok('a_addr_n')} AS da, {tok('b_addr_n')} AS db, {num('a_addr_n')} AS na, {num('b_addr_n')} AS nb FROM j) SELECT s1, candidate, {', '.join(f'round(CAST(CAST({v} AS FLOAT) AS DOUBLE), 4) AS {n}' for n, v in feature.items())} FROM l",
-        "levenshtein_sim": rf"{k}, {s.TRUTH}, x AS (SELECT s1, candidate, regexp_replace(a.name_n, '[^\x00-\x7f]', '?', 'g') AS a, regexp_replace(b.name_n, '[^\x00-\x7f]', '?', 'g') AS b FROM truth JOIN keys a ON a.entity_id = s1 JOIN keys b ON b.entity_id = candidate) SELECT s1, candidate, round(CASE WHEN greatest(length(a), length(b)) = 0 THEN 1.0 ELSE 1 - levenshtein(a, b) / greatest(length(a), length(b)) END, 6) AS sim FROM x",
-        "char_tfidf_topk": f"""{k}, d AS (SELECT entity_id AS id, source = 'S1' AS q, name_n AS x FROM keys WHERE source <> 'S1' OR {s.CRC.replace("{x}", "entity_id")} % 10 = 0), g AS (SELECT id, q, unnest(list_transform(range(1, greatest(length(x) - 1, 1)), lambda i: substring(x, i, 3))) AS g FROM d), tf AS (SELECT id, q, g, count(*) AS tf FROM g GROUP BY ALL),
+        "pair_features_set": f"{one}, {pin}, j AS (SELECT p.s1, p.candidate, {wide} FROM pred p JOIN keys a ON a.entity_id = p.s1 JOIN keys b ON b.entity_id = p.candidate), l AS (SELECT *, {tok('a_name_n')} AS ta, {tok('b_name_n')} AS tb, {tok('a_addr_n')} AS da, {tok('b_addr_n')} AS db, {num('a_addr_n')} AS na, {num('b_addr_n')} AS nb FROM j) SELECT s1, candidate, {', '.join(f'round(CAST(CAST({v} AS FLOAT) AS DOUBLE), 4) AS {n}' for n, v in feature.items())} FROM l",
+        "levenshtein_sim": rf"{k}, {s.TRUTH}, x AS (SELECT s1, candidate, {s.one_byte('a.name_n')} AS a, {s.one_byte('b.name_n')} AS b FROM truth JOIN keys a ON a.entity_id = s1 JOIN keys b ON b.entity_id = candidate) SELECT s1, candidate, round(CASE WHEN greatest(length(a), length(b)) = 0 THEN 1.0 ELSE 1 - levenshtein(a, b) / greatest(length(a), length(b)) END, 6) AS sim FROM x",
+        "char_tfidf_topk": f"""{k}, d AS (SELECT entity_id AS id, source = 'S1' AS q, name_n AS x FROM keys WHERE source <> 'S1' OR split_part(entity_id, '-', 2)::BIGINT % 20 = 0), g AS (SELECT id, q, unnest({s.char_grams('x', 2, 5)}) AS g FROM d), tf AS (SELECT id, q, g, count(*) AS tf FROM g GROUP BY ALL),
             df AS (SELECT g, ln((1 + (SELECT count(*) FROM d WHERE NOT q)) / (1 + count(*))) + 1 AS idf FROM tf WHERE NOT q GROUP BY g HAVING count(*) >= 2), w AS (SELECT id, q, g, tf * idf AS w FROM tf JOIN df USING (g)), u AS (SELECT id, q, g, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM w),
             s AS (SELECT a.id AS s1, b.id AS candidate, round(sum(a.w * b.w), 6) AS score FROM u a JOIN u b ON a.g = b.g AND a.q AND NOT b.q GROUP BY ALL) SELECT s1, candidate, score, row_number() OVER (PARTITION BY s1 ORDER BY score DESC, candidate DESC) AS rank FROM s WHERE score > 0 QUALIFY rank <= 5""",
         "source_profile": rf"WITH {s.NORMAL} SELECT source, count(*) AS n_rows, count(DISTINCT entity_id) AS n_ids, count(DISTINCT business_name) AS n_names, count(*) FILTER (trim(business_address) = '') AS no_address, count(*) FILTER (trim(business_name) = '') AS no_name, sum(length(business_address) - length(replace(business_address, ',', '')))::BIGINT AS commas, count(*) FILTER (regexp_matches(business_name, '[^\x00-\x7f]')) AS non_ascii, count(*) FILTER (NOT regexp_full_match(entity_id, 'S[123]-[0-9]+')) AS bad_ids FROM base GROUP BY 1",
         "country_pivot": f'WITH {s.NORMAL} SELECT country, count(*) FILTER (source = \'S1\') AS "S1", count(*) FILTER (source = \'S2\') AS "S2", count(*) FILTER (source = \'S3\') AS "S3" FROM base GROUP BY 1',
         "truth_profile": f"{k}, {s.TRUTH}, n AS (SELECT k.entity_id, count(t.s1) AS n FROM keys k LEFT JOIN truth t ON t.s1 = k.entity_id WHERE source = 'S1' GROUP BY 1) SELECT least(n, 4) AS matches, count(*) AS anchors, sum(n)::BIGINT AS links FROM n GROUP BY 1",
-        "name_groups": f"WITH {s.NORMAL} SELECT upper(business_name) AS name, count(*) AS n, count(DISTINCT business_address) AS addresses, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM base WHERE NOT contains(lower(business_name), 'ß') GROUP BY 1 HAVING count(*) > 1 AND NOT contains(name, 'SS')",
-        "submission_lists": f"{p}, {pin} SELECT k.entity_id AS s1, coalesce(string_agg(DISTINCT pred.candidate, ',' ORDER BY pred.candidate), '') AS ids FROM keys k LEFT JOIN pred ON pred.s1 = k.entity_id WHERE k.source = 'S1' GROUP BY 1",
+        "name_groups": f"WITH {s.NORMAL} SELECT upper(replace(business_name, 'ß', 'ss')) AS name, count(*) AS n, count(DISTINCT business_address) AS addresses, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM base GROUP BY 1 HAVING count(*) > 1",
+        "submission_lists": f"{one}, {pin} SELECT k.entity_id AS s1, coalesce(string_agg(DISTINCT pred.candidate, ',' ORDER BY pred.candidate), '') AS ids FROM keys k LEFT JOIN pred ON pred.s1 = k.entity_id WHERE k.source = 'S1' GROUP BY 1",
     }
-    names = rf"{k}, {s.TRUTH}, nm AS (SELECT s1, candidate, regexp_replace(a.business_name, '[^\x00-\x7f]', '?', 'g') AS a, regexp_replace(b.business_name, '[^\x00-\x7f]', '?', 'g') AS b FROM truth JOIN keys a ON a.entity_id = s1 JOIN keys b ON b.entity_id = candidate)"
+    names = rf"{k}, {s.TRUTH}, nm AS (SELECT s1, candidate, a.business_name AS a, b.business_name AS b FROM truth JOIN keys a ON a.entity_id = s1 JOIN keys b ON b.entity_id = candidate)"
     j = f"WITH jj AS ({out['pair_features_set']}), j AS (SELECT *, round((name_jaccard + address_jaccard) / 2, 4) AS score FROM jj)"
-    steps = ["{x}", "lower({x})", "replace({x}, '&', ' and ')", r"regexp_replace({x}, '[^\p{{L}}\p{{N}}\s]', ' ', 'g')", r"trim(regexp_replace({x}, '\s+', ' ', 'g'))", "array_to_string(list_sort(string_split({x}, ' ')), ' ')"]
+    short = " ".join(f"WHEN '{full}' THEN '{abbr}'" for abbr, full in t.LEGAL.items())
+    words = "list_filter(string_split({x}, ' '), lambda z: z <> '')"
+    steps = {"raw": "{x}", "casefold": "lower(replace({x}, 'ß', 'ss'))", "unicode": "nfc_normalize({x})", "ampersand": "replace({x}, '&', ' and ')", "punctuation": r"regexp_replace({x}, '[^\p{{L}}\p{{N}}\s]', ' ', 'g')", "whitespace": r"trim(regexp_replace({x}, '\s+', ' ', 'g'))", "legal_suffix": f"array_to_string(list_transform({words}, lambda z: CASE z {short} ELSE z END), ' ')", "token_sort": f"array_to_string(list_sort({words}), ' ')"}
     x, y, stages = "a", "b", []
-    for label, step in zip(("raw", "casefold", "ampersand", "punctuation", "whitespace", "token_sort"), steps):
+    for label, step in steps.items():
         x, y = step.format(x=x), step.format(x=y)
-        stages.append(f"SELECT '{label}' AS stage, {x} = {y} AS equal, {x} <> '' AND {y} <> '' AND (contains({x}, {y}) OR contains({y}, {x})) AS held FROM nm")
+        stages.append(f"SELECT '{label}' AS stage, {x} <> '' AND {x} = {y} AS equal, {x} <> '' AND {y} <> '' AND (contains({x}, {y}) OR contains({y}, {x})) AS held FROM nm")
     share = lambda z: f"round(avg(CASE WHEN {z} THEN 1.0 ELSE 0.0 END), 6) AS {z}"
     out |= {
         "lookup_keys": f"{k}, w AS (SELECT *, coalesce({s.longest('name_n', f'length(z) >= 3 AND z NOT IN ({s._in(s.NAME_STOP)})', 1)}[1], '') AS lt, coalesce({s.longest('addr_n', f'length(z) >= 4 AND z NOT IN ({s._in(s.ADDRESS_STOP)}) AND NOT {s._DIGITS}', 1)}[1], '') AS at_, coalesce({s.longest('addr_n', s._DIGITS, 1)}[1], '') AS nn FROM keys) SELECT entity_id, substring(replace(name_n, ' ', ''), 1, 6) AS prefix, substring(lt, 1, 10) AS long_token, CASE WHEN nn <> '' AND at_ <> '' THEN nn || ':' || substring(at_, 1, 8) ELSE '' END AS address_key FROM w",
-        "jaro_winkler": f"{names} SELECT s1, candidate, round(jaro_winkler_similarity(a, b), 6) AS sim FROM nm",
+        "jaro_winkler": f"{names} SELECT s1, candidate, round(jaro_winkler_similarity({s.one_byte('a')}, {s.one_byte('b')}), 6) AS sim FROM nm",
         "norm_stages": f"{names}, st AS ({' UNION ALL '.join(stages)}) SELECT stage, {share('equal')}, {share('held')} FROM st GROUP BY 1",
         "truth_parse": f"{k}, {s.TRUTH} SELECT s1, candidate FROM truth",
         "pair_prf": f"{counts} SELECT sum(tp)::BIGINT AS tp, sum(p)::BIGINT AS pred, sum(a)::BIGINT AS actual, count(*) FILTER (a = 0) AS singletons, count(*) FILTER (a = 0 AND p = 0) AS singletons_right FROM n",
-        "topk_eval": f"{pt}, {pin}, r AS (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY candidate) AS rank FROM pred), h AS (SELECT k.k, t.s1, count(*) AS links, count(*) FILTER (r.rank <= k.k) AS hits FROM truth t CROSS JOIN (VALUES (1), (2), (5)) k(k) LEFT JOIN r ON r.s1 = t.s1 AND r.candidate = t.candidate GROUP BY ALL) SELECT k, sum(links)::BIGINT AS links, sum(hits)::BIGINT AS found, round(sum(hits) / sum(links), 6) AS recall, round(count(*) FILTER (hits = links) / count(*), 6) AS full_hit_rate, (sum(links) - sum(hits))::BIGINT AS missed FROM h GROUP BY k",
+        "topk_eval": f"{one_t}, {pin}, r AS (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY candidate) AS rank FROM pred), h AS (SELECT k.k, t.s1, count(*) AS links, count(*) FILTER (r.rank <= k.k) AS hits FROM truth t CROSS JOIN (VALUES (1), (2), (5)) k(k) LEFT JOIN r ON r.s1 = t.s1 AND r.candidate = t.candidate GROUP BY ALL) SELECT k, sum(links)::BIGINT AS links, sum(hits)::BIGINT AS found, round(sum(hits) / sum(links), 6) AS recall, round(count(*) FILTER (hits = links) / count(*), 6) AS full_hit_rate, (sum(links) - sum(hits))::BIGINT AS missed FROM h GROUP BY k",
         "threshold_sweep": f"{j}, kk AS ({k}, {s.TRUTH} SELECT a.entity_id AS s1, t.candidate FROM keys a LEFT JOIN truth t ON t.s1 = a.entity_id WHERE a.source = 'S1'), st AS (SELECT i * 0.05::DOUBLE AS t FROM range(1, 20) r(i)), act AS (SELECT s1, count(candidate) AS a FROM kk GROUP BY 1), pr AS (SELECT j.s1, st.t, count(*) AS p, count(kk.candidate) AS tp FROM j JOIN st ON j.score >= st.t LEFT JOIN kk ON kk.s1 = j.s1 AND kk.candidate = j.candidate GROUP BY ALL), n AS (SELECT act.s1, st.t, act.a, coalesce(p, 0) AS p, coalesce(tp, 0) AS tp FROM act CROSS JOIN st LEFT JOIN pr ON pr.s1 = act.s1 AND pr.t = st.t) SELECT round(t, 2) AS threshold, round(avg(CASE WHEN a = 0 AND p = 0 THEN 1.0 WHEN tp = 0 THEN 0.0 ELSE 1.25 * (tp / p) * (tp / a) / (0.25 * (tp / p) + tp / a) END), 6) AS score FROM n GROUP BY t",
         "union_best": f"{j} SELECT s1, candidate, greatest(name_jaccard, address_jaccard) AS score, CASE WHEN name_jaccard >= address_jaccard THEN 'name' ELSE 'address' END AS method FROM j",
         "score_regions": f"{j} SELECT CASE WHEN name_jaccard >= 0.8 AND address_jaccard >= 0.7 THEN 'both' WHEN name_jaccard >= 0.8 THEN 'name' WHEN address_jaccard >= 0.7 THEN 'address' ELSE 'neither' END AS region, count(*) AS n FROM j GROUP BY 1",
@@ -248,8 +265,10 @@ def oracle_sql() -> dict[str, str]:
         "score_histogram": f"{j} SELECT CAST(floor(score / 1.01 * 25) AS BIGINT) + 1 AS bin, count(*) AS n FROM j GROUP BY 1",
         "country_profile": f"WITH {s.NORMAL} SELECT country, count(*) AS n, count(*) FILTER (business_address = '') AS no_address, sum(length(business_name))::BIGINT AS name_chars, round(avg(CASE WHEN regexp_matches(business_address, '[0-9]{{5}}') THEN 1.0 ELSE 0.0 END), 6) AS five_digits FROM base GROUP BY 1",
         "dup_prefix": "WITH r AS (SELECT doc_id % 151 AS id, doc_id AS pos, row_number() OVER (PARTITION BY doc_id % 151 ORDER BY doc_id) AS n FROM documents) SELECT id, pos FROM r WHERE pos < coalesce((SELECT min(pos) FROM r WHERE n > 1), 9223372036854775807)",
-        "submission_validate": f"{pt}, {pin} SELECT 'duplicate_ids' AS rule, 0::BIGINT AS violations UNION ALL SELECT 'match_not_candidate', count(*) FROM truth ANTI JOIN pred USING (s1, candidate) UNION ALL SELECT 'unknown_id', count(*) FROM pred WHERE candidate NOT IN (SELECT entity_id FROM keys) UNION ALL SELECT 'unknown_anchor', count(*) FROM pred WHERE s1 NOT IN (SELECT entity_id FROM keys)",
+        "submission_validate": f"{one_t}, {pin} SELECT 'duplicate_ids' AS rule, 0::BIGINT AS violations UNION ALL SELECT 'match_not_candidate', count(*) FROM truth ANTI JOIN pred USING (s1, candidate) UNION ALL SELECT 'unknown_id', count(*) FROM pred WHERE candidate NOT IN (SELECT entity_id FROM keys) UNION ALL SELECT 'unknown_anchor', count(*) FROM pred WHERE s1 NOT IN (SELECT entity_id FROM keys) UNION ALL SELECT 'anchor_without_row', count(*) FROM keys WHERE source = 'S1' AND entity_id NOT IN (SELECT s1 FROM truth) UNION ALL SELECT 'wrong_source', 0",
     }
     for route in b.ROUTES:
-        out[f"route_{route}"] = f"{p} SELECT s1, candidate FROM pairs WHERE route = '{route}'"
-    return out
+        out[f"route_{route}"] = f"WITH {s.pairs(PER_KEY, (route,))} SELECT s1, candidate FROM pairs WHERE route = '{route}'"
+    from . import reports
+
+    return out | reports.oracle_sql(out["pair_features_set"])

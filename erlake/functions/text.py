@@ -6,7 +6,7 @@ import functools
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Alias maps and word lists that results depend on.
@@ -18,9 +18,17 @@ ADDRESS_STOP = "road rd street st avenue ave lane ln drive dr near opposite behi
 STATES = "AL AK AZ AR CA CO CT DE FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS MO MT NE NV NH NJ NM NY NC ND OH OK OR PA RI SC SD TN TX UT VT VA WA WV WI WY DC".split()
 
 
+_FOLDS = {
+    "fold first": lambda v: unicodedata.normalize("NFKC", v.casefold()),
+    "nfkc first": lambda v: unicodedata.normalize("NFKC", v).casefold(),
+    "casefold": str.casefold,
+    "nfkc": lambda v: unicodedata.normalize("NFKC", v),
+}
+
+
 @functools.cache
-def _udf(fold_first: bool):
-    one = (lambda v: unicodedata.normalize("NFKC", v.casefold())) if fold_first else (lambda v: unicodedata.normalize("NFKC", v).casefold())
+def _udf(kind: str):
+    one = _FOLDS[kind]
 
     def fold(x: pd.Series) -> pd.Series:
         return x.map(lambda v: None if v is None else one(v))
@@ -29,14 +37,15 @@ def _udf(fold_first: bool):
     return F.pandas_udf(fold, "string").asNondeterministic()
 
 
-def folded(x: Column, fold_first: bool = True) -> Column:
-    """Case folding and NFKC, in either order. JVM-side for ASCII rows; Python gets only the other rows' text.
+def folded(x: Column, fold_first: bool = True, kind: str = "") -> Column:
+    """Case folding and NFKC, in either order, or one of them (``kind``). JVM-side for ASCII rows; Python gets only the other rows' text.
 
     Select it as a column of its own before ``normalize`` and the like use it.
     """
+    kind = kind or ("fold first" if fold_first else "nfkc first")
     x = F.coalesce(x, F.lit(""))
     ascii_ = ~x.rlike(r"[^\x00-\x7f]")
-    return F.when(ascii_, F.lower(x)).otherwise(_udf(fold_first)(F.when(~ascii_, x)))
+    return F.when(ascii_, x if kind == "nfkc" else F.lower(x)).otherwise(_udf(kind)(F.when(~ascii_, x)))
 
 
 def _map(words: dict[str, str]) -> Column:
@@ -54,6 +63,10 @@ def normalize(x: Column, name: bool = False) -> Column:
     return F.array_join(F.transform(t, lambda w: F.coalesce(aliases[w], w)), " ")
 
 
+#: Names of the experiment normaliser's steps (fixed values).
+OPTIONS = ("casefold", "unicode_nfkc", "punctuation_to_space", "collapse_whitespace")
+
+
 def normalize_experiment(x: Column, punctuation: bool = True, whitespace: bool = True) -> Column:
     """Of a text folded after NFKC (``folded(x, False)``, or raw to leave that out); no ``&`` rule, no aliases."""
     if punctuation:
@@ -61,6 +74,17 @@ def normalize_experiment(x: Column, punctuation: bool = True, whitespace: bool =
     return F.trim(F.regexp_replace(x, r"\s+", " ")) if whitespace else x
 
 
+def experiment(df: DataFrame, column: str, out: str, **options: bool) -> DataFrame:
+    """``df`` with ``column`` normalised as ``out``; any of ``OPTIONS`` may be turned off, other names are an error."""
+    if unknown := sorted(set(options) - set(OPTIONS)):
+        raise ValueError(f"unknown normalisation options: {unknown}")
+    on = dict.fromkeys(OPTIONS, True) | options
+    x = F.coalesce(F.col(column), F.lit(""))
+    kind = ("casefold",) * on["casefold"] + ("nfkc",) * on["unicode_nfkc"]
+    first = {(): x, ("casefold",): folded(x, kind="casefold"), ("nfkc",): folded(x, kind="nfkc")}.get(kind, folded(x, False))
+    return df.withColumn("_folded", first).withColumn(out, normalize_experiment(F.col("_folded"), on["punctuation_to_space"], on["collapse_whitespace"])).drop("_folded")
+
+
 def tokens(x: Column) -> Column:
     return F.array_distinct(F.filter(F.split(x, " "), lambda t: t != ""))
 
@@ -151,6 +175,11 @@ def hash_sample(x: Column, divisor: int) -> Column:
     return F.crc32(x.cast("binary")) % divisor == 0
 
 
+def hash_sample_64(x: Column, divisor: int) -> Column:
+    """The same by a 64-bit hash, for divisors beyond what 32 bits spread well."""
+    return F.pmod(F.xxhash64(x), F.lit(divisor).cast("long")) == 0
+
+
 def fold(x: Column) -> Column:
     k = F.crc32(F.concat(x, F.lit("fold")).cast("binary")) % 10
     return F.when(k == 0, "calibration").when(k == 1, "validation").otherwise("train")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import text as t
+
 
 def score_region(name: Column, address: Column) -> Column:
     return F.when((name >= 0.8) & (address >= 0.7), "both").when(name >= 0.8, "name").when(address >= 0.7, "address").otherwise("neither")
@@ -25,8 +27,8 @@ def before_first_repeat(rows: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(cut)).where("cut IS NULL OR pos < cut").select("id", "pos")
 
 
-def validate(anchors: DataFrame, matches: DataFrame, candidates: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(rule, violations) of result lists in long form (s1, candidate)."""
+def validate(anchors: DataFrame, matches: DataFrame, candidates: DataFrame, corpus: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """(rule, violations) of result lists in long form (s1, candidate); ``rows``: the anchors (s1) that the lists have rows of."""
     rule = lambda name, df: df.agg(F.lit(name).alias("rule"), F.count("*").alias("violations"))
     known = corpus.select(F.col("entity_id").alias("candidate")).distinct()
     return (
@@ -34,18 +36,38 @@ def validate(anchors: DataFrame, matches: DataFrame, candidates: DataFrame, corp
         .union(rule("match_not_candidate", matches.join(candidates, ["s1", "candidate"], "left_anti")))
         .union(rule("unknown_id", candidates.join(known, "candidate", "left_anti")))
         .union(rule("unknown_anchor", candidates.join(anchors, "s1", "left_anti")))
+        .union(rule("anchor_without_row", anchors.join(rows if rows is not None else anchors, "s1", "left_anti")))
+        .union(rule("wrong_source", candidates.where(~F.col("candidate").rlike("^S[23]-"))))
     )
 
 
-def normalisation_stages(pairs: DataFrame) -> DataFrame:
-    """Share of pairs (a, b) that are equal, or of which one holds the other, after each normalisation step."""
-    steps = [("raw", lambda x: x), ("casefold", F.lower), ("ampersand", lambda x: F.replace(x, F.lit("&"), F.lit(" and "))), ("punctuation", lambda x: F.regexp_replace(x, r"[^\p{L}\p{N}\s]", " ")), ("whitespace", lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), ("token_sort", lambda x: F.array_join(F.array_sort(F.split(x, " ")), " "))]
-    a, b, out = F.col("a"), F.col("b"), []
-    for name, f in steps:
-        a, b = f(a), f(b)
-        out.append(F.struct(F.lit(name).alias("stage"), (a == b).alias("equal"), ((a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a))).alias("held")))
+STAGES = ("raw", "casefold", "unicode", "ampersand", "punctuation", "whitespace", "legal_suffix", "token_sort")
+
+
+def normalisation_stages(pairs: DataFrame, address: bool = False) -> DataFrame:
+    """Share of pairs (a, b) that are equal, or of which one holds the other, after each step; addresses stop at ``whitespace``."""
+    df = pairs.select("a", "b")
+    for x in ("a", "b"):
+        df = df.withColumn(f"{x}_casefold", t.folded(F.col(x), kind="casefold"))
+        df = df.withColumn(f"{x}_unicode", t.folded(F.col(f"{x}_casefold"), kind="nfkc"))
+    short = F.create_map(*[F.lit(y) for k, v in t.LEGAL.items() for y in (v, k)])
+    words = lambda x: F.filter(F.split(x, " "), lambda w: w != "")
+    steps = {
+        "ampersand": lambda x: F.replace(x, F.lit("&"), F.lit(" and ")),
+        "punctuation": lambda x: F.regexp_replace(x, r"[^\p{L}\p{N}\s]", " "),
+        "whitespace": lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")),
+        "legal_suffix": lambda x: F.array_join(F.transform(words(x), lambda w: F.coalesce(short[w], w)), " "),
+        "token_sort": lambda x: F.array_join(F.array_sort(words(x)), " "),
+    }
+    out = []
+    now = {x: F.coalesce(F.col(x), F.lit("")) for x in ("a", "b")}
+    for name in STAGES[: STAGES.index("whitespace") + 1] if address else STAGES:
+        now = {x: F.col(f"{x}_{name}") if name in ("casefold", "unicode") else steps[name](y) if name in steps else y for x, y in now.items()}
+        a, b = now["a"], now["b"]
+        some = (a != "") & (b != "")
+        out.append(F.struct(F.lit(name).alias("stage"), (some & (a == b)).alias("equal"), (some & (F.contains(a, b) | F.contains(b, a))).alias("held")))
     share = lambda x: F.round(F.avg(F.col(f"s.{x}").cast("double")), 6).alias(x)
-    return pairs.select(F.explode(F.array(*out)).alias("s")).groupBy("s.stage").agg(share("equal"), share("held"))
+    return df.select(F.explode(F.array(*out)).alias("s")).groupBy("s.stage").agg(share("equal"), share("held"))
 
 
 def describe(df: DataFrame, column: str) -> DataFrame:

@@ -6,7 +6,7 @@ contributes at most ``per_key`` rows a source, which bounds the join's output an
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -32,31 +32,47 @@ def _first(x: str) -> Column:
     return F.coalesce(F.try_element_at(F.col(x), F.lit(1)), F.lit(""))
 
 
-def block_keys(keyed: DataFrame, anchors: bool) -> DataFrame:
-    """(entity_id, source, route, slot, key), long form; a key with an empty part forms no block.
+def block_keys(keyed: DataFrame, anchors: bool, routes: tuple[str, ...] = ROUTES) -> DataFrame:
+    """(entity_id, source, route, slot, key) of the given routes, long form; a key with an empty part forms no block.
 
     Routes that work without a country have a second slot for it (``*``) on the corpus side; an anchor without country
     uses only that.
     """
     c = F.col("country_key")
-    one = lambda route, slot, parts: F.struct(F.lit(route).alias("route"), F.lit(slot).alias("slot"), F.when(F.forall(F.array(*parts), lambda x: x != ""), F.concat_ws("\u0001", *parts)).alias("key"))
     name, addr = _first("name_tokens"), _first("address_tokens")
-    fixed = [one("country_state_pin", "", [c, F.col("state"), F.col("postal")]), one("country_state_name", "", [c, F.col("state"), name]), one("country_pin_name", "", [c, F.col("postal"), name]), one("country_city_name", "", [c, F.col("city"), name])]
+
+    def one(route: str, slot: str, parts: list[Column]) -> Column:
+        key = F.when(F.forall(F.array(*parts), lambda x: x != ""), F.concat_ws("\u0001", *parts))
+        return F.struct(F.lit(route).alias("route"), F.lit(slot).alias("slot"), key.alias("key"))
 
     def loose(route: str, slot: str, value: Column) -> list[Column]:
         bare = one(route, slot + "*", [value])
         return [one(route, slot, [c, value]), F.when(c == "", bare) if anchors else bare]
 
-    fixed += loose("country_rare_name", "", name) + loose("country_address_token", "", addr)
-    at = lambda x, i: F.coalesce(F.try_element_at(F.col(x), F.lit(i)), F.lit(""))
-    for slot in ("number1", "number2"):
-        for i in (1, 2) if anchors else ((1,) if slot == "number1" else (2,)):
-            fixed += loose("country_numeric", slot, at("numbers", i))
-    for i in (1, 2, 3):
-        fixed += loose("approximate_name", f"gram{i}", at("name_grams", i)) + loose("approximate_address", f"gram{i}", at("address_grams", i))
+    def at(x: str, i: int) -> Column:
+        return F.coalesce(F.try_element_at(F.col(x), F.lit(i)), F.lit(""))
+
+    numbers = [("number1", (1, 2) if anchors else (1,)), ("number2", (1, 2) if anchors else (2,))]
+    grams = lambda route, x: [k for i in (1, 2, 3) for k in loose(route, f"gram{i}", at(x, i))]
+    fixed = {
+        "country_state_pin": [one("country_state_pin", "", [c, F.col("state"), F.col("postal")])],
+        "country_state_name": [one("country_state_name", "", [c, F.col("state"), name])],
+        "country_pin_name": [one("country_pin_name", "", [c, F.col("postal"), name])],
+        "country_city_name": [one("country_city_name", "", [c, F.col("city"), name])],
+        "country_rare_name": loose("country_rare_name", "", name),
+        "country_address_token": loose("country_address_token", "", addr),
+        "country_numeric": [k for slot, places in numbers for i in places for k in loose("country_numeric", slot, at("numbers", i))],
+        "approximate_name": grams("approximate_name", "name_grams"),
+        "approximate_address": grams("approximate_address", "address_grams"),
+    }
+    tokens = {"country_multi_name_token": "name_tokens", "country_multi_address_token": "address_tokens"}
     of_tokens = lambda route: lambda v: one(route, "", [c, v])
-    lists = [F.transform(F.col(x), of_tokens(route)) for x, route in (("name_tokens", "country_multi_name_token"), ("address_tokens", "country_multi_address_token"))]
-    return keyed.select("entity_id", "source", F.explode(F.concat(F.array(*fixed), *lists)).alias("b")).where("b.key IS NOT NULL").select("entity_id", "source", "b.*")
+    lists = [F.transform(F.col(tokens[r]), of_tokens(r)) for r in routes if r in tokens]
+    keys = [k for r in routes if r in fixed for k in fixed[r]]
+    if keys:
+        lists.insert(0, F.array(*keys))
+    found = keyed.select("entity_id", "source", F.explode(F.concat(*lists)).alias("b"))
+    return found.where("b.key IS NOT NULL").select("entity_id", "source", "b.*")
 
 
 def capped(keys: DataFrame, per_key: int) -> DataFrame:
@@ -69,10 +85,14 @@ def route_pairs(keyed: DataFrame, per_key: int = 30, routes: tuple[str, ...] = R
     """(s1, candidate, route), distinct; the approximate routes only for anchors with under ``trigger`` core candidates."""
     if unknown := set(routes) - set(ROUTES):
         raise ValueError(f"unknown routes: {sorted(unknown)}")
-    wanted = tuple(set(routes) | set(CORE))
-    anchors = block_keys(keyed.where("source = 'S1'"), True).where(F.col("route").isin(*wanted)).select(F.col("entity_id").alias("s1"), "route", "slot", "key")
-    corpus = capped(block_keys(keyed.where("source <> 'S1'"), False).where(F.col("route").isin(*wanted)), per_key).select(F.col("entity_id").alias("candidate"), "route", "slot", "key")
+    # the approximate routes depend on how many candidates the core routes find; the others stand alone
+    triggered = any(r.startswith("approximate") for r in routes)
+    wanted = tuple(r for r in ROUTES if r in routes or triggered and r in CORE)
+    anchors = block_keys(keyed.where("source = 'S1'"), True, wanted).select(F.col("entity_id").alias("s1"), "route", "slot", "key")
+    corpus = capped(block_keys(keyed.where("source <> 'S1'"), False, wanted), per_key).select(F.col("entity_id").alias("candidate"), "route", "slot", "key")
     pairs = anchors.join(corpus, ["route", "slot", "key"]).select("s1", "candidate", "route").distinct()
+    if not triggered:
+        return pairs
     approximate = F.col("route").startswith("approximate")
     enough = pairs.where(F.col("route").isin(*CORE)).groupBy("s1").agg(F.count_distinct("candidate").alias("n")).where(F.col("n") >= trigger).select("s1")
     return pairs.where(~approximate).union(pairs.where(approximate).join(enough, "s1", "left_anti")).where(F.col("route").isin(*routes))
@@ -99,15 +119,27 @@ def ranked(both: DataFrame) -> DataFrame:
     return both.withColumns({"score": 0.58 * F.col("_name") + 0.27 * F.col("_addr") + agree("postal", 18) + agree("state", 8) + agree("city", 5), "second": F.col("_name") + F.col("_addr")}).drop("_name", "_addr")
 
 
-def quota_cap(scored: DataFrame, limit: int) -> DataFrame:
-    """At most ``limit`` candidates an anchor: half of it for each source first, the rest by rank; small unions stay whole."""
-    if limit < 1:
-        raise ValueError("the limit must be positive")
+def quota_caps(scored: DataFrame, limits: list[int]) -> DataFrame:
+    """For each of ``limits`` at most that many candidates an anchor, in the column ``cap``: half of it for each source first, the
+    rest by rank; small unions stay whole. All limits share two sorts."""
+    if not limits or min(limits) < 1:
+        raise ValueError("limits must be positive")
     order = [F.desc("score"), F.desc("second"), F.asc("candidate")]
     source = F.split_part("candidate", F.lit("-"), F.lit(1))
-    df = scored.withColumn("_in", F.row_number().over(W.partitionBy("s1", source).orderBy(*order)) <= limit // 2)
-    df = df.withColumns({"_n": F.row_number().over(W.partitionBy("s1").orderBy(F.desc("_in"), *order)), "_all": F.count("*").over(W.partitionBy("s1"))})
-    return df.where((F.col("_all") <= limit) | (F.col("_n") <= limit)).drop("_in", "_n", "_all")
+    anchor, own = W.partitionBy("s1"), W.partitionBy("s1", source)
+    df = scored.withColumns({"_rank": F.row_number().over(own.orderBy(*order)), "_place": F.row_number().over(anchor.orderBy(*order)), "_all": F.count("*").over(anchor)})
+    df = df.withColumn("cap", F.explode(F.array(*[F.lit(x) for x in sorted(set(limits))])))
+    # those over their source's quota fill what the quotas leave, by rank
+    df = df.withColumn("_in", F.col("_rank") <= F.floor(F.col("cap") / 2))
+    by_cap = W.partitionBy("s1", "cap")
+    df = df.withColumns({"_fixed": F.count_if("_in").over(by_cap), "_late": F.row_number().over(W.partitionBy("s1", "cap", "_in").orderBy("_place"))})
+    keep = (F.col("_all") <= F.col("cap")) | F.col("_in") | (F.col("_late") <= F.col("cap") - F.col("_fixed"))
+    return df.where(keep).drop("_rank", "_place", "_all", "_in", "_fixed", "_late")
+
+
+def quota_cap(scored: DataFrame, limit: int) -> DataFrame:
+    """``quota_caps`` for one limit."""
+    return quota_caps(scored, [limit]).drop("cap")
 
 
 def hard_negatives(scored: DataFrame, truth: DataFrame, per_source: int = 6) -> DataFrame:
@@ -142,6 +174,8 @@ def features(both: DataFrame) -> DataFrame:
 
 def union_best(frames: list[DataFrame]) -> DataFrame:
     """Several blockers' candidates, the best score of each pair; ties go to the last method by name."""
+    if not frames:
+        return SparkSession.active().createDataFrame([], "s1 string, candidate string, score double, method string")
     df = frames[0]
     for x in frames[1:]:
         df = df.unionByName(x)

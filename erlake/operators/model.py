@@ -34,6 +34,14 @@ def score(model: PipelineModel, features: DataFrame) -> DataFrame:
     return model.transform(features).select("s1", "candidate", vector_to_array("probability")[1].alias("p"))
 
 
+def save(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def best_threshold(anchors: DataFrame, truth: DataFrame, scored: DataFrame) -> float:
     """The threshold with the largest macro F0.5 on the calibration fold; ties to the larger."""
     own = lambda df: df.where(t.fold(F.col("s1")) == "calibration")

@@ -13,21 +13,50 @@ def char_grams(x: Column, low: int, high: int) -> Column:
     return F.concat(*[of(k) for k in range(low, high + 1)])
 
 
-def top_k(queries: DataFrame, corpus: DataFrame, k: int, low: int = 3, high: int = 3, min_df: int = 2) -> DataFrame:
+def word_grams(x: Column, low: int, high: int) -> Column:
+    """Runs of ``low`` to ``high`` words, of two letters or digits at least, joined by a blank."""
+    words = F.filter(F.split(F.regexp_replace(x, r"[^\p{L}\p{N}_]+", " "), " "), lambda w: F.length(w) >= 2)
+    n = F.size(words)
+
+    def of(k: int) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, F.lit(k)), " "))
+        return F.when(n >= k, runs).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(*[of(k) for k in range(low, high + 1)])
+
+
+def vectors(texts: DataFrame, fitted_on: DataFrame, words: bool = False, low: int = 3, high: int = 5, min_df: int = 2, most: int | None = None, sublinear: bool = False) -> DataFrame:
+    """(id, g, w): TF-IDF weights of ``texts`` (id, text), of length 1; document frequencies and N are those of ``fitted_on``.
+
+    ``most``: keep the grams that occur most often (ties by gram); ``sublinear``: weigh 1 + ln(tf).
+    """
+    of = word_grams if words else char_grams
+    grams = lambda df: df.select("id", F.explode(of(F.col("text"), low, high)).alias("g")).groupBy("id", "g").agg(F.count("*").alias("tf"))
+    n = F.broadcast(fitted_on.agg(F.count("*").alias("n")))
+    df = grams(fitted_on).groupBy("g").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= min_df)
+    if most is not None:
+        df = df.orderBy(F.desc("total"), "g").limit(most)
+    idf = df.join(n).select("g", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    tf = 1 + F.log("tf") if sublinear else F.col("tf")
+    w = grams(texts).join(idf, "g").select("id", "g", (tf * F.col("idf")).alias("w"))
+    return w.join(w.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")), "id").select("id", "g", (F.col("w") / F.col("norm")).alias("w"))
+
+
+def row_cosines(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """(s1, candidate, cosine) of given pairs, by their vectors (id, g, w); 0 where they share no gram."""
+    a, b = left.select(F.col("id").alias("s1"), "g", F.col("w").alias("wa")), right.select(F.col("id").alias("candidate"), "g", F.col("w").alias("wb"))
+    dots = pairs.join(a, "s1").join(b, ["candidate", "g"]).groupBy("s1", "candidate").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
+    return pairs.join(dots, ["s1", "candidate"], "left").na.fill(0.0, ["cosine"])
+
+
+def top_k(queries: DataFrame, corpus: DataFrame, k: int, low: int = 2, high: int = 5, min_df: int = 2) -> DataFrame:
     """(s1, candidate, score, rank) of ``queries`` and ``corpus`` (id, text); grams below ``min_df`` have no weight.
 
     Document frequencies and N are the corpus's. Grams without weight leave before the join, partial sums are combined
     on the map side, and the rank filter lets Spark trim each partition's groups before the shuffle.
     """
-    grams = lambda df: df.select("id", F.explode(char_grams(F.col("text"), low, high)).alias("g")).groupBy("id", "g").agg(F.count("*").alias("tf"))
-    c, q = grams(corpus), grams(queries)
-    n = F.broadcast(corpus.agg(F.count("*").alias("n")))
-    df = c.groupBy("g").agg(F.count("*").alias("df")).where(F.col("df") >= min_df).join(n).select("g", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-
-    def unit(x: DataFrame) -> DataFrame:
-        w = x.join(df, "g").select("id", "g", (F.col("tf") * F.col("idf")).alias("w"))
-        return w.join(w.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")), "id").select("id", "g", (F.col("w") / F.col("norm")).alias("w"))
-
-    dots = unit(q).select(F.col("id").alias("s1"), "g", F.col("w").alias("wq")).join(unit(c).select(F.col("id").alias("candidate"), "g", "w"), "g").groupBy("s1", "candidate").agg(F.round(F.sum(F.col("w") * F.col("wq")), 6).alias("score"))
+    q, c = (vectors(x, corpus, False, low, high, min_df) for x in (queries, corpus))
+    dots = q.select(F.col("id").alias("s1"), "g", F.col("w").alias("wq")).join(c.select(F.col("id").alias("candidate"), "g", "w"), "g")
+    dots = dots.groupBy("s1", "candidate").agg(F.round(F.sum(F.col("w") * F.col("wq")), 6).alias("score"))
     rank = F.row_number().over(W.partitionBy("s1").orderBy(F.desc("score"), F.desc("candidate")))
     return dots.where("score > 0").withColumn("rank", rank).where(F.col("rank") <= k)

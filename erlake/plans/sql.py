@@ -50,26 +50,40 @@ keys AS (SELECT entity_id, source, business_name, business_address, country, nam
 _NAME, _ADDR = "coalesce(name_tokens[1], '')", "coalesce(address_tokens[1], '')"
 
 
-def _blocks(source: str, anchors: bool) -> str:
+def _blocks(source: str, anchors: bool, routes: tuple[str, ...]) -> str:
     """SELECTs of (entity_id, source, route, slot, key) for one side; every demonstration record has a country."""
     rows = [("country_state_pin", "", ["state", "postal"]), ("country_state_name", "", ["state", _NAME]), ("country_pin_name", "", ["postal", _NAME]), ("country_city_name", "", ["city", _NAME]), ("country_rare_name", "", [_NAME]), ("country_address_token", "", [_ADDR])]
     for slot in ("number1", "number2"):
         rows += [("country_numeric", slot, [f"coalesce(numbers[{i}], '')"]) for i in ((1, 2) if anchors else ((1,) if slot == "number1" else (2,)))]
     for i in (1, 2, 3):
         rows += [("approximate_name", f"gram{i}", [f"coalesce(name_grams[{i}], '')"]), ("approximate_address", f"gram{i}", [f"coalesce(address_grams[{i}], '')"])]
-    one = [f"SELECT entity_id, source, '{r}' AS route, '{s}' AS slot, concat_ws('|', country_key, {', '.join(p)}) AS key FROM keys WHERE {source} AND country_key <> '' AND {' AND '.join(f'{x} <> {chr(39)}{chr(39)}' for x in p)}" for r, s, p in rows]
-    many = [f"SELECT entity_id, source, '{r}', '', concat_ws('|', country_key, unnest({x})) FROM keys WHERE {source} AND country_key <> ''" for r, x in (("country_multi_name_token", "name_tokens"), ("country_multi_address_token", "address_tokens"))]
+    one = [f"SELECT entity_id, source, '{r}' AS route, '{s}' AS slot, concat_ws('|', country_key, {', '.join(p)}) AS key FROM keys WHERE {source} AND country_key <> '' AND {' AND '.join(f'{x} <> {chr(39)}{chr(39)}' for x in p)}" for r, s, p in rows if r in routes]
+    many = [f"SELECT entity_id, source, '{r}' AS route, '' AS slot, concat_ws('|', country_key, unnest({x})) AS key FROM keys WHERE {source} AND country_key <> ''" for r, x in (("country_multi_name_token", "name_tokens"), ("country_multi_address_token", "address_tokens")) if r in routes]
     return " UNION ALL ".join(one + many)
 
 
-CORE = "'country_state_pin', 'country_state_name', 'country_pin_name', 'country_city_name', 'country_rare_name', 'country_multi_name_token'"
+CORE = ("country_state_pin", "country_state_name", "country_pin_name", "country_city_name", "country_rare_name", "country_multi_name_token")
 
 
-def pairs(per_key: int) -> str:
-    return f"""{KEYS}, ak AS ({_blocks("source = 'S1'", True)}), ck AS (SELECT * FROM ({_blocks("source <> 'S1'", False)}) QUALIFY row_number() OVER (PARTITION BY route, slot, key, source ORDER BY entity_id) <= {per_key}),
-raw AS (SELECT DISTINCT a.entity_id AS s1, c.entity_id AS candidate, a.route FROM ak a JOIN ck c ON a.route = c.route AND a.slot = c.slot AND a.key = c.key),
-enough AS (SELECT s1 FROM raw WHERE route IN ({CORE}) GROUP BY s1 HAVING count(DISTINCT candidate) >= 20),
-pairs AS (SELECT * FROM raw WHERE route NOT LIKE 'approximate%' OR s1 NOT IN (SELECT s1 FROM enough))"""
+def pairs(per_key: int, routes: tuple[str, ...]) -> str:
+    """``pairs`` (s1, candidate, route) of the routes, and of the core routes where an approximate one needs them."""
+    wanted = (*routes, *(CORE if any(r.startswith("approximate") for r in routes) else ()))
+    keys = KEYS.replace("keys AS (SELECT", "keys AS MATERIALIZED (SELECT")
+    return f"""{keys}, ak AS MATERIALIZED ({_blocks("source = 'S1'", True, wanted)}), ck AS MATERIALIZED (SELECT * FROM ({_blocks("source <> 'S1'", False, wanted)}) QUALIFY row_number() OVER (PARTITION BY route, slot, key, source ORDER BY entity_id) <= {per_key}),
+raw AS MATERIALIZED (SELECT DISTINCT a.entity_id AS s1, c.entity_id AS candidate, a.route FROM ak a JOIN ck c ON a.route = c.route AND a.slot = c.slot AND a.key = c.key),
+enough AS (SELECT s1 FROM raw WHERE route IN ({_in(list(CORE))}) GROUP BY s1 HAVING count(DISTINCT candidate) >= 20),
+pairs AS MATERIALIZED (SELECT * FROM raw WHERE route NOT LIKE 'approximate%' OR s1 NOT IN (SELECT s1 FROM enough))"""
+
+
+def char_grams(x: str, low: int, high: int) -> str:
+    return "list_concat(" + ", ".join(f"list_transform(range(1, greatest(length({x}) - {n} + 2, 1)), lambda i: substring({x}, i, {n}))" for n in range(low, high + 1)) + ")"
+
+
+def one_byte(x: str) -> str:
+    """DuckDB measures edit distances in bytes, so each letter beyond ASCII is mapped to a byte that the texts don't hold."""
+    letters = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöüàâîôùûëïœáúÀÂÎÔÙÛËÁÚ"
+    free = [chr(i) for i in (*range(1, 9), *range(14, 32), 127)] + list("^~`{}[]<>?;:_\\")
+    return f"translate({x}, '{letters}', '{''.join(free[: len(letters)])}')"
 
 
 TRUTH = "truth AS (SELECT a.entity_id AS s1, b.entity_id AS candidate FROM keys a JOIN keys b ON a.source = 'S1' AND b.source <> 'S1' AND split_part(a.entity_id, '-', 2) = split_part(b.entity_id, '-', 2))"

@@ -15,6 +15,12 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return df.na.fill("")
 
 
+def head(spark: SparkSession, path: str, n: int = 3) -> tuple[list[str], DataFrame]:
+    """A TSV's column names and its first n rows, as strings; reads one partition at most."""
+    df = spark.read.option("sep", "\t").option("header", True).csv(path)
+    return df.columns, df.limit(n)
+
+
 def read_truth(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("sep", "\t").option("header", True).option("enforceSchema", False).schema(TRUTH).csv(path).na.fill("")
 
