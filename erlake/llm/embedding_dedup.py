@@ -1,13 +1,15 @@
 """Embedding near-dedup over an inverted multi-index: product codebooks on the vectors' halves, multi-sequence traversal.
 
-Vectors are scaled to length 1, so a cosine of t is a squared distance of ``2 - 2t``. ``fit`` learns a codebook of ``CENTRES``
-for each half from at most ``SAMPLE`` vectors (those with the smallest hash of their id); every vector is indexed in the
-cell of the product grid its halves fall in. A query visits cells by rising lower bound of the distance to any vector
+Vectors are scaled to length 1, so a cosine of t is a squared distance of ``2 - 2t``. Each half has a codebook whose size grows with the
+square root of the number of vectors (``centres``), so that the cells of the product grid grow with the vectors; it is learnt from
+``PER_CENTRE`` vectors a centre, ``SAMPLE`` at most (those with the smallest hash of their id). Every vector is indexed in the
+cell of the grid its halves fall in. A query visits cells by rising lower bound of the distance to any vector
 there (two sorted lists and a heap); it ends when the bound passes the threshold's distance. That bound holds for all
 members of a cell, so the target recall is 1: no link is lost, whatever the codebooks are like.
 
-Exact copies are one node with a count. A cell's members and visitors are cut into parts of ``PART``, and each pair of
-parts is one matrix product; it returns a number of links per node and a spanning forest, never pairs.
+Exact copies are one node with a count. The cells of one first half are a row of the grid; a vector travels once to each row that
+it visits, with the set of cells that it visits there. A row's members and visitors are cut into parts of ``PART``; a pair of
+parts is compared cell by cell, and returns a number of links per node and a spanning forest, never pairs.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, null labels and null
 ids link with nothing; vectors of different sizes don't link; rows that share an id count as separate vectors;
@@ -26,10 +28,15 @@ from pyspark.sql import functions as F
 
 from . import common as c
 
-CENTRES, SAMPLE, PART = 16, 4096, 1024
+LEAST, PER_CENTRE, SAMPLE, PART = 16, 64, 65_536, 1024
 
 
-def codebook(x: np.ndarray, k: int = CENTRES, rounds: int = 12) -> np.ndarray:
+def centres(n: int) -> int:
+    """Centres of a half for n vectors: about 64 vectors a cell, and 16 to 1,024 centres, as the sample allows."""
+    return int(min(max(LEAST, np.sqrt(n) / 8), SAMPLE // PER_CENTRE))
+
+
+def codebook(x: np.ndarray, k: int = LEAST, rounds: int = 12) -> np.ndarray:
     """k-means centres; the first are spread by the farthest-point rule."""
     if not len(x):
         return np.zeros((1, x.shape[1]))
@@ -86,6 +93,16 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
 
 
 def _places(near: DataFrame, books, limit: float) -> DataFrame:
+    """Each vector with its home (row, cell in it), and the rows that it visits with a bit for each cell there."""
+
+    def visits(a: np.ndarray, b: np.ndarray) -> list[tuple[int, bytes]]:
+        rows: dict[int, np.ndarray] = {}
+        for i, j in multi_sequence(a, b, limit):
+            if i not in rows:
+                rows[i] = np.zeros(len(b), bool)
+            rows[i][j] = True
+        return [(i, np.packbits(x).tobytes()) for i, x in rows.items()]
+
     def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for size, part in f.groupby("size"):
@@ -93,18 +110,26 @@ def _places(near: DataFrame, books, limit: float) -> DataFrame:
                 x = unit(part["vector"])
                 ha, ba = bounds(x[:, : size // 2], one)
                 hb, bb = bounds(x[:, size // 2 :], two)
-                visits = [[i * len(two) + j for i, j in multi_sequence(a, b, limit)] for a, b in zip(ba, bb)]
-                yield pd.DataFrame({"node": part["node"].to_numpy(), "label": part["label"].to_numpy(), "size": size, "n": part["n"].to_numpy(), "vector": [v.tobytes() for v in x], "home": ha * len(two) + hb, "visits": visits})
+                seen = [visits(a, b) for a, b in zip(ba, bb)]
+                yield pd.DataFrame({"node": part["node"].to_numpy(), "label": part["label"].to_numpy(), "size": size, "n": part["n"].to_numpy(), "vector": [v.tobytes() for v in x], "home": ha, "cell": hb, "rows": [[i for i, _ in y] for y in seen], "masks": [[m for _, m in y] for y in seen]})
 
-    return near.mapInPandas(emit, "node long, label string, size int, n long, vector binary, home int, visits array<int>")
+    return near.mapInPandas(emit, "node long, label string, size int, n long, vector binary, home int, cell int, rows array<int>, masks array<binary>")
 
 
 def _solve(key: tuple, left: pd.DataFrame, right: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """One part of a cell's visitors against one part of its members: links per visitor, and each touched node's smallest in this block."""
+    """One part of a row's visitors against one part of its members: links per visitor, and each touched node's smallest in this block."""
     out = {"node": [], "links": [], "low": []}
     if len(left) and len(right):
         q, v = left["node"].to_numpy(), right["node"].to_numpy()
-        rows, cols = np.nonzero((_matrix(left["vector"]) @ _matrix(right["vector"]).T >= threshold) & (q[:, None] != v[None, :]))
+        mine, theirs, cell = _matrix(left["vector"]), _matrix(right["vector"]), right["cell"].to_numpy()
+        masks = np.unpackbits(np.frombuffer(b"".join(left["mask"]), np.uint8).reshape(len(left), -1), axis=1).astype(bool)
+        rows, cols = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k in np.unique(cell):
+            a, b = np.flatnonzero(masks[:, k]), np.flatnonzero(cell == k)
+            x, y = np.nonzero((mine[a] @ theirs[b].T >= threshold) & (q[a][:, None] != v[b][None, :]))
+            rows.append(a[x])
+            cols.append(b[y])
+        rows, cols = np.concatenate(rows), np.concatenate(cols)
         links = np.bincount(rows, weights=right["n"].to_numpy()[cols], minlength=len(q)).astype(np.int64)
         lq, lv = q.copy(), v.copy()
         while len(rows):
@@ -129,21 +154,22 @@ def near_duplicates(df: DataFrame, threshold: float = 0.98) -> DataFrame:
     copies = c.stored(good.groupBy("h1", "label", "vector").agg(F.min("vec_id").alias("node"), F.count("*").alias("n")))
     nodes = copies.select("node", "label", F.size("vector").alias("size"), "n", "vector")
     books = {}
-    for size in [r[0] for r in nodes.select("size").distinct().collect()]:
-        x = nodes.where(F.col("size") == size).orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("vector").toPandas()["vector"]
-        books[size] = codebook(unit(x)[:, : size // 2]), codebook(unit(x)[:, size // 2 :])
+    for size, n in nodes.groupBy("size").count().collect():
+        k = centres(n)
+        x = nodes.where(F.col("size") == size).orderBy(F.xxhash64("node"), "node").limit(k * PER_CENTRE).select("vector").toPandas()["vector"]
+        books[size] = codebook(unit(x)[:, : size // 2], k), codebook(unit(x)[:, size // 2 :], k)
     places = c.stored(_places(nodes, spark.sparkContext.broadcast(books), 2 - 2 * threshold + 1e-7))
-    cell = ["label", "size", "cell"]
-    base = places.select("label", "size", F.col("home").alias("cell"), "node", "n", "vector")
-    query = places.select("label", "size", F.explode("visits").alias("cell"), "node", "n", "vector")
+    cell = ["label", "size", "row"]
+    base = places.select("label", "size", F.col("home").alias("row"), "cell", "node", "n", "vector")
+    query = places.select("label", "size", F.explode(F.arrays_zip("rows", "masks")).alias("at"), "node", "vector").select("label", "size", F.col("at.rows").alias("row"), F.col("at.masks").alias("mask"), "node", "vector")
     parts = lambda x, name: x.groupBy(*cell).agg(F.ceil(F.count("*") / PART).cast("int").alias(name))
-    cut = F.broadcast(c.stored(parts(base, "pb").join(parts(query, "pq"), cell)))  # one row per label and grid cell
+    cut = c.stored(parts(base, "pb").join(parts(query, "pq"), cell))
     base = base.join(cut, cell).withColumn("b", F.pmod(F.xxhash64("node"), "pb")).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pq").cast("long") - 1)))
     query = query.join(cut, cell).withColumn("q", F.pmod(F.xxhash64("node"), "pq")).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pb").cast("long") - 1)))
     key = [*cell, "b", "q"]
     solve = lambda k, a, b: _solve(k, a, b, threshold)
     # stored apart, as the two sides of a cogroup must not share columns
-    query, base = c.stored(query.select(*key, "node", "vector")), c.stored(base.select(*key, "node", "n", "vector"))
+    query, base = c.stored(query.select(*key, "node", "mask", "vector")), c.stored(base.select(*key, "node", "n", "cell", "vector"))
     found = c.stored(query.groupBy(*key).cogroup(base.groupBy(*key)).applyInPandas(solve, "node long, links long, low long"))
     root = c.components(found.select(F.col("node").alias("a"), F.col("low").alias("b")))
     counted = c.stored(nodes.select("node", "n").join(found.groupBy("node").agg(F.sum("links").alias("links")), "node", "left").join(root.select(F.col("id").alias("node"), "root"), "node", "left").select("node", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "node").alias("root")))
