@@ -1,9 +1,10 @@
 """Chat formatting: quotation linking and reply-ordered conversations without quotes. DataFrame operations only.
 
 A line that starts with ``>`` marks (blanks between them allowed) is quoted at the level of its marks; neighbouring lines
-of one level are a passage. Lines and passages are normalised (case, punctuation, blanks) and hashed, and quoted ones
-are joined to what earlier turns of the same conversation say in their own words, a line at a time and as a whole
-passage. A message replies to the turn that most characters of its outermost quotes come from (ties: the latest turn);
+of one level are a passage, and blank lines cut it into paragraphs. Lines, paragraphs and passages are normalised (case,
+punctuation, blanks and line breaks) and hashed, and quoted ones are linked to the latest earlier turn of the same conversation
+that says the same in its own words, as a line, a paragraph, a passage or as all that it says; so a quote may be wrapped anew.
+One ordered pass over each hashed text finds the latest turn, however often it is said and quoted. A message replies to the turn that most characters of its outermost quotes come from (ties: the latest turn);
 a message without such a quote opens a thread. ``root_turn`` and ``depth`` come from pointer doubling, so
 ``(conv_id, root_turn, depth, turn)`` is the reply order: every message after the one it answers.
 
@@ -16,6 +17,7 @@ columns are never read for linking.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common as c
@@ -33,31 +35,43 @@ def _lines(text: Column) -> Column:
     return F.transform(F.split(text, "\n"), lambda x: F.struct(F.length(F.regexp_replace(marks(x), r"[^>]", "")).alias("level"), F.regexp_replace(x, _MARKS, "").alias("body")))
 
 
-def _passages(lines: Column) -> Column:
-    """Neighbouring lines of one level joined: structs (level, body)."""
-    empty = F.array().cast("array<struct<level:int,body:string>>")
+def _with_passages(df: DataFrame) -> DataFrame:
+    """Adds ``passages``, neighbouring lines of one level joined, and ``paragraphs`` of them, as structs (level, body)."""
+    n = F.size("lines")
+    level = lambda i: F.element_at("lines", i)["level"]
+    begins = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (level(i) != level(F.greatest(i - 1, F.lit(1)))))
+    df = df.withColumn("begins", begins)
 
-    def add(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        joined = F.struct(x["level"].alias("level"), F.concat_ws("\n", last["body"], x["body"]).alias("body"))
-        return F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["level"] == x["level"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(F.struct(x["level"].alias("level"), x["body"].alias("body")))))
+    def passage(i: Column, k: Column) -> Column:
+        more = F.coalesce(F.get("begins", k + 1), n + 1) - i
+        return F.struct(level(i).alias("level"), F.array_join(F.transform(F.slice("lines", i, more), lambda x: x["body"]), "\n").alias("body"))
 
-    return F.aggregate(lines, empty, add)
+    df = df.withColumn("passages", F.transform("begins", passage))
+    cut = lambda p: F.transform(F.split(p["body"], r"\n[ \t\r]*\n"), lambda x: F.struct(p["level"].alias("level"), x.alias("body")))
+    return df.withColumn("paragraphs", F.flatten(F.transform("passages", cut))).drop("begins")
 
 
 def reply_order(df: DataFrame) -> DataFrame:
     """conv_id, turn, role, text (own words), parent_turn, root_turn, depth, n_quotes, n_linked and max_level of every message."""
     messages = df.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("said")).withColumn("lines", _lines(F.col("said")))
-    # only texts with a quote mark need passages built
-    quoting = messages.where(r"said RLIKE '(^|\\n)[ \\t]*>'").where("conv_id IS NOT NULL AND turn IS NOT NULL")
-    pieces = lambda x: F.concat(F.col(x), F.filter(_passages(F.col("lines")), lambda p: F.instr(p["body"], "\n") > 0)) if x == "lines" else F.col(x)
-    quoted = quoting.select("conv_id", "turn", F.explode(pieces("lines")).alias("p")).where("p.level > 0").select("conv_id", "turn", F.col("p.level").alias("level"), _normal(F.col("p.body")).alias("n")).where("n <> ''")
-    quoted = c.stored(quoted.select("conv_id", "turn", "level", F.xxhash64("n").alias("h1"), F.hash("n").alias("h2"), F.length("n").alias("size")).distinct())
+    placed_ = messages.where("conv_id IS NOT NULL AND turn IS NOT NULL")
+    hashed = lambda n: [F.xxhash64(n).alias("h1"), F.hash(n).alias("h2")]
+    pieces = F.explode(F.array_distinct(F.concat("lines", "paragraphs", "passages"))).alias("p")
+    # only texts with a quote mark need their passages for what they quote
+    quoting = _with_passages(placed_.where(r"said RLIKE '(^|\\n)[ \\t]*>'"))
+    quoted = quoting.select("conv_id", "turn", pieces).where("p.level > 0").select("conv_id", "turn", F.col("p.level").alias("level"), _normal(F.col("p.body")).alias("n")).where("n <> ''")
+    quoted = c.stored(quoted.select("conv_id", "turn", "level", *hashed("n"), F.length("n").alias("size")).distinct())
     wanted = quoted.select("conv_id", "h1", "h2").distinct()
-    own = messages.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", F.explode(F.concat(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["body"]), F.array(F.array_join(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["body"]), "\n")))).alias("b"))
-    own = own.select("conv_id", "turn", _normal(F.col("b")).alias("n")).where("n <> ''").select("conv_id", F.col("turn").alias("origin"), F.xxhash64("n").alias("h1"), F.hash("n").alias("h2"))
+    # what is quoted somewhere in the conversation: only such conversations' own words are cut up
+    said = _with_passages(placed_.join(quoted.select("conv_id").distinct(), "conv_id", "left_semi"))
+    all_ = F.struct(F.lit(0).alias("level"), F.array_join(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["body"]), "\n").alias("body"))
+    own = said.select("conv_id", "turn", F.explode(F.array_distinct(F.concat("lines", "paragraphs", "passages", F.array(all_)))).alias("p")).where("p.level = 0")
+    own = own.select("conv_id", "turn", _normal(F.col("p.body")).alias("n")).where("n <> ''").select("conv_id", "turn", *hashed("n"))
     own = own.join(wanted, ["conv_id", "h1", "h2"], "left_semi").distinct()
-    linked = c.stored(quoted.join(own, ["conv_id", "h1", "h2"]).where("origin < turn").groupBy("conv_id", "turn", "level", "h1", "h2", "size").agg(F.max("origin").alias("origin")))
+    # one pass in the order of turns: the last turn before that says the same
+    both = quoted.withColumn("origin", F.lit(None).cast("long")).unionByName(own.withColumn("origin", F.col("turn")), allowMissingColumns=True)
+    before = W.partitionBy("conv_id", "h1", "h2").orderBy("turn").rangeBetween(W.unboundedPreceding, -1)
+    linked = c.stored(both.withColumn("origin", F.last("origin", ignorenulls=True).over(before)).where("level IS NOT NULL AND origin IS NOT NULL").select("conv_id", "turn", "level", "h1", "h2", "size", "origin"))
     level = linked.groupBy("conv_id", "turn").agg(F.min("level").alias("level"), F.count("*").alias("n_linked"))
     parent = linked.join(level, ["conv_id", "turn", "level"]).groupBy("conv_id", "turn", "origin").agg(F.sum("size").alias("size"), F.max("n_linked").alias("n_linked"))
     parent = c.stored(parent.groupBy("conv_id", "turn").agg(F.max_by("origin", F.struct("size", "origin")).alias("parent_turn"), F.max("n_linked").alias("n_linked")))

@@ -1,6 +1,11 @@
 """Conversations, embeddings and the pipeline."""
 
+import itertools
+import random
+import re
+
 import numpy as np
+import regex
 
 from erlake.llm import common, embedding_dedup, quotes
 
@@ -21,6 +26,60 @@ def test_quote_linking(spark):
     assert quotes.reply_order(df.where("false")).count() == 0
 
 
+def linked_by_brute_force(rows):
+    """(conv, turn) to (parent, n_linked): pieces of text compared in memory."""
+    normal = lambda x: " ".join(regex.sub(r"[^\p{L}\p{N}]+", " ", x.lower()).split())
+
+    def pieces(text):
+        lines = [(m[1].count(">") if (m := re.match(r"[ \t]*(>[> \t]*)", x)) else 0, re.sub(r"^[ \t]*(>[> \t]*)", "", x)) for x in (text or "").split("\n")]
+        out = list(lines)
+        for level, run in itertools.groupby(lines, key=lambda x: x[0]):
+            body = "\n".join(x for _, x in run)
+            out += [(level, body), *((level, x) for x in re.split(r"\n[ \t\r]*\n", body))]
+        return [(k, normal(x)) for k, x in out] + [(0, normal("\n".join(x for k, x in lines if k == 0)))]
+
+    cut = {(c, n): {x for x in pieces(text) if x[1]} for c, n, _, text in rows if c is not None and n is not None}
+    out = {}
+    for (c, n), mine in cut.items():
+        hits = {}
+        for level, x in mine:
+            origin = [m for (d, m), theirs in cut.items() if d == c and m < n and (0, x) in theirs]
+            if level and origin:
+                hits[level, x] = max(origin)
+        least = min((level for level, _ in hits), default=0)
+        weight = {}
+        for (level, x), m in hits.items():
+            if level == least:
+                weight[m] = weight.get(m, 0) + len(x)
+        out[c, n] = (max(weight, key=lambda m: (weight[m], m)) if weight else None, len(hits))
+    return out
+
+
+def test_quote_linking_by_brute_force(spark):
+    rng = random.Random(6)
+    say = ["Hello there, all.", "The plan holds", "We meet at nine", "", "Bring the maps.", "ok", "no", "Äpfel und Birnen", "see you"]
+    rows = []
+    for c in range(12):
+        texts = []
+        for n in range(9):
+            lines = [rng.choice(say) for _ in range(rng.randint(1, 4))]
+            if texts and rng.random() < 0.8:
+                old = rng.choice(texts)
+                if rng.random() < 0.4:
+                    old = " ".join(old.replace("> ", "").split())  # wrapped anew
+                lines = [f"> {x}" for x in old.split("\n")[: rng.randint(1, 5)]] + lines
+                if rng.random() < 0.3:
+                    lines += [f">> {rng.choice(say)}"]
+            texts.append("\n".join(lines))
+            rows.append((c, n, "user", texts[-1]))
+    rows.append((99, 0, "user", "One paragraph of\nmy message.\n\nAnother one."))
+    rows.append((99, 1, "user", "> One paragraph\n> of my message.\nYes."))  # wrapped anew, one paragraph of several
+    want = linked_by_brute_force(rows)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): (r.parent_turn, r.n_linked) for r in quotes.reply_order(df).collect()}
+    assert got == want and want[99, 1] == (0, 1) and sum(p is not None for p, _ in want.values()) > 30
+
+
 def test_embedding_dedup(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(12, 16))
