@@ -24,6 +24,7 @@ import heapq
 import math
 import re
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -49,10 +50,10 @@ _MASK = (1 << 64) - 1
 class Pieces:
     """The model's pieces: hashes of their code points, prior log-probabilities, byte pieces."""
 
-    def __init__(self, model: str, theta: float) -> None:
+    def __init__(self, model: bytes, theta: float) -> None:
         import sentencepiece
 
-        p = sentencepiece.SentencePieceProcessor(model_file=model)
+        p = sentencepiece.SentencePieceProcessor(model_proto=model)
         n = p.get_piece_size()
         self.texts = [p.id_to_piece(i) for i in range(n)]
         self.byte = {int(p.id_to_piece(i)[3:5], 16): i for i in range(n) if p.is_byte(i)}
@@ -112,10 +113,15 @@ def _codes(x: np.ndarray) -> np.ndarray:
 
 
 @functools.lru_cache
-def pieces(model: str, theta: float) -> Pieces:
+def of_bytes(model: bytes, theta: float) -> Pieces:
     return Pieces(model, theta)
 
 
+def pieces(model: str, theta: float) -> Pieces:
+    """The pieces of a model file, which the driver reads; tasks get its bytes."""
+    return of_bytes(Path(model).read_bytes(), theta)
+
+
 class _Numbers(dict):
     """New keys get the next number."""
 
@@ -346,10 +352,11 @@ SAMPLES = "array<struct<ids:array<int>,logp:double,inclusion:double>>"
 
 def encode(df: DataFrame, k: int = K, theta: float = THETA, seed: int = SEED, model: str = MODEL) -> DataFrame:
     """doc_id and its distinct sampled segmentations."""
+    held = df.sparkSession.sparkContext.broadcast(Path(model).read_bytes())  # some 0.5 MB
     kind = pa.list_(pa.struct([("ids", pa.list_(pa.int32())), ("logp", pa.float64()), ("inclusion", pa.float64())]))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = pieces(model, theta)
+        p = of_bytes(held.value, theta)
         for b in batches:
             keys = b.column(0).fill_null(-1).to_numpy()
             _, at = c.byte_parts(b.column(1))

@@ -3,8 +3,9 @@
 Suffixes start in buckets of their q-grams (``repeats``: those at anchors; a bucket of one is settled at once and goes no
 further). ``refine`` sorts the suffixes of a bucket by the bucket identifiers that stand q bytes later, which halves the
 depth still to sort each time: 64, 128, then ``length`` bytes; each pass reads the identifiers that the pass before it
-has updated. Two suffixes end in one bucket exactly if they agree in ``length`` bytes. A task sorts many buckets at
-once. A bucket of more than ``HOT`` contents isn't sorted in one task: its suffixes are named by a digest of all
+has updated. Identifiers that the same pass has updated already aren't read: they stand for more bytes than those of the pass before,
+and would part suffixes that agree in ``length`` bytes but not beyond. Two suffixes end in one bucket exactly if they agree
+in ``length`` bytes. A task sorts many buckets at once. A bucket of more than ``HOT`` contents isn't sorted in one task: its suffixes are named by a digest of all
 ``length`` bytes and grouped by name over the whole cluster, which leaves the same buckets.
 
 ``suffix_dedup`` removes each byte that a string of ``length`` bytes covers which also starts anywhere else, the same

@@ -3,7 +3,8 @@
 ``fit`` takes at most ``per_class`` labelled examples of each class (those with the smallest hash of their id; the one
 bounded sample here) and keeps every word that any of them holds; document frequencies are counted over all documents. A search
 adds up all posting lists of a text's words (long lists as rows of a matrix, many texts at a time), so its neighbours are exact.
-The neighbours' vote and the text's TF-IDF vector times each word's signed chi-squared (all words take part) are calibrated
+The neighbours' vote, the text's TF-IDF vector times each word's signed chi-squared (all words take part) and the largest chi-squared
+of its words are calibrated
 on the examples themselves, each without itself, at the class rates of all labelled rows; a document that is an example is
 scored in the same way, by the others alone, so that no score sees its own label. Words that no example holds have no place in the vectors, nor in their lengths.
 
@@ -82,9 +83,9 @@ class Index:
         self.chi, votes = _signed_chi(self.toxic, held - self.toxic, self.pos, self.neg), []
         near = self.cosines(self.without_itself(*vectors[i]) for i in order)
         for place, (i, x) in enumerate(zip(order, near)):
-            votes.append((self.vote(*self.nearest(x, place)), self.lean(*vectors[i], place)))
+            votes.append((self.vote(*self.nearest(x, place)), *self.lean(*vectors[i], place)))
         self.places = {int(x): k for k, x in enumerate(self.ids)}
-        self.slope, self.shift = _logistic(np.array(votes), label[order].astype(float), share[order]) if len(votes) > 1 else (np.zeros(2), _logit(rate))
+        self.slope, self.shift = _logistic(np.array(votes), label[order].astype(float), share[order]) if len(votes) > 1 else (np.zeros(3), _logit(rate))
 
     def vector(self, names: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and TF-IDF weights, of length 1, of the words that any example holds."""
@@ -102,14 +103,14 @@ class Index:
         t, w = t[more], w[more]
         return t, w / max(float(np.sqrt((w * w).sum())), 1e-12)
 
-    def lean(self, t: np.ndarray, w: np.ndarray, place: int = -1) -> float:
-        """The vector times signed chi-squared; that of the other examples for the example at ``place``."""
+    def lean(self, t: np.ndarray, w: np.ndarray, place: int = -1) -> tuple[float, float]:
+        """The vector times signed chi-squared, and the largest among its words; those of the other examples for the example at ``place``."""
         chi = self.chi[t]
         if place >= 0:
             y = int(self.label[place])
             a, b = self.toxic[t] - y, (self.held - self.toxic)[t] - (1 - y)
             chi = _signed_chi(np.maximum(a, 0), np.maximum(b, 0), self.pos - y, self.neg - (1 - y))
-        return float(np.arcsinh(w @ chi))
+        return float(np.arcsinh(w @ chi)), float(np.arcsinh(chi.max(initial=0)))
 
     def cosines(self, vectors: Iterable[tuple[np.ndarray, np.ndarray]]) -> Iterator[np.ndarray]:
         """For each vector its cosine with every example."""
@@ -151,7 +152,7 @@ class Index:
             if not len(places):
                 yield self.bare, []
                 continue
-            z = float(self.slope @ np.array([self.vote(places, cosines), self.lean(t, w, place)])) + self.shift
+            z = float(self.slope @ np.array([self.vote(places, cosines), *self.lean(t, w, place)])) + self.shift
             yield float(1 / (1 + np.exp(-z))), [(int(self.ids[p]), round(float(x), 6), int(self.label[p])) for p, x in zip(places[:3], cosines)]
 
 

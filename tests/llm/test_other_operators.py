@@ -119,12 +119,56 @@ def test_components(spark):
 
 
 def test_pipeline_stages(spark):
+    """Each stage against a plain version over its own input."""
     import corpus_pipeline as p
+    from erlake.llm import decontamination, minhash_dedup, sampled_pieces, secrets, toxicity
 
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    n, columns = docs.count(), docs.columns
-    for i, (_, stage) in enumerate(p.STAGES):
-        docs = common.stored(stage(spark, docs, sf))
-        assert i == len(p.STAGES) - 1 or docs.columns == columns
-    assert 0.5 * n < docs.count() <= n
+    columns, labels, benchmark = docs.columns, spark.read.parquet(f"{sf}/labels.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    for i, (name, stage) in enumerate(p.STAGES):
+        rows = docs.collect()
+        out = common.stored(stage(spark, docs, sf))
+        got = out.collect()
+        if i < 4:
+            assert out.columns == columns
+        kept = {r.doc_id for r in got}
+        if name == "toxicity":
+            scores = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, toxicity.fit(docs, labels)).collect()}
+            assert kept == {d for d, x in scores.items() if x < 0.5} and len(kept) < len(rows)
+        elif name == "minhash_near_dedup":
+            assert kept == set(minhash_dedup.brute_force([(r.doc_id, r.text) for r in rows]).values()) and len(kept) < len(rows)
+        elif name == "benchmark_decontamination":
+            items = [" ".join((r.text or "").lower().split()) for r in benchmark.collect()]
+            verbatim = {r.doc_id for r in rows if any(x and x in " ".join((r.text or "").lower().split()) for x in items)}
+            found = {r.doc_id for r in decontamination.contaminated(docs, benchmark).collect()}
+            assert verbatim <= found and kept == {r.doc_id for r in rows} - found
+        elif name == "secret_scan":
+            assert kept == {r.doc_id for r in rows}
+            left = secrets.brute_force([(r.doc_id, r.text) for r in got])
+            assert all(n_access == n_hex == 0 for _, _, n_access, n_hex, _ in left) and all(r.n_chars == len(r.text) for r in got if r.text is not None)
+            clean = {d for d, *n, _ in secrets.brute_force([(r.doc_id, r.text) for r in rows]) if not any(n)}
+            before = {r.doc_id: r.text for r in rows}
+            assert sum(r.text == before[r.doc_id] for r in got) >= 0.95 * len(clean) > 0
+        else:
+            texts = {r.doc_id: r.text or "" for r in rows}
+            assert kept == set(texts) and all(sampled_pieces.decode(s.ids) == texts[r.doc_id] for r in got for s in r.samples)
+        docs = out
+
+
+def test_pipeline_stages_take_nulls_empty_tables_and_other_columns(spark):
+    import corpus_pipeline as p
+
+    sf = "/root/testdata/sf0.001"
+    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
+    odd = [(None, None, None, None, None), (1, None, "en", None, 5), (2, "", None, "s", 0), (3, "a plain text of words", None, None, 21), (3, "a plain text of words", None, None, 21), (None, "token=abcdefgh", None, None, 14)]
+    docs = spark.createDataFrame([tuple(dict(zip(("doc_id", "text", "lang", "source", "n_chars"), r))[f] for f in schema.fieldNames()) for r in odd], schema)
+    more = docs.selectExpr("*", "1 AS node", "'x' AS h1", "2L AS doc", "'y' AS _gone", "3 AS id", "true AS kept", "'z' AS spans")
+    for i, (name, stage) in enumerate(p.STAGES):
+        for df in (docs, more):
+            out = stage(spark, df, sf)
+            assert out.count() == len(odd), name  # rows of one doc_id are one document, of which both stay
+            assert i == 4 or out.columns == df.columns
+            assert stage(spark, df.where("false"), sf).count() == 0
+        if name == "secret_scan":
+            assert {(r.doc_id, r.text, r.n_chars) for r in out.collect()} >= {(1, None, 5), (None, "<assign>", 8)}

@@ -302,3 +302,31 @@ def test_sampling_follows_the_distribution():
         assert first.get(k, 0) / n == pytest.approx(v, abs=0.03)
         want = sum(prob[j] * v / (1 - prob[j]) for j in prob if j != k)  # successive sampling without replacement
         assert second.get(k, 0) / n == pytest.approx(want, abs=0.03)
+
+
+def test_sampling_of_several_chunks_and_inclusion():
+    p, n, k = sampled_pieces.pieces(sampled_pieces.MODEL, 0.15), 8000, 2
+    got = sampled_pieces.sample_texts(np.arange(n), ["to it"] * n, p, k, 5)
+    prob = {tuple(s[0]): np.exp(s[1]) for x in got for s in x}
+    assert len(prob) >= 9 and sum(prob.values()) == pytest.approx(1, abs=0.02)
+    first, both, weighed = {}, {}, {}
+    for x in got:
+        ids = [tuple(s[0]) for s in x]
+        first[ids[0]] = first.get(ids[0], 0) + 1 / n
+        both[tuple(ids)] = both.get(tuple(ids), 0) + 1 / n
+        for s in x:
+            weighed[tuple(s[0])] = weighed.get(tuple(s[0]), 0) + 1 / s[2] / n
+    for a, v in prob.items():
+        assert first.get(a, 0) == pytest.approx(v, abs=0.025)
+        # a segmentation's indicator over its inclusion score has mean 1
+        assert weighed[a] == pytest.approx(1, abs=0.2)
+        for z, w in prob.items():
+            if a != z:
+                assert both.get((a, z), 0) == pytest.approx(v * w / (1 - v), abs=0.02)
+
+
+def test_sampled_pieces_of_empty_tables_and_long_texts(spark):
+    assert sampled_pieces.encode(frame(spark, [])).count() == 0
+    text = "the long text goes on, " * 60_000
+    row = sampled_pieces.encode(frame(spark, [(1, text)]), k=1).first()
+    assert sampled_pieces.decode(row.samples[0].ids) == text
