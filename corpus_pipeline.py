@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept. All but the last return the
 columns of ``documents``; the last returns doc_id and sampled segmentations.
+
+Defined cases, for every stage: null texts count as empty and stay null; rows with a null doc_id are judged by their texts where a stage
+judges single rows (toxicity, secrets, pieces) and stay where it judges by id (near-dedup, decontamination); rows that share a doc_id
+are one document there and go or stay together; an empty table gives an empty one; columns besides those of ``documents`` go through
+unread, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,8 +34,9 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets replaced by their kind; n_chars follows the text."""
-    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """All documents, secrets replaced by their kind; n_chars follows the text (and stays where that is null)."""
+    length = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return secrets.redact(docs).withColumn("n_chars", F.coalesce(length, F.col("n_chars")))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
