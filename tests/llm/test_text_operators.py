@@ -319,7 +319,8 @@ def test_sampling_of_several_chunks_and_inclusion():
     for a, v in prob.items():
         assert first.get(a, 0) == pytest.approx(v, abs=0.025)
         # a segmentation's indicator over its inclusion score has mean 1
-        assert weighed[a] == pytest.approx(1, abs=0.2)
+        x = np.array(weighed[a] + [0.0] * (n - len(weighed[a])))
+        assert abs(x.mean() - 1) < 5 * x.std() / np.sqrt(n) + 0.01
         for z, w in prob.items():
             if a != z:
                 assert both.get((a, z), 0) == pytest.approx(v * w / (1 - v), abs=0.02)
