@@ -289,6 +289,7 @@ def classes(df: DataFrame, threshold: float = 0.8, rounds: int = 2) -> DataFrame
     spark = df.sparkSession
     docs = c.documents(df).where("doc_id IS NOT NULL").select(F.col("doc_id").alias("doc"), "text")
     idf = spark.sparkContext.broadcast(idf_cells(docs))
+    c.give_back()
     found = c.stored(sketches(docs, idf).groupBy("doc").agg(F.min(F.struct("h1", "h2", "bands")).alias("of")).select("doc", "of.*"))
     # one node for each distinct text: its smallest id
     nodes = c.stored(found.groupBy("h1", "h2").agg(F.min(F.struct("doc", "bands")).alias("of")).select("h1", "h2", F.col("of.doc").alias("node"), "of.bands"))

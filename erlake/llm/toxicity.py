@@ -196,14 +196,25 @@ def fit(df: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Index:
     for y in (0, 1):
         some = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         chosen = some if chosen is None else chosen.union(some)
-    rows = c.documents(df).join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text").toArrow()
-    rows = rows.sort_by([("doc_id", "ascending")])
+    given = c.documents(df).join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
+    rows = given.mapInArrow(_counted, "doc_id long, y int, names array<long>, counts array<int>").toArrow().sort_by([("doc_id", "ascending")])
     total = max(1, sum(counts.values()))
-    texts = rows.column("text").combine_chunks() if rows.num_rows else pa.array([], pa.string())
-    found = list(term_counts(texts))
+    found = [(np.asarray(x.values).view(np.uint64), np.asarray(n.values)) for x, n in zip(rows.column("names"), rows.column("counts"))]
     terms = np.unique(np.concatenate([x for x, _ in found] or [np.zeros(0, np.uint64)]))
     df_, n = document_frequencies(c.documents(df).select("text"), terms)
-    return Index(found, rows.column("y").to_numpy().astype(int), rows.column("doc_id").to_numpy(), counts.get(1, 0) / total, terms, df_, n)
+    index = Index(found, rows.column("y").to_numpy().astype(int), rows.column("doc_id").to_numpy(), counts.get(1, 0) / total, terms, df_, n)
+    del rows, found
+    c.give_back()
+    return index
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, y and the words' names and counts of each text: the driver never sees whole texts."""
+    for b in batches:
+        got = list(term_counts(b.column(2)))
+        cut = pa.array(np.cumsum([0, *(len(x) for x, _ in got)]).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(cut, pa.array(np.concatenate([np.zeros(0, t), *x]).astype(t))) for x, t in ((([c.signed(x) for x, _ in got]), np.int64), ([n for _, n in got], np.int32))]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists], ["doc_id", "y", "names", "counts"])
 
 
 def document_frequencies(texts: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
@@ -254,6 +265,7 @@ def score_toxicity(df: DataFrame, index: Index) -> DataFrame:
 def drop_toxic(df: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of ``df`` that score below ``threshold``, with the columns of ``df``."""
     index = df.sparkSession.sparkContext.broadcast(fit(df, labels))
+    c.give_back()
     col, own, schema = df.columns.index("text"), df.columns.index("doc_id"), df.schema
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
