@@ -207,7 +207,8 @@ def contaminated(df: DataFrame, benchmark: DataFrame, covered: float = COVERED)
 
 def drop_contaminated(df: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``df`` that no item contaminates, with the columns of ``df``."""
-    bad = contaminated(df, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
+    # stored, so that its size is known and the documents need not move for a few ids
+    bad = c.stored(contaminated(df, benchmark).select(F.col("doc_id").alias("_bad")).distinct())
     return df.join(bad, df["doc_id"] == bad["_bad"], "left_anti")
 
 

@@ -281,7 +281,8 @@ def _meeting(active: DataFrame, apart: DataFrame, shared: DataFrame) -> DataFram
     odd = held.where("root <> main").select("key", *[F.col(k).alias(f"{k}_") for k in ("node", "root", "w", "s", "h", "g", "left")])
     enough = F.least("left", "left_") >= (F.col("h") + F.col("h_")) / 2 - slack
     reach = F.when(F.col("s") >= F.col("s_"), F.col("g_") - F.col("h")).otherwise(F.col("g") - F.col("h_")) >= -slack
-    return odd.join(held, "key").where((F.col("root") != F.col("root_")) & enough & reach).select(F.col("node_").alias("x"), F.col("node").alias("y"))
+    once = (F.col("root") == F.col("main")) | (F.col("node_") < F.col("node"))  # of two odd ones the smaller asks
+    return odd.join(held, "key").where((F.col("root") != F.col("root_")) & once & enough & reach).select(F.col("node_").alias("x"), F.col("node").alias("y"))
 
 
 def classes(df: DataFrame, threshold: float = 0.8, rounds: int = 2) -> DataFrame:
