@@ -235,8 +235,9 @@ def left_over(members: DataFrame, texts: DataFrame, root: DataFrame, tried: Data
 
     ``members``: band, key, node and its leader; ``tried``: compared pairs. All is counted from the leader: D(x) are the elements that
     x and the leader don't share. x and y link if what D(x) and D(y) don't share weighs at most q (w(x) + w(y)), with q = (1 - t) / (1 + t).
-    Let u(x) be the weight of elements that x alone has besides the leader's, and S(x) that of the rest of D(x). Only the rest can be
-    shared, so a link needs u(x) + u(y) + abs(S(x) - S(y)) <= q (w(x) + w(y)), or h <= g of the other for the one with the larger S,
+    Of two classes one isn't the main one, so only elements that some odd node (of no main class) holds, and another node too, can be
+    shared; let S(x) be the weight of those in D(x) and u(x) that of the others. So a link needs
+    u(x) + u(y) + abs(S(x) - S(y)) <= q (w(x) + w(y)), or h <= g of the other for the one with the larger S,
     where h = S + u - q w and g = S - u + q w; nodes that meet no other class's extreme leave at once. Two nodes that share nothing
     of their D link only if both link with the leader, and then they are in one class. Any others share elements of weight
     (h(x) + h(y)) / 2 or more, so they meet at one before the point, in one order of all elements, where less than that is left of either.
@@ -246,11 +247,15 @@ def left_over(members: DataFrame, texts: DataFrame, root: DataFrame, tried: Data
     sizes = every.groupBy("at", "root").agg(F.count("*").alias("n"))
     several = c.stored(sizes.groupBy("at").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("n")).where("n > 1").select("at", F.col("top.root").alias("main")))
     apart = c.stored(differences(c.stored(every.join(several, "at").select("at", "node", "root", "main")), texts, idf).withColumn("who", F.monotonically_increasing_id()))
-    counts = c.stored(_spread(apart).groupBy("key").agg(F.count("*").alias("n"), F.min("who").alias("who"), F.min("weight").alias("weight")).select("n", F.when(F.col("n") > 1, F.col("key")).alias("key"), F.when(F.col("n") == 1, F.col("who")).alias("who"), F.when(F.col("n") == 1, F.col("weight")).alias("weight")))
-    alone = counts.where("n = 1").groupBy("who").agg(F.sum("weight").alias("u"))
-    state = apart.select("who", "at", "node", "root", "main", "w", "d").join(alone, "who", "left").withColumn("s", F.col("d") - F.coalesce("u", F.lit(0.0)))
+    odd = c.stored(_spread(apart.where("root <> main")))
+    keys = c.stored(odd.select("key").distinct())
+    held = c.stored(odd.union(_spread(apart.where("root = main")).join(keys, "key", "left_semi").select(odd.columns)))
+    common = c.stored(held.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    held = c.stored(held.join(common, "key"))
+    rest = held.groupBy("who").agg(F.sum("weight").alias("s"))
+    state = apart.select("who", "at", "node", "root", "main", "w", "d").join(rest, "who")
     state = c.stored(state.select("who", "at", "node", "root", "main", "w", "s", (F.col("d") - q * F.col("w")).alias("h"), (2 * F.col("s") - F.col("d") + q * F.col("w")).alias("g")))
-    met = _meeting(_within_reach(state), apart, counts.where("n > 1").select("key", "n"))
+    met = _meeting(_within_reach(state), held)
     return met.select(*_ordered("x", "y")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
 
 
@@ -271,18 +276,20 @@ def _within_reach(state: DataFrame) -> DataFrame:
     return c.stored(other.where((F.col("h") <= F.col("high_g") + slack) | (F.col("g") >= F.col("low_h") - slack)).select(*state.columns, "low_h"))
 
 
-def _meeting(active: DataFrame, apart: DataFrame, shared: DataFrame) -> DataFrame:
-    """(x, y) of different classes that share an element early enough to link; ``shared``: keys and how many hold them."""
+def _meeting(active: DataFrame, held: DataFrame) -> DataFrame:
+    """(x, y) of different classes that share an element early enough to link; ``held``: elements (who, weight, key) and how many nodes n hold them."""
     before = W.partitionBy("who").orderBy(F.desc("n"), F.desc("key")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    spread = _spread(apart.join(active.select("who"), "who", "left_semi"))
-    held = spread.join(shared, "key").withColumn("left", F.sum("weight").over(before)).select("who", "key", "left").join(active, "who")
+    rarer = W.partitionBy("who").orderBy("n", "key").rowsBetween(W.unboundedPreceding, -1)
+    left = held.join(active.select("who"), "who", "left_semi").withColumn("left", F.sum("weight").over(before)).select("who", "n", "key", "left").join(active, "who")
     slack = SLACK * F.col("w")
-    held = c.stored(held.where((F.col("left") >= (F.col("h") + F.col("low_h")) / 2 - slack)).select("key", "node", "root", "main", "w", "s", "h", "g", "left"))
-    odd = held.where("root <> main").select("key", *[F.col(k).alias(f"{k}_") for k in ("node", "root", "w", "s", "h", "g", "left")])
+    early = left.where((F.col("left") >= (F.col("h") + F.col("low_h")) / 2 - slack)).withColumn("past", F.collect_list("key").over(rarer))
+    early = c.stored(early.select("key", "node", "root", "main", "w", "s", "h", "g", "left", "past"))
+    odd = early.where("root <> main").select("key", *[F.col(k).alias(f"{k}_") for k in ("node", "root", "w", "s", "h", "g", "left", "past")])
     enough = F.least("left", "left_") >= (F.col("h") + F.col("h_")) / 2 - slack
     reach = F.when(F.col("s") >= F.col("s_"), F.col("g_") - F.col("h")).otherwise(F.col("g") - F.col("h_")) >= -slack
     once = (F.col("root") == F.col("main")) | (F.col("node_") < F.col("node"))  # of two odd ones the smaller asks
-    return odd.join(held, "key").where((F.col("root") != F.col("root_")) & once & enough & reach).select(F.col("node_").alias("x"), F.col("node").alias("y"))
+    first = ~F.arrays_overlap("past", "past_")  # a pair that shares several elements meets at the rarest
+    return odd.join(early, "key").where((F.col("root") != F.col("root_")) & once & enough & reach & first).select(F.col("node_").alias("x"), F.col("node").alias("y"))
 
 
 def classes(df: DataFrame, threshold: float = 0.8, rounds: int = 2) -> DataFrame:
