@@ -34,6 +34,8 @@ from .common import U
 from .toxicity import WORD
 
 WORDS, DF_BITS, BANDS, ROWS = 5, 21, 8, 3
+#: So many ids (of 8 bytes) at most are broadcast to filter texts before a join; beyond, all texts are shuffled.
+FEW = 2_000_000
 #: Room for rounding where a pair is ruled out without a comparison.
 SLACK = 1e-6
 _BLOCK_BITS = 15
@@ -164,6 +166,11 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return both / total if total > 0 else 0.0
 
 
+def of_ids(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """``texts`` for joins with the ids (doc, stored): where these are few, their broadcast spares the others a shuffle."""
+    return texts.join(F.broadcast(ids), "doc", "left_semi") if ids.count() <= FEW else texts
+
+
 def compared(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
     """The pairs (a, b) with their weighted Jaccard ``sim``; ``texts``: stored (doc, text)."""
 
@@ -178,8 +185,9 @@ def compared(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
                 sim.append(weighted_jaccard(left, right, table))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sim, pa.float64())], ["a", "b", "sim"])
 
-    with_b = pairs.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b")
-    with_a = with_b.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a")
+    of_a, of_b = (of_ids(texts, c.stored(pairs.select(F.col(k).alias("doc")).distinct())) for k in ("a", "b"))
+    with_b = pairs.join(of_b.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b")
+    with_a = with_b.join(of_a.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a")
     return with_a.select("a", "b", "ta", "tb").mapInArrow(emit, "a long, b long, sim double")
 
 
@@ -225,8 +233,9 @@ def differences(members: DataFrame, texts: DataFrame, idf) -> DataFrame:
             if own:
                 yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(own), pa.array(apart), lists(extra), lists(missing)], ["at", "node", "root", "main", "w", "d", "extra", "missing"])
 
-    with_node = members.join(texts.select(F.col("doc").alias("node"), F.col("text").alias("tn")), "node")
-    both = with_node.join(texts.select(F.col("doc").alias("at"), F.col("text").alias("tl")), "at")
+    of_node, of_at = (of_ids(texts, c.stored(members.select(F.col(k).alias("doc")).distinct())) for k in ("node", "at"))
+    with_node = members.join(of_node.select(F.col("doc").alias("node"), F.col("text").alias("tn")), "node")
+    both = with_node.join(of_at.select(F.col("doc").alias("at"), F.col("text").alias("tl")), "at")
     return both.select("at", "node", "root", "main", "tl", "tn").mapInArrow(emit, APART)
 
 
@@ -247,8 +256,8 @@ def left_over(members: DataFrame, texts: DataFrame, root: DataFrame, tried: Data
     sizes = every.groupBy("at", "root").agg(F.count("*").alias("n"))
     several = c.stored(sizes.groupBy("at").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("n")).where("n > 1").select("at", F.col("top.root").alias("main")))
     apart = c.stored(differences(c.stored(every.join(several, "at").select("at", "node", "root", "main")), texts, idf).withColumn("who", F.monotonically_increasing_id()))
-    odd = c.stored(_spread(apart.where("root <> main")))
-    keys = c.stored(odd.select("key").distinct())
+    odd = _spread(apart.where("root <> main"))
+    keys = odd.select("key").distinct()
     held = c.stored(odd.union(_spread(apart.where("root = main")).join(keys, "key", "left_semi").select(odd.columns)))
     common = c.stored(held.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     held = c.stored(held.join(common, "key"))
@@ -267,10 +276,10 @@ def _spread(apart: DataFrame) -> DataFrame:
 def _within_reach(state: DataFrame) -> DataFrame:
     """Those that could link with the extremes of the other classes under their leader; ``low_h``: the least h of the others."""
     of_root = c.stored(state.groupBy("at", "root").agg(F.max("g").alias("g"), F.min("h").alias("h")))
-    first = c.stored(of_root.groupBy("at").agg(F.max(F.struct("g", "root")).alias("top"), F.min(F.struct("h", "root")).alias("low")))
+    first = of_root.groupBy("at").agg(F.max(F.struct("g", "root")).alias("top"), F.min(F.struct("h", "root")).alias("low"))
     others = of_root.join(first, "at")
     second = others.groupBy("at").agg(F.max(F.when(F.col("root") != F.col("top.root"), F.col("g"))).alias("g2"), F.min(F.when(F.col("root") != F.col("low.root"), F.col("h"))).alias("h2"))
-    both = c.stored(first.join(second, "at"))
+    both = first.join(second, "at")
     other = state.join(both, "at").withColumns({"high_g": F.when(F.col("root") != F.col("top.root"), F.col("top.g")).otherwise(F.col("g2")), "low_h": F.when(F.col("root") != F.col("low.root"), F.col("low.h")).otherwise(F.col("h2"))})
     slack = SLACK * F.col("w")
     return c.stored(other.where((F.col("h") <= F.col("high_g") + slack) | (F.col("g") >= F.col("low_h") - slack)).select(*state.columns, "low_h"))
@@ -306,7 +315,8 @@ def classes(df: DataFrame, threshold: float = 0.8, rounds: int = 2) -> DataFrame
     shared = c.stored(members.groupBy("band", "key").agg(F.count("*").alias("n"), F.min(_draw(0)).alias("drawn")).where("n > 1").select("band", "key", F.col("drawn.node").alias("leader")))
     members = c.stored(members.join(shared, ["band", "key"]))
     wanted = c.stored(members.select("node").distinct().join(nodes.select("node", "h1", "h2"), "node"))
-    texts = c.stored(docs.join(wanted.select(F.col("node").alias("doc"), "h1", "h2"), "doc").where((F.xxhash64("text") == F.col("h1")) & (F.hash("text") == F.col("h2"))).select("doc", "text").dropDuplicates(["doc"]))
+    given = of_ids(docs, c.stored(wanted.select(F.col("node").alias("doc"))))
+    texts = c.stored(given.join(wanted.select(F.col("node").alias("doc"), "h1", "h2"), "doc").where((F.xxhash64("text") == F.col("h1")) & (F.hash("text") == F.col("h2"))).select("doc", "text").dropDuplicates(["doc"]))
     links, root, tried = copies, None, None
     for r in range(rounds + 1):
         if r == 0:
