@@ -36,7 +36,7 @@ from .common import U
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 K, THETA, SEED = 2, 1.0, 17
 #: Bytes of text whose lattices a task holds at once.
-STEP = 1_500_000
+STEP = 500_000
 #: Characters up to which all substrings are looked up.
 SHORT = 4
 #: Cells (chunk, position, length) of lattices that are built at once.
