@@ -9,7 +9,7 @@ their posteriors, and leaves at each level one node for all segmentations not dr
 parent's. The k popped leaves are exactly the k largest perturbed segmentations, hence a sample without replacement;
 ``inclusion`` is the chance to pass the (k+1)-th largest value: ``1 - exp(-exp(logp - value))``.
 
-All draws depend on the seed and the row's doc_id only, so partitioning doesn't matter. Characters without a piece, and a
+All draws depend on the seed and the row's doc_id only, so partitioning doesn't matter, nor which lattices a task still holds. Characters without a piece, and a
 ``▁`` that stands in the text itself, become byte pieces; ``decode`` gives back the exact text.
 
 Defined cases: null texts count as empty; the empty text has the one segmentation of the dummy ``▁``; fewer than k
@@ -19,10 +19,11 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import heapq
+import itertools
 import math
-import re
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -40,8 +41,9 @@ STEP = 500_000
 #: Characters up to which all substrings are looked up.
 SHORT = 4
 #: Cells (chunk, position, length) of lattices that are built at once.
-CELLS = 1_000_000
-_CHUNK = re.compile("\n+|▁*[^▁\n]+|▁+")
+CELLS = 300_000
+#: Edges of lattices beyond which a task forgets those of chunks that only one of its steps had.
+HELD = 1_000_000
 _ESCAPED = "\U0010fffe"  # stands for a ▁ of the text; a noncharacter, itself always in byte pieces
 _BITS = 20
 _MASK = (1 << 64) - 1
@@ -88,6 +90,7 @@ class Pieces:
         rank[ordinary] = np.arange(1, len(ordinary) + 1)
         self.logp = -theta * (np.log(rank + 1) + math.log(math.log(n) + 0.5772))
         self.byte_logp = float(self.logp.min())
+        self.logp_or_none = np.concatenate([self.logp, [-np.inf]])  # also of the id -1
 
     @staticmethod
     def _place(h: np.ndarray, shift: int) -> np.ndarray:
@@ -122,80 +125,182 @@ def pieces(model: str, theta: float) -> Pieces:
     return of_bytes(Path(model).read_bytes(), theta)
 
 
-class _Numbers(dict):
-    """New keys get the next number."""
+def _cuts(code: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where the chunks of texts that begin ``at`` these places begin, and the end: ``\\n+|▁*[^▁\\n]+|▁+`` in each text."""
+    kind = (code == 10) + np.uint8(2) * (code == 0x2581)
+    first = np.ones(len(code), bool)
+    first[1:] = (kind[1:] != kind[:-1]) & ((kind[1:] != 0) | (kind[:-1] != 2))
+    first[at[:-1]] = True
+    return np.append(np.flatnonzero(first), len(code))
 
-    def __missing__(self, key: str) -> int:
-        self[key] = n = len(self)
-        return n
+
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Ranges of these sizes from these numbers on, one after the other."""
+    return np.arange(int(size.sum())) + np.repeat(first - np.cumsum(size) + size, size)
 
 
 class Lattices:
-    """The chunks' lattices: ``base[chunk] + position`` is a node, its edges are those from ``start[node]`` to ``stop[node]``."""
-
-    def __init__(self, chunks: list[str], p: Pieces) -> None:
-        size = np.array([len(x) for x in chunks], np.int64)
-        self.size = size
-        self.base = np.concatenate([[0], np.cumsum(size)])
-        nodes = int(self.base[-1])
-        parts: list[tuple] = []
+    """Lattices of all chunks seen, each built once: ``base[chunk] + position`` is a node, its edges are those from ``start[node]`` to ``start[node + 1]``."""
+
+    def __init__(self, p: Pieces) -> None:
+        self.pieces = p
+        self.size, self.base, self.start = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64)
+        self.uses = np.zeros(0, np.int32)
+        self.code, self.length, self.id = np.zeros(0, np.uint32), np.zeros(0, np.int16), np.zeros(0, np.int32)
+        self.cum, self.logp = np.zeros(0), np.zeros(0)
+        self.clear()
+
+    def clear(self) -> None:
+        self.chunks, self.nodes, self.edges = 0, 0, 0
+        self.names, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # chunks by name
+
+    def forget(self) -> None:
+        """Keeps the lattices of chunks that several calls had, halving their counts of calls; none if those are still too many."""
+        held = np.flatnonzero(self.uses[: self.chunks] > 1)
+        size = self.size[held]
+        nodes = _ranges(self.base[held], size)
+        count = self.start[nodes + 1] - self.start[nodes]
+        edges = _ranges(self.start[nodes], count)
+        if len(edges) > HELD:
+            return self.clear()
+        number = np.full(self.chunks, -1, np.int64)
+        number[held] = np.arange(len(held))
+        self.numbers = number[self.numbers]
+        self.names, self.numbers = self.names[self.numbers >= 0], self.numbers[self.numbers >= 0]
+        self.chunks, self.nodes, self.edges = len(held), len(nodes), len(edges)
+        self.size[: len(held)], self.base[: len(held)], self.uses[: len(held)] = size, np.cumsum(size) - size, self.uses[held] // 2
+        self.code[: len(nodes)], self.start[1 : len(nodes) + 1] = self.code[nodes], np.cumsum(count)
+        for x in (self.length, self.id, self.cum, self.logp):
+            x[: len(edges)] = x[edges]
+
+    def add(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The texts' chunks by number, and where each text's begin (one more entry); lattices of new chunks are built."""
+        if self.edges > HELD:
+            self.forget()
+        parts = ["▁" + t.replace("▁", _ESCAPED).replace(" ", "▁") for t in texts]
+        at = np.cumsum([0, *map(len, parts)])
+        code = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        cut = _cuts(code, at)
+        s, size = cut[:-1], np.diff(cut)
+        name, one, which = np.unique(self._names(code, cut), return_index=True, return_inverse=True)
+        place = np.searchsorted(self.names, name)
+        known = np.append(self.names, U(0))[place] == name
+        known &= place < len(self.names)
+        number = np.full(len(name), -1, np.int64)
+        number[known] = self.numbers[place[known]]
+        number[~known] = np.arange(self.chunks, self.chunks + np.count_nonzero(~known))
+        one, name, place = one[~known], name[~known], place[~known]
+        self.names, self.numbers = np.insert(self.names, place, name), np.insert(self.numbers, place, number[~known])
+        self._build(code, s[one], size[one])
+        self.uses[number] += 1
+        chunk = number[which]
+        if (size != self.size[chunk]).any() or (code != self.code[_ranges(self.base[chunk], size)]).any():
+            self.clear()  # different chunks share a name: each place gets a lattice of its own, under no name
+            self._build(code, s, size)
+            self.uses[: self.chunks] = 0
+            chunk = np.arange(len(s))
+        return chunk, np.searchsorted(cut, at)
+
+    @staticmethod
+    def _names(code: np.ndarray, cut: np.ndarray) -> np.ndarray:
+        """A 64-bit name for each chunk, from a polynomial prefix sum."""
+        c.Powers.need(len(code) + 1)
+        total = np.zeros(len(code) + 1, np.uint64)
+        np.cumsum(_codes(code) * c.Powers.up[: len(code)], out=total[1:])
+        return c.mix((total[cut[1:]] - total[cut[:-1]]) * c.Powers.down[cut[:-1]] + np.diff(cut).astype(np.uint64) * c._C)
+
+    def _room(self, names: tuple[str, ...], n: int) -> None:
+        for name in names:
+            x = getattr(self, name)
+            if n > len(x):
+                y = np.empty(max(n + n // 2, HELD), x.dtype)  # pages that nothing is written to take no memory
+                y[: len(x)] = x
+                setattr(self, name, y)
+
+    def _build(self, code: np.ndarray, s: np.ndarray, size: np.ndarray) -> None:
+        """Lattices of chunks that begin at these places and have these sizes; they get the next numbers."""
+        self._room(("size", "base", "uses"), self.chunks + len(s))
+        self._room(("code", "start"), self.nodes + int(size.sum()) + 1)
+        self.size[self.chunks : self.chunks + len(s)] = size
+        self.uses[self.chunks : self.chunks + len(s)] = 0
         for n in np.unique(size).tolist():
             which = np.flatnonzero(size == n)
-            size_ = max(1, CELLS // (n * min(n, p.longest)))
+            size_ = max(1, CELLS // (n * min(n, self.pieces.longest)))
             for i in range(0, len(which), size_):
-                parts.append(self._build(which[i : i + size_], n, chunks, p))
-        # a node's edges stand together, as each part lists them by node
-        node, self.length, self.id, prob = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 4
-        first = np.flatnonzero(np.diff(node, prepend=-1) != 0)
-        self.start, self.stop = np.zeros(nodes, np.int64), np.zeros(nodes, np.int64)
-        self.start[node[first]] = first
-        self.stop[node[first]] = np.append(first[1:], len(node))
-        total = np.cumsum(prob)
-        self.cum = total - np.repeat(total[first] - prob[first], np.diff(np.append(first, len(node))))
-        self.cum[np.append(first[1:], len(node)) - 1] = 2.0
-        self.logp = np.log(prob)
-
-    def _build(self, which: np.ndarray, n: int, chunks: list[str], p: Pieces) -> tuple:
-        code = np.frombuffer("".join([chunks[i] for i in which.tolist()]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n)
+                part = which[i : i + size_]
+                x = code[s[part] + np.arange(n)[:, None]]
+                self.base[self.chunks + part] = self.nodes + n * np.arange(len(part))
+                self.code[self.nodes : self.nodes + x.size] = x.T.ravel()
+                count, *edges = self._edges(x)
+                self._room(("length", "id", "cum", "logp"), self.edges + len(edges[0]))
+                for held, y in zip((self.length, self.id, self.cum, self.logp), edges):
+                    held[self.edges : self.edges + len(y)] = y
+                self.start[self.nodes + 1 : self.nodes + x.size + 1] = self.edges + np.cumsum(count)
+                self.nodes += x.size
+                self.edges += len(edges[0])
+        self.chunks += len(s)
+
+    def _edges(self, code: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of chunks of one length (characters by chunks), the number of edges of each node, and length, id, cumulated and log-probability of each edge.
+
+        Arrays are by position, length, chunk here, so that all sums over lengths run over whole rows.
+        """
+        p, (n, chunks) = self.pieces, code.shape
         x, most = _codes(code), min(n, p.longest)
-        ids = np.full((len(which), n, most), -1, np.int32)
+        ids = np.full((n, most, chunks), -1, np.int32)
         h = x
         for k in range(min(most, SHORT)):
             if k:
-                h = c.pair(h[:, :-1], x[:, k:])
-            ids[:, : n - k, k] = p.find(h)
+                h = c.pair(h[:-1], x[k:])
+            ids[: n - k, k] = p.find(h)
         # longer pieces only where one begins so
-        w, i = np.nonzero(p.begins[p._place(h, 64 - _BITS)]) if most > SHORT else (np.zeros(0, np.int64),) * 2
-        h = h[w, i]
+        i, w = np.nonzero(p.begins[p._place(h, 64 - _BITS)]) if most > SHORT else (np.zeros(0, np.int64),) * 2
+        h = h[i, w]
         for k in range(SHORT, most):
             go = i + k < n
             w, i = w[go], i[go]
-            h = c.pair(h[go], x[w, i + k])
+            h = c.pair(h[go], x[i + k, w])
             go = p.begins[p._place(h, 64 - _BITS)]
             w, i, h = w[go], i[go], h[go]
             if not len(w):
+                most = k
                 break
-            ids[w, i, k] = p.find(h)
-        most = 1 + int(np.flatnonzero((ids >= 0).any(axis=(0, 1)))[-1:].max(initial=0))
-        ids = ids[:, :, :most]
-        lone = ids[:, :, 0] < 0
-        ids[:, :, 0][lone] = len(p.texts) + code[lone]
-        score = np.where(ids >= 0, p.logp[np.clip(ids, 0, len(p.texts) - 1)], -np.inf)
+            ids[i, k, w] = p.find(h)
+        ids = ids[:, :most]
+        lone = ids[:, 0] < 0
+        ids[:, 0][lone] = len(p.texts) + code[lone]
+        logp = p.logp_or_none[np.minimum(ids, len(p.texts))]
         wide = np.where(code < 0x80, 1, np.where(code < 0x800, 2, np.where(code < 0x10000, 3, 4)))
-        score[:, :, 0][lone] = p.byte_logp * wide[lone]
-        beta = np.zeros((len(which), n + 1))
+        logp[:, 0][lone] = p.byte_logp * wide[lone]
+        cum = np.zeros(logp.shape)
+        beta = np.zeros((n + 1, chunks))
         for i in range(n - 1, -1, -1):
             k = min(most, n - i)
-            s = score[:, i, :k] + beta[:, i + 1 : i + 1 + k]
-            top = s.max(1)
-            beta[:, i] = top + np.log(np.exp(s - top[:, None]).sum(1))
-            score[:, i, :k] = s - beta[:, i : i + 1]
-        w, i, k = np.nonzero(ids >= 0)
-        return self.base[which][w] + i, k + 1, ids[w, i, k], np.maximum(np.exp(score[w, i, k]), 1e-300)
+            s = logp[i, :k]
+            s += beta[i + 1 : i + 1 + k]
+            top = s.max(0)
+            e = np.exp(s - top)
+            if chunks < 128:
+                e = np.add.accumulate(e, 0)
+            else:
+                for j in range(1, k):
+                    e[j] += e[j - 1]
+            np.divide(e, e[-1], out=cum[i, :k])
+            beta[i] = top + np.log(e[-1])
+            s -= beta[i]
+        held = ids >= 0
+        count = held.sum(1, dtype=np.int32).T.ravel()
+        whole = np.int32 if held.size < 1 << 31 else np.int64
+        chunk, cell = np.divmod(np.flatnonzero(held.transpose(2, 0, 1).ravel()).astype(whole), whole(n * most))
+        at = cell.astype(np.int64) * chunks + chunk
+        cum = cum.ravel()[at]
+        cum[np.cumsum(count) - 1] = 2.0
+        return count, (cell % most + 1).astype(np.int16), ids.ravel()[at], cum, logp.ravel()[at]
 
     def draw(self, chunk: np.ndarray, noise: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A segmentation of every occurrence from its chunk's posterior: (occurrence, edge) in order, and log-probabilities."""
-        node, end = self.base[chunk].copy(), self.base[chunk + 1]
+        node = self.base[chunk]
+        end = node + self.size[chunk]
         live = np.arange(len(chunk))
         whos, edges, logp, step = [], [], np.zeros(len(chunk)), 0
         while len(live):
@@ -218,21 +323,28 @@ class Lattices:
 
     def draw_other(self, chunk: int, taken: list[tuple[tuple[int, ...], float]], rng: np.random.Generator) -> tuple[tuple[int, ...], float]:
         """A segmentation that isn't among ``taken`` (edges, probability), from the posterior without those."""
-        node, end = int(self.base[chunk]), int(self.base[chunk + 1])
-        path: tuple[int, ...] = ()
+        node = int(self.base[chunk])
+        end = node + int(self.size[chunk])
+        path: list[int] = []
         mass, logp = 1.0, 0.0
         while node < end:
-            lo, hi = int(self.start[node]), int(self.stop[node])
-            left = np.array([mass * math.exp(self.logp[e]) - sum(q for t, q in taken if t[: len(path) + 1] == (*path, e)) for e in range(lo, hi)])
-            left = np.maximum(left, 0)
-            if left.sum() <= 0:  # only rounding is left: the first edge that isn't the end of a taken path
-                left = np.array([0.0 if any(t == (*path, e) for t, _ in taken) else 1.0 for e in range(lo, hi)])
-            e = lo + int(np.searchsorted(np.cumsum(left / left.sum()), rng.random(), "right").clip(0, hi - lo - 1))
-            path += (e,)
-            logp += float(self.logp[e])
-            mass *= math.exp(self.logp[e])
-            node += int(self.length[e])
-        return path, logp
+            lo, hi = int(self.start[node]), int(self.start[node + 1])
+            probs = [math.exp(x) for x in self.logp[lo:hi].tolist()]
+            left = [mass * x for x in probs]
+            for t, q in taken:  # those that begin with the path
+                left[t[len(path)] - lo] -= q
+            left = [max(x, 0.0) for x in left]
+            if sum(left) <= 0:  # only rounding is left: the first edge that isn't the end of a taken path
+                left = [0.0 if any(len(t) == len(path) + 1 and t[-1] == e for t, _ in taken) else 1.0 for e in range(lo, hi)]
+            upto = list(itertools.accumulate(left))
+            e = min(bisect.bisect_right(upto, rng.random() * upto[-1]), bisect.bisect_left(upto, upto[-1]))
+            taken = [x for x in taken if x[0][len(path)] == lo + e]
+            path.append(lo + e)
+            logp += float(self.logp[lo + e])
+            mass *= probs[e]
+            node += int(self.length[lo + e])
+        return tuple(path), logp
+
 
 def _gumbel(logmass: np.ndarray, bound: np.ndarray, noise: np.ndarray) -> np.ndarray:
     """Largest Gumbel value of nodes with these log-masses, given that it is at most ``bound``."""
@@ -241,16 +353,10 @@ def _gumbel(logmass: np.ndarray, bound: np.ndarray, noise: np.ndarray) -> np.nda
         return np.where(logmass > -np.inf, logmass - np.log(-np.log(u) + np.exp(np.minimum(logmass - bound, 700))), -np.inf)
 
 
-def sample_texts(ids: np.ndarray, texts: list[str], p: Pieces, k: int, seed: int) -> list[list[tuple[np.ndarray, float, float]]]:
-    """For each text its samples (piece ids, log-probability, inclusion), the largest perturbed value first."""
-    number = _Numbers()
-    flat: list[int] = []
-    first = [0]
-    for t in texts:
-        flat += map(number.__getitem__, _CHUNK.findall("▁" + t.replace("▁", _ESCAPED).replace(" ", "▁")))
-        first.append(len(flat))
-    chunk, cut = np.array(flat, np.int64), np.array(first)
-    lat = Lattices(list(number), p)
+def sample_texts(ids: np.ndarray, texts: list[str], p: Pieces, k: int, seed: int, lattices: Lattices | None = None) -> list[list[tuple[np.ndarray, float, float]]]:
+    """For each text its samples (piece ids, log-probability, inclusion), the largest perturbed value first; ``lattices`` may hold those of earlier calls."""
+    lat = lattices or Lattices(p)
+    chunk, cut = lat.add(texts)
     key = c.mix(ids.astype(np.int64).view(np.uint64) * c._A + U(seed))
     doc = np.repeat(np.arange(len(texts)), np.diff(cut))
     level = np.arange(len(chunk)) - cut[doc]
@@ -313,29 +419,31 @@ def sample_texts(ids: np.ndarray, texts: list[str], p: Pieces, k: int, seed: int
             heads.append((np.concatenate([e[: cuts[j]], np.array(path, np.int64)]), np.concatenate([cuts[: j + 1], [cuts[j] + len(path)]]), np.concatenate([lp[:j], [logp]])))
         if which:
             walk(np.array(which), np.array(starts), np.array(values), heads, turn)
-    out = []
+    edges = [x[0] for samples in done for x in samples]
+    flat, count = expand(lat.id[np.concatenate(edges)] if edges else np.zeros(0, np.int32), p)
+    ends = np.concatenate([[0], np.cumsum(count)])[np.cumsum([0, *map(len, edges)])].tolist()
+    out, n = [], 0
     for w, samples in enumerate(done):
         kappa = -heaps[w][0][0] if heaps[w] else -math.inf
         rows = []
-        for e, _, lp, _ in samples:
+        for _, _, lp, _ in samples:
             total = float(lp.sum())
-            rows.append((expand(lat.id[e], p), total, 1.0 if kappa == -math.inf else -math.expm1(-math.exp(min(total - kappa, 700)))))
+            n += 1
+            rows.append((flat[ends[n - 1] : ends[n]], total, 1.0 if kappa == -math.inf else -math.expm1(-math.exp(min(total - kappa, 700)))))
         out.append(rows)
     return out
 
 
-def expand(ids: np.ndarray, p: Pieces) -> np.ndarray:
-    """Characters without a piece as their bytes' pieces."""
+def expand(ids: np.ndarray, p: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """Ids with characters without a piece as their bytes' pieces, and how many each became."""
     n = len(p.texts)
     lone = np.flatnonzero(ids >= n)
-    if not len(lone):
-        return ids
-    out, done = [], 0
-    for i in lone.tolist():
-        x = chr(int(ids[i]) - n)
-        out += [ids[done:i], np.array([p.byte[y] for y in ("▁" if x == _ESCAPED else x).encode()], np.int64)]
-        done = i + 1
-    return np.concatenate([*out, ids[done:]])
+    raw = [x.encode() for x in "".join(map(chr, (ids[lone] - n).tolist())).replace(_ESCAPED, "▁")]
+    count = np.ones(len(ids), np.int64)
+    count[lone] = [len(x) for x in raw]
+    out = np.repeat(ids, count)
+    out[out >= n] = [p.byte[y] for y in b"".join(raw)]
+    return out, count
 
 
 def decode(ids, model: str = MODEL) -> str:
@@ -357,11 +465,12 @@ def encode(df: DataFrame, k: int = K, theta: float = THETA, seed: int = SEED, mo
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = of_bytes(held.value, theta)
+        lattices = Lattices(p)
         for b in batches:
             keys = b.column(0).fill_null(-1).to_numpy()
             _, at = c.byte_parts(b.column(1))
             for i, j in c.steps(at, STEP):
-                got = sample_texts(keys[i:j], b.column(1).slice(i, j - i).to_pylist(), p, k, seed)
+                got = sample_texts(keys[i:j], b.column(1).slice(i, j - i).to_pylist(), p, k, seed, lattices)
                 rows = [x for y in got for x in y]
                 size = np.array([len(x[0]) for x in rows], np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(np.concatenate([x[0] for x in rows] or [np.zeros(0)]).astype(np.int32)))

@@ -1,6 +1,8 @@
 """Operators on documents: defined cases and brute force."""
 
 import random
+import re
+import time
 import zlib
 from pathlib import Path
 
@@ -331,3 +333,46 @@ def test_sampled_pieces_of_empty_tables_and_long_texts(spark):
     text = "the long text goes on, " * 60_000
     row = sampled_pieces.encode(frame(spark, [(1, text)]), k=1).first()
     assert sampled_pieces.decode(row.samples[0].ids) == text
+
+
+def test_lattices_of_a_chunk_are_built_once_and_change_nothing(monkeypatch):
+    p = sampled_pieces.pieces(sampled_pieces.MODEL, 0.3)
+    rng = random.Random(4)
+    steps = [[prose(rng, 40), "it is the same, é\U0001d518▁ \n\n to all ", "", "x\n \n  y" + "z" * 70, prose(rng, 30)] for _ in range(5)]
+    plain = lambda x: [[(s[0].tolist(), s[1], s[2]) for s in y] for y in x]
+    sample = lambda texts, lattices=None: plain(sampled_pieces.sample_texts(np.arange(5), texts, p, 3, 1, lattices))
+    alone = [sample(x) for x in steps]
+    held = sampled_pieces.Lattices(p)
+    assert [sample(x, held) for x in steps] == alone
+    n = held.chunks
+    assert n == len({tuple(x) for x in np.split(held.code[: held.nodes], np.sort(held.base[:n])[1:])})
+    assert [sample(x, held) for x in steps] == alone and held.chunks == n
+    # chunks that several steps had stay when the others are forgotten
+    held.forget()
+    assert held.chunks == n and [sample(x, held) for x in steps] == alone
+    monkeypatch.setattr(sampled_pieces, "HELD", 600)
+    held = sampled_pieces.Lattices(p)
+    assert [sample(x, held) for x in steps * 2] == alone * 2 and held.chunks < n
+    # different chunks with one name
+    monkeypatch.setattr(sampled_pieces.Lattices, "_names", staticmethod(lambda code, cut: np.diff(cut).astype(np.uint64)))
+    held = sampled_pieces.Lattices(p)
+    assert [sample(x, held) for x in steps] == alone
+
+
+def test_chunks_and_bytes_as_by_regex():
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("▁▁\n\nabé") for _ in range(rng.randint(1, 40))) for _ in range(300)]
+    code = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    at = np.cumsum([0, *map(len, texts)])
+    want = [a + m.start() for a, t in zip(at, texts) for m in re.finditer("\n+|▁*[^▁\n]+|▁+", t)]
+    assert sampled_pieces._cuts(code, at).tolist() == [*want, len(code)]
+
+
+def test_second_segmentations_of_one_long_chunk_take_linear_time():
+    p, took = sampled_pieces.pieces(sampled_pieces.MODEL, 1.0), []
+    for n in (2_000, 32_000):
+        begun = time.process_time()
+        a, b = sampled_pieces.sample_texts(np.array([5]), ["ab" * n], p, 2, 17)[0]
+        took.append(time.process_time() - begun)
+        assert a[0].tolist() != b[0].tolist() and sampled_pieces.decode(a[0]) == sampled_pieces.decode(b[0]) == "ab" * n
+    assert took[1] < 45 * took[0]
