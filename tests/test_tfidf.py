@@ -1,5 +1,8 @@
 """Vectors make and shuffle the grams of texts once."""
 
+import duckdb
+
+import __spark_entry__ as entry
 from erlake.operators import tfidf
 
 
@@ -12,3 +15,14 @@ def test_vectors_make_grams_once(spark):
     for x in v.collect():
         of[x.id] = of.get(x.id, 0) + x.w * x.w
     assert set(of) == {"1", "2"} and all(abs(n - 1) < 1e-9 for n in of.values())
+
+
+def test_all_anchors_are_queries(spark):
+    """Not those alone whose number is divisible by 20; the same rows as the SQL."""
+    sf = "/root/testdata/sf0.001"
+    got = entry.queries()["char_tfidf_topk"](spark, sf).select("s1", "candidate", "score", "rank").collect()
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = c.execute(f"SELECT s1, candidate, score, rank FROM ({entry.oracle_sql()['char_tfidf_topk']})").fetchall()
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert {x.s1 for x in got} == {f"S1-{n}" for (n,) in c.execute("SELECT doc_id FROM documents").fetchall()}
