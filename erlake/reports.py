@@ -113,14 +113,10 @@ def _eda_features(spark: SparkSession, sf: str) -> DataFrame:
 
 def _cosines(spark: SparkSession, sf: str) -> DataFrame:
     """Row-wise cosines of the true links: character and word grams of names, character grams of addresses."""
-    keys = _c()._keys(spark, sf)
-    pairs = _c()._truth(keys)
-    out = pairs
-    for name, column, words, low, high in (("name_char", "name_n", False, 3, 5), ("name_word", "name_n", True, 1, 2), ("address_char", "addr_n", False, 3, 5)):
-        texts = keys.select(F.col("entity_id").alias("id"), F.col(column).alias("text"))
-        v = tfidf.vectors(texts, texts, words, low, high, 2, MOST, True)
-        out = out.join(tfidf.row_cosines(pairs, v, v).select("s1", "candidate", F.round("cosine", 6).alias(name)), ["s1", "candidate"])
-    return out
+    texts = _c()._texts(spark, sf)
+    of = {"name_char": ("name_n", False, 3, 5), "name_word": ("name_n", True, 1, 2), "address_char": ("addr_n", False, 3, 5)}
+    found = tfidf.cosines_of_pairs(_c()._truth(texts), texts.withColumnRenamed("entity_id", "id"), of, 2, MOST)
+    return found.select("s1", "candidate", *[F.round(x, 6).alias(x) for x in of])
 
 
 def _lists(spark: SparkSession, sf: str) -> DataFrame:

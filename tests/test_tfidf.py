@@ -5,6 +5,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from erlake.operators import grams, tfidf
@@ -75,3 +76,31 @@ def test_nearest_bounds_lose_nothing():
         full = near._scores(np.arange(len(texts)))
         near.weight[:] = 0
         assert set(of) == set(np.flatnonzero(full >= np.sort(full)[-5] - grams.SLACK)) and np.allclose(full[of], scores)
+
+
+def test_cosines_of_pairs_join_no_grams(spark):
+    """The same as by vectors, with odd texts and a limit of grams, in a plan that makes no grams of characters."""
+    names = ["red big house", "red big", "big house", "", None, "😀😀 big", "aaaa aaaa", "aaaa", "zzz"]
+    texts = spark.createDataFrame([(str(i), x, x and x[::-1]) for i, x in enumerate(names)], "id string, name string, address string")
+    pairs = spark.createDataFrame([(str(i), str(j)) for i in range(9) for j in range(9)], "s1 string, candidate string")
+    of = {"char": ("name", False, 3, 5), "word": ("name", True, 1, 2), "back": ("address", False, 2, 3)}
+    for most in (None, 7):
+        found = tfidf.cosines_of_pairs(pairs, texts, of, 2, most)
+        assert "substring" not in found._jdf.queryExecution().optimizedPlan().toString()
+        got = {(x.s1, x.candidate): x for x in found.collect()}
+        assert len(got) == 81
+        for name, (column, words, low, high) in of.items():
+            one = texts.select("id", F.col(column).alias("text"))
+            v = tfidf.vectors(one, one, words, low, high, 2, most, True)
+            want = tfidf.row_cosines(pairs, v, v).collect()
+            assert len(want) == 81 and all(abs(got[x.s1, x.candidate][name] - x.cosine) < 1e-9 for x in want)
+
+
+def test_row_cosines_equal_their_sql(spark):
+    sf = "/root/testdata/sf0.001"
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    names = ["s1", "candidate", "name_char", "name_word", "address_char"]
+    want = sorted(c.execute(f"SELECT {', '.join(names)} FROM ({entry.oracle_sql()['row_cosines']})").fetchall())
+    got = entry.queries()["row_cosines"](spark, sf)
+    assert got.columns == names and sorted(map(tuple, got.collect())) == want
